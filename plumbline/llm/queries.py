@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing
 
 QUERIES = {
+    "op5_best_fit_packing": packing.query,
     "op6_source_mixing": mixing.query,
 }
 
