@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import minhash, mixing, packing
 
 QUERIES = {
+    "op3_minhash_near_dedup": minhash.query,
     "op5_best_fit_packing": packing.query,
     "op6_source_mixing": mixing.query,
 }
