@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, spans
+from . import langid, minhash, mixing, packing, spans
 
 QUERIES = {
     "op3_minhash_near_dedup": minhash.query,
     "op4_substring_dedup": spans.query,
     "op5_best_fit_packing": packing.query,
     "op6_source_mixing": mixing.query,
+    "op7_language_id": langid.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
