@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, packing, spans
+from . import langid, minhash, mixing, packing, spans, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op3_minhash_near_dedup": minhash.query,
     "op4_substring_dedup": spans.query,
     "op5_best_fit_packing": packing.query,
