@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, packing, spans, toxicity
+from . import langid, minhash, mixing, packing, sharding, spans, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.query,
     "op6_source_mixing": mixing.query,
     "op7_language_id": langid.query,
+    "op9_sharding": sharding.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
