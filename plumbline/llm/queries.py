@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, packing, sharding, spans, toxicity
+from . import fingerprints, langid, minhash, mixing, packing, sharding, spans, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_source_mixing": mixing.query,
     "op7_language_id": langid.query,
     "op9_sharding": sharding.query,
+    "op10_document_fingerprints": fingerprints.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
