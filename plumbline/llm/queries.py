@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, minhash, mixing, packing, sharding, spans, toxicity
+from . import fingerprints, langid, minhash, mixing, packing, quality, sharding, spans, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.query,
     "op6_source_mixing": mixing.query,
     "op7_language_id": langid.query,
+    "op8_quality_classifier": quality.query,
     "op9_sharding": sharding.query,
     "op10_document_fingerprints": fingerprints.query,
 }
