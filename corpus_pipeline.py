@@ -1,13 +1,67 @@
-"""Corpus preparation: language ID, near-dedup, substring dedup, mixing, packing."""
+"""Corpus preparation: language ID, near-dedup, substring dedup, mixing to target weights, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and returns a DataFrame. All but
+the last return the columns of documents."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import langid, minhash, mixing, packing, spans
+from plumbline.llm.common import Scratch, small, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or of whose text no known language makes up half, go."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word runs, similarity 0.8 or more) the document of the smallest doc_id stays.
+
+    Documents without words stay. Of rows that share a doc_id one stays; rows without one go only as copies of rows with one."""
+    found = Scratch(spark, "near").save(minhash.near_duplicates(docs))
+    kept = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    out = docs.join(small(kept, 16), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose sentences of repeated spans; n_chars follows."""
+    out = spans.remove_repeats(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often and as far as the mix draws them."""
+    return mixing.mixed_texts(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every drawn document with its place in a sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", remove_repeated_passages),
+    ("source_mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: No SQL expresses the learned and iterative stages; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.save(docs)
     return docs

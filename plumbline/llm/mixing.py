@@ -61,11 +61,17 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int, wanted: Iterator[in
     return leaves
 
 
+def keyed(docs: DataFrame, text_hash: F.Column) -> DataFrame:
+    """Adds key and dup, which together name a row of docs: a hash, and a number among rows that share it."""
+    x = docs.withColumn("_th", text_hash).withColumn("key", F.xxhash64("doc_id", "source", "_th"))
+    return x.withColumn("dup", F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "source", "_th"))).drop("_th")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 1024, shard_words: int = 4_000_000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text, source, ...) -> (documents, draws).
 
-    documents: a row for each row of docs, with doc_id, source, size, row_key, source_size and target.
-    draws: one row for each block that the mix takes, with row_key, epoch, block, words (the first so many of the
+    documents: a row for each row of docs, with doc_id, source, size, source_size, target, key and dup, as keyed() adds.
+    draws: one row for each block that the mix takes, with key, dup, epoch, block, words (the first so many of the
     block), shard and place (the order inside the shard). Blocks are runs of block_words words of one document. An
     epoch takes every block of a source once; the last one takes them in permuted order until the source's target is
     met, cutting its last block, so a source's words differ from its target by under one and no document exceeds
@@ -77,7 +83,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     tune(spark)
     scratch = Scratch(spark, "mix")
     base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("h"))
-    base = scratch.save(base.withColumn("row_key", F.xxhash64("doc_id", "source", "h", F.row_number().over(Window.partitionBy("doc_id", "source", "h").orderBy("size")))).drop("h"))
+    base = scratch.save(keyed(base, F.col("h")).drop("h"))
     per_source = scratch.save(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), 1)
     n, all_words = base.count(), per_source.agg(F.sum("source_size")).first()[0] or 0
     block_words = max(block_words, int(all_words * share / MOST_BLOCKS))
@@ -88,8 +94,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     )
     documents = base.join(small(per_source.withColumnRenamed("source", "s"), 96), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
-    blocks = base.where("size > 0").select("row_key", "source", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / block_words).cast("int"))).alias("block"))
-    blocks = blocks.select("row_key", "source", "block", F.least(F.lit(block_words), F.col("size") - F.col("block").cast("long") * block_words).alias("words"), unit(F.col("row_key"), F.col("block"), F.lit(seed)).alias("at"))
+    blocks = base.where("size > 0").select("key", "dup", "source", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / block_words).cast("int"))).alias("block"))
+    blocks = blocks.select("key", "dup", "source", "block", F.least(F.lit(block_words), F.col("size") - F.col("block").cast("long") * block_words).alias("words"), unit(F.col("key"), F.col("dup"), F.col("block"), F.lit(seed)).alias("at"))
     dealt = scratch.save(bucketed(blocks, ["source"], "at", max(n, 1), "words").join(small(plan, 96), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
 
     counts = dealt.groupBy("source").agg(F.count("*").alias("n"), F.first("full").alias("full"), F.sum((F.col("before") < F.col("rest")).cast("long")).alias("part"))
@@ -109,13 +115,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
             shard = np.zeros(len(src), np.int64)
             for s in np.unique(src):
                 shard[src == s] = np.searchsorted(past[:, s], spot[src == s], side="right")
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row_key", "epoch", "block", "words")), pa.array(shard)], names=["row_key", "epoch", "block", "words", "shard"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "dup", "epoch", "block", "words")), pa.array(shard)], names=["key", "dup", "epoch", "block", "words", "shard"])
 
-    full = dealt.where("full > 0").select("row_key", "source", "block", "rank", "words", F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("epoch"))
-    part = dealt.where("before < rest").select("row_key", "source", "block", "rank", F.least("words", F.col("rest") - F.col("before")).alias("words"), F.col("full").cast("int").alias("epoch"))
-    chosen = full.unionByName(part).select("row_key", "source", F.col("epoch").cast("long").alias("epoch"), F.col("block").cast("long").alias("block"), "rank", F.col("words").cast("long").alias("words"))
-    draws = chosen.mapInArrow(place, "row_key long, epoch long, block long, words long, shard long")
-    return documents, draws.withColumn("place", F.xxhash64("row_key", "epoch", "block", F.lit(seed + 1)))
+    full = dealt.where("full > 0").select("key", "dup", "source", "block", "rank", "words", F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("epoch"))
+    part = dealt.where("before < rest").select("key", "dup", "source", "block", "rank", F.least("words", F.col("rest") - F.col("before")).alias("words"), F.col("full").cast("int").alias("epoch"))
+    chosen = full.unionByName(part).select("key", "dup", "source", F.col("epoch").cast("long").alias("epoch"), F.col("block").cast("long").alias("block"), "rank", F.col("words").cast("long").alias("words"))
+    draws = chosen.mapInArrow(place, "key long, dup int, epoch long, block long, words long, shard long")
+    return documents, draws.withColumn("place", F.xxhash64("key", "dup", "epoch", "block", F.lit(seed + 1)))
 
 
 _word = re.compile(WORD)
@@ -142,21 +148,27 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     Column order and extra columns stay; documents that the mix doesn't draw go."""
     block_words = options.setdefault("block_words", 1024)
     documents, draws = mix(docs, **options)
-    parts = draws.groupBy("row_key", "epoch").agg(F.array_sort(F.collect_list(F.struct("block", "words"))).alias("parts"))
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "source", F.xxhash64("text"), F.row_number().over(Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy(F.lit(0)))))
+    parts = draws.groupBy("key", "dup", "epoch").agg(F.array_sort(F.collect_list(F.struct("block", "words"))).alias("parts"), F.sum("words").alias("drawn"))
+    parts = parts.join(documents.select("key", "dup", "size"), ["key", "dup"]).select(F.col("key").alias("_key"), F.col("dup").alias("_dup"), F.when(F.col("drawn") < F.col("size"), F.col("parts")).alias("_parts"))
+    rows = keyed(docs.withColumn("_all", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_all", "doc_id", "source", "text"), F.xxhash64("text"))
+    # dup isn't a join key, so the rows, already dealt by key for their numbers, aren't dealt again.
+    rows = rows.join(parts, (F.col("key") == F.col("_key")) & (F.col("dup") - F.col("_dup") == 0))
     drawn = F.pandas_udf(lambda t, p: _render_all(t, p, block_words), "string")
-    out = keyed.join(parts, "row_key").withColumn("text", drawn("text", "parts"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    part = F.col("_parts").isNotNull()
+    rows = rows.withColumn("_drawn", drawn(F.when(part, F.col("text")), "_parts"))
+    text = F.when(part, F.col("_drawn")).otherwise(F.col("text"))
+    new = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[new.get(c, F.col("_all").getField(c)).alias(c) for c in docs.columns])
 
 
 def _render_all(texts, parts, block_words):
     import pandas as pd
 
-    return pd.Series([render(t, [(p["block"], p["words"]) for p in ps], block_words) for t, ps in zip(texts, parts, strict=True)], dtype=object)
+    return pd.Series([None if ps is None else render(t, [(p["block"], p["words"]) for p in ps], block_words) for t, ps in zip(texts, parts, strict=True)], dtype=object)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     documents, draws = mix(table(spark, sf_dir, "documents"))
-    taken = draws.groupBy("row_key").agg(F.sum("words").alias("taken"))
-    out = documents.join(taken, "row_key", "left")
+    taken = draws.groupBy("key", "dup").agg(F.sum("words").alias("taken"))
+    out = documents.join(taken, ["key", "dup"], "left")
     return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
