@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, minhash, mixing, packing, quality, sharding, spans, toxicity
+from . import fingerprints, langid, minhash, mixing, mtree, packing, quality, sharding, spans, toxicity
 
 QUERIES = {
+    "op1_exact_top_k": mtree.query,
     "op2_toxicity": toxicity.query,
     "op3_minhash_near_dedup": minhash.query,
     "op4_substring_dedup": spans.query,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_document_fingerprints": fingerprints.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_exact_top_k": mtree.ORACLE_SQL}
