@@ -23,9 +23,9 @@ _run = uuid.uuid4().hex
 
 
 def tune(spark: SparkSession) -> None:
-    """Smaller Arrow batches: rows hold whole texts, and a batch of 10,000 long ones fills a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 512:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Smaller Arrow batches: rows hold whole texts, and thousands of long ones would fill a worker's memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 64:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,7 +125,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered; forgets all when it has grown, so memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

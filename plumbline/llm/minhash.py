@@ -20,6 +20,10 @@ PERMUTATIONS = BANDS * ROWS
 BITS = 4
 #: The estimate of a pair at 0.8 has a standard deviation of 0.037; candidates under threshold - MARGIN are over 5 below.
 MARGIN = 0.2
+#: Candidates down to threshold - FAR are compared with their bucket's first node, to learn how they differ from it.
+FAR = 0.5
+#: Bits of the masks that record which shingles a set adds to or lacks of another.
+MASK = 512
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 32, PERMUTATIONS, np.uint32) | np.uint32(1)
@@ -112,30 +116,93 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "d0", "d1", "text").mapInArrow(run, "node long, set array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
-    """pairs (a, b) of nodes -> those with 100 * |A & B| >= percent * |A | B| on full sets.
+def _mask(hashes: np.ndarray) -> np.ndarray:
+    bits = np.zeros(MASK, bool)
+    bits[hashes & np.uint64(MASK - 1)] = True
+    return np.packbits(bits).view(np.int64)
 
-    The sets of the nodes in question are made again from their texts: fewer bytes than keeping all sets."""
+
+COMPARED = "a long, b long, size_b long, shared long, size_a long, added array<long>, lacks array<long>"
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, set_a, set_b) -> sizes, how many they share, and masks of what b adds to a and lacks of it."""
+    for batch in batches:
+        sets = []
+        for name in ("set_a", "set_b"):
+            c = batch.column(name)
+            v, o = c.values.to_numpy(zero_copy_only=False).view(np.uint64), c.offsets.to_numpy()
+            sets.append([v[o[i] : o[i + 1]] for i in range(len(c))])
+        n, added, lacks = [], [], []
+        for x, y in zip(*sets, strict=True):
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            same = x[at] == y
+            other = np.ones(len(x), bool)
+            other[at[same]] = False
+            n.append((len(y), int(same.sum()), len(x)))
+            added.append(_mask(y[~same]))
+            lacks.append(_mask(x[other]))
+        columns = np.array(n, np.int64).reshape(-1, 3).T
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c) for c in columns), pa.array(added, pa.list_(pa.int64())), pa.array(lacks, pa.list_(pa.int64()))], names=["a", "b", "size_b", "shared", "size_a", "added", "lacks"])
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """pairs (a, b) of nodes -> COMPARED, from full sets.
+
+    The sets of the nodes in question are made again from their texts: fewer bytes than keeping all sets. Joins on a
+    node that many pairs share split, as the other side has one row a node."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = scratch.save(wanted.join(nodes, "node").select("node", F.col("first_id").alias("doc_id"), "d0", "d1"))
-    sets = scratch.save(full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(small(wanted, 40), "doc_id"), shingle))
+    wanted = scratch.save(wanted.join(nodes.select("node", "first_id", "d0", "d1"), "node").select("node", F.col("first_id").alias("doc_id"), "d0", "d1"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(small(wanted, 40), F.col("_id").eqNullSafe(F.col("doc_id")))
+    sets = scratch.save(full_sets(texts, shingle))
     left = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    out = scratch.save(both.where(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b").distinct())
+    out = scratch.save(both.select("a", "b", "set_a", "set_b").mapInArrow(_compare, COMPARED))
     scratch.drop(wanted, sets)
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def _linked(percent: int) -> Column:
+    return 100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))
+
+
+def _bits(a: Column) -> Column:
+    n = F.lit(0)
+    for i in range(MASK // 64):
+        n = n + F.bit_count(a[i])
+    return n
+
+
+def _most_shared(o: str, x: str) -> Column:
+    """No pair shares more shingles than this, by how both differ from one third set (size, what they add and lack).
+
+    Of that set they share what neither lacks: lacking bits of one that the other has not set are shingles more. Of
+    the rest they share at most what one adds, less its bits that the other has not set."""
+    col = lambda side, name: F.col(f"{side}_{name}")
+    common = others_o = others_x = F.lit(0)
+    for i in range(MASK // 64):
+        common = common + F.bit_count(col(o, "added")[i].bitwiseAND(col(x, "added")[i]))
+        others_o = others_o + F.bit_count(col(o, "lacks")[i].bitwiseAND(F.bitwise_not(col(x, "lacks")[i])))
+        others_x = others_x + F.bit_count(col(x, "lacks")[i].bitwiseAND(F.bitwise_not(col(o, "lacks")[i])))
+    n_added = lambda side: col(side, "size") - col(side, "shared")
+    n_lacks = lambda side: col(side, "third") - col(side, "shared")
+    inside = col(o, "third") - F.greatest(n_lacks(o) + others_x, n_lacks(x) + others_o)
+    beside = F.least(n_added(o) - col(o, "added_bits") + common, n_added(x) - col(x, "added_bits") + common)
+    return inside + beside
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """docs (doc_id, text, ...) -> a row for each: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
     Two documents are linked if their sets of `shingle`-word runs have a Jaccard similarity of at least percent / 100;
     components of links share a component_id. Rows with equal sets form one node. Candidates share a band of minima.
-    First each node meets the smallest node of each of its buckets; confirmed links are contracted. Then, in buckets
-    that still hold several components, every node outside the bucket's largest component meets all nodes of other
-    components. So no bucket's pairs are all written out, none is capped, and no candidate that could join two
-    components goes unseen. The packed estimate drops pairs far below the threshold; full sets decide the rest.
+
+    First each node meets the first node (by doc_id) of each of its buckets; confirmed links are contracted. In up to
+    `rounds` turns, nodes outside the largest component of a bucket meet one of its nodes, the likeliest first. Then,
+    in buckets that still hold several components, every node outside the largest meets all nodes of others: pairs
+    whose estimate lies far below the threshold, or which share too few shingles by how both differ from the bucket's
+    first node (a bound that never errs), drop out inside the join; full sets decide the rest. So no bucket's pairs
+    are all written out, none is capped, and no candidate that could join two components goes unseen.
 
     Null, empty or white-space text: an empty set, linked with nothing, component_id = doc_id. Fewer words than
     `shingle`: all words as one shingle. Null doc_id: never the smallest. Repeated rows: one component. No rows: no
@@ -146,32 +213,66 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rows = scratch.save(sketches(docs, shingle))
     full = rows.where("n_shingles > 0")
     nodes = full.groupBy("d0", "d1").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = scratch.save(nodes.withColumn("node", F.col("d0")))  # 64 bits of the digest name a node
+    nodes = scratch.save(nodes.withColumn("node", F.coalesce("first_id", "d0")))
+    sig = nodes.select("node", "sig")
+    bound = percent / 100
 
     def buckets(of: DataFrame, *more: str) -> DataFrame:
         return of.select("node", *more, F.explode("bands").alias("key"))
 
-    least = buckets(nodes).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
-    stars = scratch.save(buckets(nodes).join(least, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    sig = nodes.select("node", "sig")
-    near = lambda x, y: estimate(x, y) >= percent / 100 - MARGIN
-    met = stars.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").where(near(F.col("sa"), F.col("sb"))).select("a", "b")
-    edges = _confirmed(scratch.save(met), docs, nodes, shingle, percent, scratch)
-    roots = components(edges, scratch)
+    def screened(pairs: DataFrame, least: float) -> DataFrame:
+        sides = pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+        return sides.withColumn("like", estimate(F.col("sa"), F.col("sb"))).where(F.col("like") >= least).drop("sa", "sb")
 
-    placed = scratch.save(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bands", "sig"))
-    mixed = buckets(placed, "root").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = scratch.save(buckets(placed, "root", "sig").join(small(mixed, 16), "key"))
-    main = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top")).select("key", F.col("top.root").alias("main"))
-    members = members.join(main, "key")
-    odd = members.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sig").alias("sa"))
-    rest = members.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("sig").alias("sb"), (F.col("root") == F.col("main")).alias("core"))
-    late = odd.join(rest, "key").where((F.col("ra") != F.col("rb")) & (F.col("core") | (F.col("a") < F.col("b"))) & near(F.col("sa"), F.col("sb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = scratch.save(late.join(stars, ["a", "b"], "left_anti"))
+    first = scratch.save(buckets(nodes).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a"))
+    stars = buckets(nodes).join(first, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    star = _compared(scratch.save(screened(stars, bound - FAR).select("a", "b")), docs, nodes, shingle, scratch)
+    edges = star.where(_linked(percent)).select("a", "b")
+    roots = components(edges, scratch)
+    seen = star.select("a", "b")
+
+    def scattered() -> DataFrame:
+        """Rows of the buckets that hold several components: key, node, root, sig, main (the largest component)."""
+        placed = scratch.save(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bands", "sig"))
+        mixed = buckets(placed, "root").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        members = scratch.save(buckets(placed, "root", "sig").join(small(mixed, 16), "key"))
+        counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+        return members.join(counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")), "key")
+
+    for turn in range(rounds):
+        members = scratch.save(scattered())
+        lead = members.where("root = main").groupBy("key").agg(F.min(F.xxhash64("node", F.lit(turn))).alias("at"))
+        lead = members.where("root = main").join(lead, "key").where(F.xxhash64("node", F.lit(turn)) == F.col("at")).select("key", F.col("node").alias("l"), F.col("sig").alias("sl"), F.col("root").alias("rl"))
+        tries = members.where("root <> main").join(lead, "key").withColumn("like", estimate(F.col("sig"), F.col("sl"))).where(F.col("like") >= bound - MARGIN)
+        tries = tries.groupBy("node", "rl").agg(F.max_by("l", F.struct("like", "l")).alias("l")).select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
+        tries = scratch.save(tries.join(seen, ["a", "b"], "left_anti"))
+        more = None if tries.isEmpty() else _compared(tries, docs, nodes, shingle, scratch)
+        scratch.drop(members)
+        if more is None:
+            break
+        seen, found = scratch.save(seen.union(tries)), more.where(_linked(percent)).select("a", "b")
+        if found.isEmpty():
+            break
+        edges = edges.union(found)
+        roots = components(edges, scratch)
+
+    differ = star.select(F.col("a").alias("third_node"), F.col("b").alias("node"), F.col("size_b").alias("size"), "shared", F.col("size_a").alias("third"), "added", "lacks")
+    zero = F.array(*[F.lit(0).cast("long")] * (MASK // 64))
+    own = star.groupBy(F.col("a").alias("node")).agg(F.first("size_a").alias("size")).select(F.col("node").alias("third_node"), "node", "size", F.col("size").alias("shared"), F.col("size").alias("third"), zero.alias("added"), zero.alias("lacks"))
+    differ = differ.union(own).withColumn("added_bits", _bits(F.col("added")))
+    members = scratch.save(scattered().join(first.withColumnRenamed("a", "third_node"), "key").join(differ, ["third_node", "node"], "left"))
+    fields = ["size", "shared", "third", "added", "lacks", "added_bits"]
+    side = lambda name, rows: rows.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "root", "sig", *fields)], *([(F.col("root") == F.col("main")).alias("core")] if name == "x" else []))
+    most = _most_shared("o", "x")
+    able = F.coalesce(100 * most >= percent * (F.col("o_size") + F.col("x_size") - most), F.lit(True))
+    apart = (F.col("o_root") != F.col("x_root")) & (F.col("core") | (F.col("o_node") < F.col("x_node")))
+    late = side("o", members.where("root <> main")).join(side("x", members), "key").where(apart & able & (estimate(F.col("o_sig"), F.col("x_sig")) >= bound - MARGIN))
+    late = late.select(F.least("o_node", "x_node").alias("a"), F.greatest("o_node", "x_node").alias("b")).distinct()
+    late = scratch.save(late.join(seen, ["a", "b"], "left_anti"))
     if not late.isEmpty():
-        more = _confirmed(late, docs, nodes, shingle, percent, scratch)
-        if not more.isEmpty():
-            roots = components(edges.union(more), scratch)
+        found = scratch.save(_compared(late, docs, nodes, shingle, scratch).where(_linked(percent)).select("a", "b"))
+        if not found.isEmpty():
+            roots = components(edges.union(found), scratch)
 
     found = nodes.join(roots, "node", "left").select("d0", "d1", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
