@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from plumbline.plans import retrieval
+
 FLAGSHIP = "bm25_top10"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+_ALL = retrieval.QUERIES
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
