@@ -45,7 +45,7 @@ def prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
 
 def answer(questions: DataFrame, hits: DataFrame, model: Callable[[pd.Series], pd.Series], include_context: bool = False) -> DataFrame:
     """qid, answer, and contexts on request. model: prompts to answers, a batch at a time."""
-    x = prompts(questions, hits).withColumn("answer", F.pandas_udf(model, "string")("prompt"))
+    x = prompts(questions, hits).withColumn("answer", F.pandas_udf(lambda prompts: model(prompts), "string")("prompt"))
     return x.select("qid", "answer", *(["contexts"] if include_context else []))
 
 

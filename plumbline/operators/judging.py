@@ -47,7 +47,7 @@ def judge(answers: DataFrame, model: Callable[[pd.Series], pd.Series], name: str
     cached. model: prompts to replies, a batch at a time; asked only for what the cache (key, ...) lacks."""
     x = answers.withColumn("key", cache_key("question", "answer", "contexts"))
     fresh = x if cache is None else x.join(cache.select("key"), "key", "left_anti")
-    ask = F.pandas_udf(model, "string")
+    ask = F.pandas_udf(lambda prompts: model(prompts), "string")
     new = fresh.withColumn("raw", ask(prompt(F.col("question"), F.col("answer"), F.col("contexts"), F.col("expected_answer")))).withColumn("_v", parse_verdict(F.col("raw")))
     new = new.select("qid", "key", "_v.*", F.lit(name).alias("judge_model"), F.substring("raw", 1, 2000).alias("raw"), F.lit(False).alias("cached"))
     if cache is None:

@@ -13,6 +13,19 @@ SCHEMA = "chunk_id string, arxiv_id string, page int, ordinal int, page_content
 PROVIDERS = {"groq": ["llama-3.1-8b-instant"], "gemini": ["gemini-2.0-flash"]}
 
 
+def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Rows of new replace those of old that have the same provider and key (chunk_id, or a hash of the text without
+    one). Several rows of a key in new: the greatest by all columns' hash stays, so a replay gives the same table."""
+    key = T.join_key(F.col("chunk_id"), F.col("page_content"))
+    keyed = new.withColumn("_key", key)
+    best = F.max_by(F.struct(*new.columns), F.xxhash64(*[c for c in new.columns if c != "metadata"]))
+    one = keyed.groupBy("provider", "_key").agg(best.alias("_r")).select("_key", "_r.*").select("_key", *new.columns)
+    if old is None:
+        return one.drop("_key")
+    kept = old.withColumn("_key", key).join(one.select("provider", "_key"), ["provider", "_key"], "left_anti")
+    return kept.select(*new.columns).unionByName(one.drop("_key"))
+
+
 @dataclass
 class Store:
     """path holds versions v=N, each partitioned by provider; a pointer file names the current one.
@@ -58,14 +71,8 @@ class Store:
         return self.read(provider).count()
 
     def upsert(self, chunks: DataFrame) -> None:
-        """Later rows replace those of the same provider and key (chunk_id, or a hash of the text without one). Replaying
-        a batch changes nothing. Several rows of a key in one batch: any one stays."""
-        key = T.join_key(F.col("chunk_id"), F.col("page_content"))
-        new = chunks.withColumn("_key", key).dropDuplicates(["provider", "_key"])
-        if self.exists():
-            old = self.read().withColumn("_key", key).join(new.select("provider", "_key"), ["provider", "_key"], "left_anti")
-            new = old.unionByName(new.select(*old.columns))
-        self._write(new.drop("_key"))
+        """A new version with merge() of the current one and the chunks."""
+        self._write(merge(self.read() if self.exists() else None, chunks))
 
     def missing(self, chunks: DataFrame) -> DataFrame:
         """What a resumed ingest has still to do, by id."""
