@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,24 +20,72 @@ VOCABULARY = "word_bpe_49k.json"
 _REMEMBER = 64
 
 
+_ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Lower-case letters that neither normalising nor lowering changes: one pre-token, which the model takes as it is.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as the character of its number, where that is printable, and number the
+    other bytes from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class _Ids(dict):
-    """Token ids of words as little-endian unsigned 32-bit bytes; forgets all when it has grown."""
+    """Token ids of words as little-endian unsigned 32-bit bytes. Two generations of words are remembered, so memory is
+    bounded and common words are tokenized once."""
+
+    GENERATION = 300_000
+    #: After a letter or digit a run of these is a token sequence of its own.
+    TAIL = b".,;:!?|*#%$&"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._ids(word)
+        if len(word) <= _REMEMBER:
+            if len(self) >= self.GENERATION:
+                self.old = self.copy()
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _ids(self, word: bytes) -> bytes:
+        core = word.rstrip(self.TAIL)
+        if core and len(core) < len(word) and (core[-1] in _ALNUM if core[-1] < 128 else core.decode()[-1].isalpha()):
+            return self[core] + self[word[len(core) :]]
+        if _PLAIN.fullmatch(word):
+            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode_batch_fast([word.decode()], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+_known: dict[str, _Ids] = {}
+
+
+def _ids_of(path: str) -> _Ids:
+    """One table of known words for each worker process: its tasks share it."""
+    if path not in _known:
+        _known[path] = _Ids(path)
+    return _known[path]
+
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Remembers short new words; returns the ids of long ones."""
-        if len(self) > 500_000:
-            self.clear()
-        new = [w for w in words if w not in self]
-        rest = {}
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            (self if len(w) <= _REMEMBER else rest)[w] = np.array(e.ids, "<u4").tobytes()
-        return rest
+def _split(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8. The vocabulary is of lower case, so A-Z are lowered here, but where special tokens may be."""
+    data = (text or "").encode()
+    return (data if b"<|" in data else data.lower()).split()
 
 
 def _path(tokenizer: str | None) -> str:
@@ -55,18 +105,13 @@ def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> D
     tune(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ids(_path(tokenizer))
+        known = _ids_of(_path(tokenizer))
         step = 4 * most
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            split = [(t or "").encode().split() for t in b.column("text").to_pylist()]
-            rest = known.learn(set().union(*split))
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, words in zip(ids, split, strict=True):
-                if rest and not rest.keys().isdisjoint(words):
-                    data = b"".join([known[w] if w in known else rest[w] for w in words]) + b"\0\0\0\0"
-                else:
-                    data = b"".join([known[w] for w in words]) + b"\0\0\0\0"
+            for doc, text in zip(ids, b.column("text").to_pylist(), strict=True):
+                data = b"".join(map(known.__getitem__, _split(text))) + b"\0\0\0\0"
                 for i, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]
                     for column, value in zip(out, (doc, i, at // 4, len(part) // 4, part), strict=True):
