@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, table, tune, unit
 
 #: Objects in a leaf page, children of an inner page, objects of a tree, queries that meet a tree together.
-PAGE, FAN, TREE_ROWS, QUERY_ROWS = 512, 24, 16_384, 4096
+PAGE, FAN, TREE_ROWS, QUERY_ROWS = 1024, 24, 16_384, 4096
 #: Up to this magnitude 64-bit floats hold inner products of components exactly.
 EXACT = 1 << 20
 #: Bounds computed in floats are widened by this share before they prune.
@@ -84,7 +84,8 @@ def build(ids: np.ndarray, x: np.ndarray, space: Space) -> list[dict]:
         if len(rows) <= PAGE:
             page |= {"ids": ids[rows].astype(np.int64).tobytes(), "vectors": x[rows].tobytes(), "away": away.tobytes()}
             return
-        seeds = rows[_far(lifted[rows[:: max(1, len(rows) // 2048)]], FAN) * max(1, len(rows) // 2048)]
+        step, fan = max(1, len(rows) // 2048), min(FAN, -(-2 * len(rows) // PAGE))  # leaves about half full
+        seeds = rows[_far(lifted[rows[::step]], fan) * step]
         if len(seeds) == 1:  # all alike
             parts = np.array_split(rows, -(-len(rows) // PAGE))
         else:
