@@ -81,9 +81,9 @@ def contributions(index: Index, questions: DataFrame) -> DataFrame:
 
     A term that a question repeats counts as often; it is joined once, with its number."""
     asked = questions.select("qid", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    asked = asked.join(index.terms.select("term", "idf"), "term")
-    held = asked.limit(BROADCAST_TERMS + 1).count()
-    asked = F.broadcast(asked) if held <= BROADCAST_TERMS else asked
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    held = F.broadcast if few else lambda df: df
+    asked = held(index.terms.select("term", "idf").join(held(asked), "term"))  # no more rows than asked
     x = index.postings.join(asked, "term").join(index.docs, "chunk_id").crossJoin(F.broadcast(index.stats.select("avgdl")))
     tf, norm = F.col("tf").cast("double"), 1 - index.b + index.b * F.col("dl") / F.col("avgdl")
     return x.select("qid", "chunk_id", "term", (F.col("qtf") * F.col("idf") * tf * (index.k1 + 1) / (tf + index.k1 * norm)).alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions import text as T
 from plumbline.operators import chunking
@@ -14,8 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; those of fewer files than cores are dealt out first, as a file of one row group feeds one task."""
     d = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if len(d.inputFiles()) < cores else d
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir)
     return d.select(F.concat(F.lit("corpus/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"), F.lit(0).alias("page"), F.col("text").alias("page_content"))
 
 
@@ -43,13 +51,12 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, 3), " ")))
     found = c.withColumn("head", F.explode(heads)).join(F.broadcast(q.select("qid", "item_id", "passage", "head").limit(1_000_000)), "head").where(F.concat(F.lit(" "), "low", F.lit(" ")).contains(F.concat(F.lit(" "), "passage", F.lit(" "))))
     one = found.select("qid", "item_id", "chunk_id").distinct()
-    any_of = one.select("qid", F.lit("any_of").alias("semantics"), F.lit(0).alias("group_idx"), "chunk_id")
-    have = one.select("item_id").distinct()
-    pairs = have.alias("a").join(have.alias("b"), F.col("b.item_id") == F.col("a.item_id") + 1).where(F.col("a.item_id") % 2 == 0).select(F.col("a.item_id").alias("first"))
-    both = one.join(pairs, (F.col("item_id") == F.col("first")) | (F.col("item_id") == F.col("first") + 1))
-    two = both.select(F.concat(F.lit("m"), F.lpad(F.col("first").cast("string"), 5, "0")).alias("qid"), F.lit("all_required").alias("semantics"), (F.col("item_id") - F.col("first")).cast("int").alias("group_idx"), "chunk_id")
-    seen = two.groupBy("qid", "chunk_id").agg(F.min("group_idx").alias("group_idx"))
-    return any_of.unionByName(seen.select("qid", F.lit("all_required").alias("semantics"), "group_idx", "chunk_id"))
+    first = F.col("item_id") - F.col("item_id") % 2
+    pair = F.struct(F.concat(F.lit("m"), F.lpad(first.cast("string"), 5, "0")).alias("qid"), F.lit("all_required").alias("semantics"), (F.col("item_id") % 2).cast("int").alias("group_idx"))
+    x = one.select("chunk_id", F.explode(F.array(F.struct("qid", F.lit("any_of").alias("semantics"), F.lit(0).alias("group_idx")), pair)).alias("g")).select("chunk_id", "g.*")
+    groups = F.size(F.collect_set("group_idx").over(Window.partitionBy("qid")))  # two at most
+    whole = x.withColumn("n", groups).where("semantics = 'any_of' or n = 2")
+    return whole.groupBy("qid", "semantics", "chunk_id").agg(F.min("group_idx").alias("group_idx")).select("qid", "semantics", "group_idx", "chunk_id")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ DOCUMENTS = f"WITH {data.CHUNKS}, {data.terms('chunks', 'chunk_id', 'occ')} SELE
 
 
 def tokenize_documents(spark, sf_dir):
-    d = data.table(spark, sf_dir, "documents").withColumn("t", T.tokenize(F.col("text")))
+    d = data.documents(spark, sf_dir).withColumn("t", T.tokenize(F.col("text")))
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
 
 
