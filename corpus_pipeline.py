@@ -20,13 +20,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word runs, similarity 0.8 or more) the document of the smallest doc_id stays.
 
-    Documents without words stay. Of rows that share a doc_id one stays; rows without one go only as copies of rows with one."""
-    found = Scratch(spark, "near").save(minhash.near_duplicates(docs))
-    kept = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(small(kept, 16), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    Documents without words stay. Of rows that share a doc_id one stays; rows without one are told apart by their text
+    and stand behind all numbered ones."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
+    named = docs.withColumn("_own", own)
+    found = Scratch(spark, "near").save(minhash.near_duplicates(named.select(F.col("_own").alias("doc_id"), "text")))
+    kept = found.where("kept").select(F.col("doc_id").alias("_own")).distinct()
+    out = named.join(small(kept, 16), "_own", "left_semi")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["_own"])
+    return out.drop("_own")
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

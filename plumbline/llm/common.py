@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import itertools
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 8 << 20
 
 _serial = itertools.count()
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _run = uuid.uuid4().hex
 
 
@@ -53,14 +56,17 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{_root(spark).rstrip('/')}/plumbline-{_run}/{name}-{next(_serial)}"
-        self.paths: dict[int, str] = {}
+        self.rows = 0  # about how many rows narrow tables have, once known
         atexit.register(self.close)
 
-    def save(self, df: DataFrame, files: int | None = None) -> DataFrame:
+    def save(self, df: DataFrame, files: int | None = None, narrow: bool = False) -> DataFrame:
+        """files: at most so many. narrow: short rows that come out of a shuffle, in at most two files a core, or more if
+        `rows` says so; each file costs its writer a process on file systems that set permissions through one."""
+        if narrow:
+            files = max(2 * self.spark.sparkContext.defaultParallelism, self.rows // 500_000)
         path = f"{self.base}/{next(_serial)}"
         (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
@@ -121,6 +127,45 @@ def bucketed(df: DataFrame, keys: list[str], at: str, n: int, weight: str | None
     return x.drop("_b", "_kb", "_r0", "_s0", *[f"_k{i}" for i in range(len(keys))])
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """make()'s value, kept in this worker process under `name` for later tasks. Only the last name's value is kept: a
+    worker that turns to another operator lets go of what the one before remembered."""
+    if name not in _held:
+        _held.clear()
+        lean()
+        _held[name] = make()
+    return _held[name]
+
+
+def lean() -> None:
+    """Gives freed memory of this worker process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def release() -> None:
+    """Lets go of what another operator's tasks kept in this worker process."""
+    if _held:
+        _held.clear()
+        lean()
+
+
+def leanly(run, holds: bool = False):
+    """Wraps a function over Arrow batches: lean() after the last. holds: it uses held() itself."""
+
+    def wrapped(batches):
+        if not holds:
+            release()
+        yield from run(batches)
+        lean()
+
+    return wrapped
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered; forgets all when it has grown, so memory stays bounded."""
 

@@ -142,18 +142,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     tune(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "fingerprints")
     base = scratch.save(versions(docs, scratch))
+    scratch.rows = base.count()
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("theirs")) for k, c in ((1, "edited"), (2, "following"))]))
 
     def pairs(rows: DataFrame) -> DataFrame:
         return rows.select("x", "rn", "ours", kinds.alias("k")).select("x", "rn", "k.kind", "ours", "k.theirs")
 
-    met = [scratch.save(_peel(pairs(base.repartition("x", "rn")), 1, LOAD))]
+    met = [scratch.save(_peel(pairs(base.repartition("x", "rn")), 1, LOAD), narrow=True)]
     for retry in range(1, RETRIES + 1):
         failed = met[-1].where(~F.col("ok")).select("x", "rn", "kind")
         if failed.isEmpty():
             break
         again = pairs(base).join(small(failed, 24), ["x", "rn", "kind"])
-        met.append(scratch.save(_peel(again, retry + 1, LOAD / 2**retry)))
+        met.append(scratch.save(_peel(again, retry + 1, LOAD / 2**retry), narrow=True))
     else:
         failed = met[-1].where(~F.col("ok")).select("x", "rn", "kind")
         rest = pairs(base).join(small(failed, 24), ["x", "rn", "kind"])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tune, unit
+from .common import leanly, release, table, tune, unit
 from .ngrams import folded, grams
 
 SIZES = (1, 2, 3)
@@ -66,7 +66,7 @@ def fit(docs: DataFrame, most: int = 24_000, alpha: float = 0.5, languages: int
         total = sum(np.frombuffer(c, np.int64) for c in rows["counts"])
         return pd.DataFrame({"lang": rows["lang"].iloc[:1], "counts": [total.tobytes()]})
 
-    parts = some.select("lang", "text").repartition(16).mapInArrow(add, "lang string, counts binary")  # 16 tasks: as many partial sums a language
+    parts = some.select("lang", "text").repartition(16).mapInArrow(leanly(add), "lang string, counts binary")  # 16 tasks: as many partial sums a language
     sums = parts.groupBy("lang").applyInPandas(merge, "lang string, counts binary").limit(languages + 1).collect()
     if len(sums) > languages:
         raise ValueError(f"more than {languages} languages")
@@ -125,6 +125,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, languages map<string,double>")
     def guess(texts: pd.Series) -> pd.DataFrame:
+        release()
         m = shared.value
         out = []
         for t in texts:

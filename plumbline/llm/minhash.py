@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, shingle_hashes, small, table, tune, words
+from .common import Scratch, WordHashes, leanly, shingle_hashes, small, table, tune, words
 from .components import components
 
 #: Bands of rows minima each. A pair at Jaccard 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
@@ -100,7 +100,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             columns = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array([d >> sh & (1 << 64) - 1 for d in digest], np.uint64).view(np.int64)) for sh in (64, 0)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d0", "d1", "bands", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(leanly(run), "doc_id long, " + SKETCH)
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -113,7 +113,7 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
             keep = [i for i, (s, d0, d1) in enumerate(zip(sets, b.column("d0").to_pylist(), b.column("d1").to_pylist(), strict=True)) if xxhash.xxh3_128_intdigest(s.tobytes()) == (d0 & (1 << 64) - 1) << 64 | d1 & (1 << 64) - 1]
             yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(keep, pa.int64())), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["node", "set"])
 
-    return docs.select("node", "d0", "d1", "text").mapInArrow(run, "node long, set array<long>")
+    return docs.select("node", "d0", "d1", "text").mapInArrow(leanly(run), "node long, set array<long>")
 
 
 def _mask(hashes: np.ndarray) -> np.ndarray:
@@ -152,12 +152,12 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     The sets of the nodes in question are made again from their texts: fewer bytes than keeping all sets. Joins on a
     node that many pairs share split, as the other side has one row a node."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = scratch.save(wanted.join(nodes.select("node", "first_id", "d0", "d1"), "node").select("node", F.col("first_id").alias("doc_id"), "d0", "d1"))
+    wanted = scratch.save(wanted.join(nodes.select("node", "first_id", "d0", "d1"), "node").select("node", F.col("first_id").alias("doc_id"), "d0", "d1"), narrow=True)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(small(wanted, 40), F.col("_id").eqNullSafe(F.col("doc_id")))
     sets = scratch.save(full_sets(texts, shingle))
     left = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    out = scratch.save(both.select("a", "b", "set_a", "set_b").mapInArrow(_compare, COMPARED))
+    out = scratch.save(both.select("a", "b", "set_a", "set_b").mapInArrow(leanly(_compare), COMPARED), narrow=True)
     scratch.drop(wanted, sets)
     return out
 
@@ -211,9 +211,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
     tune(spark)
     scratch = Scratch(spark, "minhash")
     rows = scratch.save(sketches(docs, shingle))
+    scratch.rows = rows.count()
     full = rows.where("n_shingles > 0")
+    keep = lambda df: scratch.save(df, narrow=True)
     nodes = full.groupBy("d0", "d1").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = scratch.save(nodes.withColumn("node", F.coalesce("first_id", "d0")))
+    nodes = keep(nodes.withColumn("node", F.coalesce("first_id", "d0")))
     sig = nodes.select("node", "sig")
     bound = percent / 100
 
@@ -224,33 +226,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
         sides = pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
         return sides.withColumn("like", estimate(F.col("sa"), F.col("sb"))).where(F.col("like") >= least).drop("sa", "sb")
 
-    first = scratch.save(buckets(nodes).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a"))
+    first = keep(buckets(nodes).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a"))
     stars = buckets(nodes).join(first, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    star = _compared(scratch.save(screened(stars, bound - FAR).select("a", "b")), docs, nodes, shingle, scratch)
+    star = _compared(keep(screened(stars, bound - FAR).select("a", "b")), docs, nodes, shingle, scratch)
     edges = star.where(_linked(percent)).select("a", "b")
     roots = components(edges, scratch)
     seen = star.select("a", "b")
 
     def scattered() -> DataFrame:
         """Rows of the buckets that hold several components: key, node, root, sig, main (the largest component)."""
-        placed = scratch.save(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bands", "sig"))
+        placed = keep(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bands", "sig"))
         mixed = buckets(placed, "root").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        members = scratch.save(buckets(placed, "root", "sig").join(small(mixed, 16), "key"))
+        members = keep(buckets(placed, "root", "sig").join(small(mixed, 16), "key"))
         counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
         return members.join(counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")), "key")
 
     for turn in range(rounds):
-        members = scratch.save(scattered())
+        members = keep(scattered())
         lead = members.where("root = main").groupBy("key").agg(F.min(F.xxhash64("node", F.lit(turn))).alias("at"))
         lead = members.where("root = main").join(lead, "key").where(F.xxhash64("node", F.lit(turn)) == F.col("at")).select("key", F.col("node").alias("l"), F.col("sig").alias("sl"), F.col("root").alias("rl"))
         tries = members.where("root <> main").join(lead, "key").withColumn("like", estimate(F.col("sig"), F.col("sl"))).where(F.col("like") >= bound - MARGIN)
         tries = tries.groupBy("node", "rl").agg(F.max_by("l", F.struct("like", "l")).alias("l")).select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
-        tries = scratch.save(tries.join(seen, ["a", "b"], "left_anti"))
+        tries = keep(tries.join(seen, ["a", "b"], "left_anti"))
         more = None if tries.isEmpty() else _compared(tries, docs, nodes, shingle, scratch)
         scratch.drop(members)
         if more is None:
             break
-        seen, found = scratch.save(seen.union(tries)), more.where(_linked(percent)).select("a", "b")
+        seen, found = keep(seen.union(tries)), more.where(_linked(percent)).select("a", "b")
         if found.isEmpty():
             break
         edges = edges.union(found)
@@ -260,7 +262,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
     zero = F.array(*[F.lit(0).cast("long")] * (MASK // 64))
     own = star.groupBy(F.col("a").alias("node")).agg(F.first("size_a").alias("size")).select(F.col("node").alias("third_node"), "node", "size", F.col("size").alias("shared"), F.col("size").alias("third"), zero.alias("added"), zero.alias("lacks"))
     differ = differ.union(own).withColumn("added_bits", _bits(F.col("added")))
-    members = scratch.save(scattered().join(first.withColumnRenamed("a", "third_node"), "key").join(differ, ["third_node", "node"], "left"))
+    members = keep(scattered().join(first.withColumnRenamed("a", "third_node"), "key").join(differ, ["third_node", "node"], "left"))
     fields = ["size", "shared", "third", "added", "lacks", "added_bits"]
     side = lambda name, rows: rows.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "root", "sig", *fields)], *([(F.col("root") == F.col("main")).alias("core")] if name == "x" else []))
     most = _most_shared("o", "x")
@@ -268,16 +270,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
     apart = (F.col("o_root") != F.col("x_root")) & (F.col("core") | (F.col("o_node") < F.col("x_node")))
     late = side("o", members.where("root <> main")).join(side("x", members), "key").where(apart & able & (estimate(F.col("o_sig"), F.col("x_sig")) >= bound - MARGIN))
     late = late.select(F.least("o_node", "x_node").alias("a"), F.greatest("o_node", "x_node").alias("b")).distinct()
-    late = scratch.save(late.join(seen, ["a", "b"], "left_anti"))
+    late = keep(late.join(seen, ["a", "b"], "left_anti"))
     if not late.isEmpty():
-        found = scratch.save(_compared(late, docs, nodes, shingle, scratch).where(_linked(percent)).select("a", "b"))
+        found = keep(_compared(late, docs, nodes, shingle, scratch).where(_linked(percent)).select("a", "b"))
         if not found.isEmpty():
             roots = components(edges.union(found), scratch)
 
     found = nodes.join(roots, "node", "left").select("d0", "d1", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = found.join(smallest, "root").select("d0", "d1", "component_id")
-    out = rows.select("doc_id", "n_shingles", "d0", "d1").join(scratch.save(of_class), ["d0", "d1"], "left")
+    out = rows.select("doc_id", "n_shingles", "d0", "d1").join(keep(of_class), ["d0", "d1"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

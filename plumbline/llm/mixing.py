@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, bucketed, small, table, tune, unit
+from .common import WORD, Scratch, bucketed, leanly, release, small, table, tune, unit
 
 #: Hypergeometric draws take fewer than 10**9 blocks in all; larger corpora get larger blocks.
 MOST_BLOCKS = 5e8
@@ -83,9 +83,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     tune(spark)
     scratch = Scratch(spark, "mix")
     base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("h"))
-    base = scratch.save(keyed(base, F.col("h")).drop("h"))
+    base = scratch.save(keyed(base, F.col("h")).drop("h"), narrow=True)
     per_source = scratch.save(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), 1)
-    n, all_words = base.count(), per_source.agg(F.sum("source_size")).first()[0] or 0
+    n = scratch.rows = base.count()
+    all_words = per_source.agg(F.sum("source_size")).first()[0] or 0
     block_words = max(block_words, int(all_words * share / MOST_BLOCKS))
     whole = F.floor("target").cast("long")
     plan = per_source.select(
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
     blocks = base.where("size > 0").select("key", "dup", "source", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / block_words).cast("int"))).alias("block"))
     blocks = blocks.select("key", "dup", "source", "block", F.least(F.lit(block_words), F.col("size") - F.col("block").cast("long") * block_words).alias("words"), unit(F.col("key"), F.col("dup"), F.col("block"), F.lit(seed)).alias("at"))
-    dealt = scratch.save(bucketed(blocks, ["source"], "at", max(n, 1), "words").join(small(plan, 96), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
+    dealt = scratch.save(bucketed(blocks, ["source"], "at", max(n, 1), "words").join(small(plan, 96), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), narrow=True)
 
     counts = dealt.groupBy("source").agg(F.count("*").alias("n"), F.first("full").alias("full"), F.sum((F.col("before") < F.col("rest")).cast("long")).alias("part"))
     quota = {r["source"]: (r["n"], int(r["full"]), int(r["part"])) for r in counts.collect()}  # one row a source
@@ -120,7 +121,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     full = dealt.where("full > 0").select("key", "dup", "source", "block", "rank", "words", F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("epoch"))
     part = dealt.where("before < rest").select("key", "dup", "source", "block", "rank", F.least("words", F.col("rest") - F.col("before")).alias("words"), F.col("full").cast("int").alias("epoch"))
     chosen = full.unionByName(part).select("key", "dup", "source", F.col("epoch").cast("long").alias("epoch"), F.col("block").cast("long").alias("block"), "rank", F.col("words").cast("long").alias("words"))
-    draws = chosen.mapInArrow(place, "key long, dup int, epoch long, block long, words long, shard long")
+    draws = chosen.mapInArrow(leanly(place), "key long, dup int, epoch long, block long, words long, shard long")
     return documents, draws.withColumn("place", F.xxhash64("key", "dup", "epoch", "block", F.lit(seed + 1)))
 
 
@@ -164,6 +165,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
 def _render_all(texts, parts, block_words):
     import pandas as pd
 
+    release()
     return pd.Series([None if ps is None else render(t, [(p["block"], p["words"]) for p in ps], block_words) for t, ps in zip(texts, parts, strict=True)], dtype=object)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, table, tune, unit
+from .common import Scratch, leanly, table, tune, unit
 
 #: Objects in a leaf page, children of an inner page, objects of a tree, queries that meet a tree together.
 PAGE, FAN, TREE_ROWS, QUERY_ROWS = 1024, 24, 16_384, 4096
@@ -193,7 +193,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             near = ((pivots * pivots).sum(1) - 2 * p @ pivots.T).argmin(1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], names=["vec_id", "x", "asks", "pivot"])
 
-    v = scratch.save(v.mapInArrow(nearest, "vec_id long, x array<long>, asks boolean, pivot int"))
+    v = scratch.save(v.mapInArrow(leanly(nearest), "vec_id long, x array<long>, asks boolean, pivot int"))
     held = {r["pivot"]: r["count"] for r in v.groupBy("pivot").count().collect()}  # a row a pivot
     parts = F.element_at(F.create_map(*[F.lit(z) for p, c in held.items() for z in (p, -(-c // TREE_ROWS))]), F.col("pivot"))
     tree = (F.col("pivot").cast("long") * (1 << 32) + F.floor(unit("vec_id") * parts)).alias("tree")
@@ -243,11 +243,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         copies = pages.join(wanted, F.col("tree") == F.col("for_tree")).drop("tree")
         return asked.groupBy("tree", "block").cogroup(copies.groupBy("for_tree", "for_block")).applyInPandas(find, out_schema)
 
-    home = scratch.save(queries.select("vec_id", "x").mapInArrow(route(True), "query_id long, q array<long>, tree long, least double"))
+    home = scratch.save(queries.select("vec_id", "x").mapInArrow(leanly(route(True)), "query_id long, q array<long>, tree long, least double"))
     near = scratch.save(searched(home))
     kth = near.groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("n")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("s")).cast("double").alias("least"))
     more = home.select(F.col("query_id").alias("vec_id"), F.col("q").alias("x"), F.col("tree").alias("seen")).join(kth, "vec_id", "left").select("vec_id", "x", "least", "seen")
-    far = searched(more.mapInArrow(route(False), "query_id long, q array<long>, tree long, least double"))
+    far = searched(more.mapInArrow(leanly(route(False)), "query_id long, q array<long>, tree long, least double"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.unionByName(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, tune, unit
+from .common import Scratch, held, leanly, table, tune, unit
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words of more bytes than this are tokenized but not remembered.
@@ -72,16 +72,6 @@ class _Ids(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_known: dict[str, _Ids] = {}
-
-
-def _ids_of(path: str) -> _Ids:
-    """One table of known words for each worker process: its tasks share it."""
-    if path not in _known:
-        _known[path] = _Ids(path)
-    return _known[path]
-
-
 def _split(text: str | None) -> list[bytes]:
     """Words of a text in UTF-8. The vocabulary is of lower case, so A-Z are lowered here, but where special tokens may be."""
     data = (text or "").encode()
@@ -105,7 +95,8 @@ def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> D
     tune(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _ids_of(_path(tokenizer))
+        path = _path(tokenizer)
+        known = held(f"ids of {path}", lambda: _Ids(path))  # shared by a worker's tasks
         step = 4 * most
         for b in batches:
             ids = b.column("doc_id").to_pylist()
@@ -118,7 +109,7 @@ def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> D
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(leanly(cut, holds=True), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_two_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

@@ -111,16 +111,16 @@ def judge(docs: DataFrame, model: Model, threshold: float = 0.5, site_weight: fl
     scratch = Scratch(docs.sparkSession, "quality")
     lang = F.col("lang") if "lang" in docs.columns else F.lit("")
     base = scratch.save(docs.select("doc_id", host_of(F.col("source")).alias("host"), path_of(F.coalesce("source", F.lit("")), lang).alias("path"), model.probability(F.col("text")).alias("evidence")))
-    paths = scratch.save(base.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s")))
+    paths = scratch.save(base.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s")), narrow=True)
     total, n = paths.agg(F.sum("s"), F.sum("n")).first()
     mean = min(1 - EDGE, max(EDGE, (total or 0.0) / n)) if n else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("prior", F.lit(mean))
     k = _strength(hosts, "prior")
     hosts = hosts.withColumn("mu", (k * F.col("prior") + F.col("s")) / (k + F.col("n")))
-    hosts = scratch.save(hosts.select(F.col("host").alias("h"), F.col("n").alias("hn"), F.col("s").alias("hs"), "mu"))
+    hosts = scratch.save(hosts.select(F.col("host").alias("h"), F.col("n").alias("hn"), F.col("s").alias("hs"), "mu"), narrow=True)
     paths = paths.join(small(hosts, 96), F.col("host").eqNullSafe(F.col("h")))
     j = _strength(paths.select("n", "s", F.col("mu").alias("prior")), "prior")
-    sites = scratch.save(paths.select("h", F.col("path").alias("p"), "hn", "hs", F.col("n").alias("pn"), F.col("s").alias("ps")))
+    sites = scratch.save(paths.select("h", F.col("path").alias("p"), "hn", "hs", F.col("n").alias("pn"), F.col("s").alias("ps")), narrow=True)
     x = base.join(small(sites, 128), F.col("host").eqNullSafe(F.col("h")) & (F.col("path") == F.col("p")))
     others = lambda s, m, prior, strength: (strength * prior + F.col(s) - F.col("evidence")) / (strength + F.col(m) - 1)
     x = x.withColumn("host_posterior", others("hs", "hn", F.lit(mean), k)).withColumn("path_posterior", others("ps", "pn", F.col("host_posterior"), j))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, shingle_hashes, table, tune, unit, words
+from .common import WordHashes, leanly, release, shingle_hashes, table, tune, unit, words
 from .langid import held_out
 from .ngrams import folded, grams
 
@@ -119,7 +119,7 @@ def _first_copies(some: DataFrame, keys: int = 4) -> DataFrame:
 
     seen: set[int] = set()
     first = []
-    for r in sorted(some.select("doc_id", "text").mapInArrow(minima, "doc_id long, least array<long>").collect(), key=lambda r: r["doc_id"]):
+    for r in sorted(some.select("doc_id", "text").mapInArrow(leanly(minima), "doc_id long, least array<long>").collect(), key=lambda r: r["doc_id"]):
         if seen.isdisjoint(r["least"]):
             first.append((r["doc_id"],))
         seen.update(r["least"])
@@ -144,7 +144,7 @@ def _fit(some: DataFrame, features: int, least_docs: int, least_signal: float) -
         return pd.DataFrame({"block": rows["block"].iloc[:1], "counts": [total.astype(np.int32).tobytes()], "n0": [rows["n0"].sum()], "n1": [rows["n1"].sum()]})
 
     schema = "block int, counts binary, n0 long, n1 long"
-    sums = sorted(some.mapInArrow(spread, schema).groupBy("block").applyInPandas(merge, schema).collect(), key=lambda r: r["block"])
+    sums = sorted(some.mapInArrow(leanly(spread), schema).groupBy("block").applyInPandas(merge, schema).collect(), key=lambda r: r["block"])
     if not sums or not sums[0]["n0"] + sums[0]["n1"]:
         return Model(np.empty(0, np.uint32), np.empty(0), float(np.log(0.1 / 0.9)))
     n0, n1 = sums[0]["n0"], sums[0]["n1"]
@@ -167,7 +167,7 @@ def _fit(some: DataFrame, features: int, least_docs: int, least_signal: float) -
                 g, k = np.unique(np.concatenate(seen[toxic]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(k * (1 - toxic)), pa.array(k * toxic)], names=["gram", "with0", "with1"])
 
-    each = some.mapInArrow(count, "gram long, with0 long, with1 long").groupBy("gram").agg(F.sum("with0").alias("with0"), F.sum("with1").alias("with1")).where(F.col("with0") + F.col("with1") >= least_docs)
+    each = some.mapInArrow(leanly(count), "gram long, with0 long, with1 long").groupBy("gram").agg(F.sum("with0").alias("with0"), F.sum("with1").alias("with1")).where(F.col("with0") + F.col("with1") >= least_docs)
     p = (F.col("with0") + F.col("with1") + 0.5) / F.lit(float(n0 + n1 + 1))
     score = F.abs(F.col("with1") - n1 * p) / F.sqrt(p * (1 - p) * F.lit(n1 * n0 / max(1, n0 + n1)) + 1)
     best = sorted(each.where(score >= least_signal).orderBy(score.desc(), "gram").limit(features).collect(), key=lambda r: r["gram"])
@@ -181,7 +181,7 @@ def _fit(some: DataFrame, features: int, least_docs: int, least_signal: float) -
             rows = [place.value.found(t).astype(np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["toxic", "at"])
 
-    rows = some.mapInArrow(present, "toxic int, at binary").collect()  # at most about `most` rows of a few features each
+    rows = some.mapInArrow(leanly(present), "toxic int, at binary").collect()  # at most about `most` rows of a few features each
     weights, intercept = _train([np.frombuffer(r["at"], np.int32) for r in rows], np.array([r["toxic"] for r in rows], float), ratio, base)
     return Model(model.features, weights * ratio, float(intercept))
 
@@ -194,6 +194,7 @@ def rate(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series([shared.value.score(t) for t in texts], dtype=float)
 
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
