@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, Scratch, table, tune
+from .common import BROADCAST_BYTES, Scratch, leanly, release, table, tune
 
 #: A sentence ends at a line's end or at a full stop, question or exclamation mark before white space.
 _END = re.compile(r"\n\s*|[.!?。！？]+[\"')\]]*\s+")
@@ -95,9 +95,10 @@ def repeated_spans(docs: DataFrame, least_words: int = 25) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), b.column("doc_id").take(pa.array(each)), b.column("h").take(pa.array(each)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32))], names=["run", "doc_id", "h", "first", "past"])
 
     known = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    every = scratch.save(known.mapInArrow(emit, "run long, doc_id long, h long, first int, past int"))
+    every = scratch.save(known.mapInArrow(leanly(emit), "run long, doc_id long, h long, first int, past int"))
+    scratch.rows = every.count()
     twice = every.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("home")).where("n > 1").select("run", "home")
-    again = scratch.save(every.join(twice, "run"))
+    again = scratch.save(every.join(scratch.save(twice, narrow=True), "run"), narrow=True)  # read back, so that a hot run's rows can be split
     at_home = Window.partitionBy("run", "doc_id")
     inside = again.where("doc_id = home").withColumn("at", F.min("first").over(at_home)).where("first > at").drop("at")
     covered = again.where("doc_id > home").unionByName(inside)
@@ -138,12 +139,13 @@ def remove_repeats(docs: DataFrame, least_words: int = 25) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "clean")
-    found = scratch.save(repeated_spans(docs, least_words).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("spans").alias("_spans")))
+    found = scratch.save(repeated_spans(docs, least_words).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("spans").alias("_spans")), narrow=True)
     size = found.agg(F.sum(F.size("_spans") * 8 + 48)).first()[0] or 0
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found
 
     @F.pandas_udf("text string, removed array<struct<start:int,past:int>>, n_removed int")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        release()
         out = [(None, None, 0) if t is None else _clean(t, s) for t, s in zip(texts, spans, strict=True)]
         return pd.DataFrame(out, columns=["text", "removed", "n_removed"])
 
