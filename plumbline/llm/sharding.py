@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, bucketed, small, table, tune, unit
 
 
+#: Rows of links of more rows are ordered one by one when shards are levelled.
+WIDE = 64
+
+
 def _goals(n: int, shards: int) -> list[int]:
     return [n // shards + (i < n % shards) for i in range(shards)]
 
@@ -22,7 +26,7 @@ def propagate(nodes: DataFrame, n: int, shards: int, turns: int, scratch: Scratc
     for turn in range(turns):
         here = nodes.where("link is not null").groupBy("link", "shard").agg(F.count("*").alias("k"))
         best = F.max_by("shard", F.struct("k", F.xxhash64("link", "shard").alias("tie")))
-        links = scratch.save(here.groupBy("link").agg(best.alias("want"), F.max("k").alias("held"), F.sum("k").alias("k")))
+        links = scratch.save(here.groupBy("link").agg(best.alias("want"), F.max("k").alias("held"), F.sum("k").alias("k")), narrow=True)
         settled = links.groupBy("want").agg(F.sum(F.when(F.col("held") == F.col("k"), F.col("k")).otherwise(F.lit(0))).alias("k")).collect()  # a row a shard
         room = {r["want"]: max(0, quota - r["k"]) for r in settled}
         moving = links.where("held < k").select("link", "want", "k", unit("link", F.lit(turn)).alias("at"))
@@ -31,17 +35,18 @@ def propagate(nodes: DataFrame, n: int, shards: int, turns: int, scratch: Scratc
             break
         asked = bucketed(moving, ["want"], "at", m, "k")
         limit = F.element_at(F.create_map(*[F.lit(x) for i in range(shards) for x in (i, int(room.get(i, quota)))]), F.col("want"))
-        let_in = scratch.save(asked.where(F.col("before") + F.col("k") <= limit).select("link", "want"))
+        let_in = scratch.save(asked.where(F.col("before") + F.col("k") <= limit).select("link", "want"), narrow=True)
         if let_in.isEmpty():
             break
-        moved = scratch.save(nodes.join(small(let_in, 24), "link", "left").withColumn("shard", F.coalesce("want", "shard")).select(*nodes.columns))
+        moved = scratch.save(nodes.join(small(let_in, 24), "link", "left").withColumn("shard", F.coalesce("want", "shard")).select(*nodes.columns), narrow=True)
         scratch.drop(nodes, links, let_in)
         nodes = moved
     return nodes
 
 
 def level(nodes: DataFrame, n: int, shards: int, scratch: Scratch) -> DataFrame:
-    """Moves as few rows as it takes for counts at most one apart: rows without links first, then links in hashed order."""
+    """Moves as few rows as it takes for counts at most one apart: rows without links first, then links in hashed order.
+    Rows of wide links take places of their own, so that no bucket of the order holds a whole one."""
     load = {r["shard"]: r["k"] for r in nodes.groupBy("shard").agg(F.count("*").alias("k")).collect()}  # a row a shard
     load = [load.get(i, 0) for i in range(shards)]
     goals = _goals(n, shards)
@@ -63,10 +68,10 @@ def level(nodes: DataFrame, n: int, shards: int, scratch: Scratch) -> DataFrame:
             into.append(i)
             at += goal[i] - load[i]
     place = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("shard") + 1)
-    ranked = bucketed(nodes.withColumn("at", F.when(F.col("link").isNull(), unit("doc_id", "text_crc32") / 2).otherwise(0.5 + unit("link") / 2)), ["shard"], "at", n)
+    ranked = bucketed(nodes.withColumn("at", F.when(F.col("link").isNull(), unit("doc_id", "text_crc32") / 2).otherwise(0.5 + F.when(F.col("wide"), unit("doc_id", "link")).otherwise(unit("link")) / 2)), ["shard"], "at", n)
     spot = place(first) + F.col("rank")
     to = F.element_at(F.array(*[F.lit(i) for i in into]), F.size(F.filter(F.array(*[F.lit(int(s)).cast("long") for s in starts]), lambda s: s <= spot)))
-    return scratch.save(ranked.withColumn("shard", F.when(F.col("rank") < place(over), to).otherwise(F.col("shard"))).select(*nodes.columns))
+    return scratch.save(ranked.withColumn("shard", F.when(F.col("rank") < place(over), to).otherwise(F.col("shard"))).select(*nodes.columns), narrow=True)
 
 
 def shard(docs: DataFrame, shards: int = 8, turns: int = 6) -> DataFrame:
@@ -82,12 +87,12 @@ def shard(docs: DataFrame, shards: int = 8, turns: int = 6) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "shard")
     text = F.coalesce("text", F.lit(""))
     base = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")))
-    n = base.count()
+    n = scratch.rows = base.count()
     most = max(2, n // shards // 2)
-    groups = base.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("g2"), F.ceil(F.col("k") / most).alias("parts"))
+    groups = base.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("g2"), F.ceil(F.col("k") / most).alias("parts"), (F.col("k") > WIDE).alias("wide"))
     part = F.floor(unit("doc_id", F.lit(1)) * F.col("parts"))
-    nodes = base.join(small(scratch.save(groups), 24), F.col("g") == F.col("g2"), "left").withColumn("link", F.when(F.col("parts").isNotNull(), F.xxhash64("g", part)))
-    nodes = scratch.save(nodes.select("doc_id", "size", "text_crc32", "link", "shard"))
+    nodes = base.join(small(scratch.save(groups, narrow=True), 24), F.col("g") == F.col("g2"), "left").withColumn("link", F.when(F.col("parts").isNotNull(), F.xxhash64("g", part)))
+    nodes = scratch.save(nodes.select("doc_id", "size", "text_crc32", "link", F.coalesce("wide", F.lit(False)).alias("wide"), "shard"), narrow=True)
     nodes = level(propagate(nodes, n, shards, turns, scratch), n, shards, scratch)
     placed = bucketed(nodes.withColumn("at", unit("doc_id", "text_crc32", F.lit(2))), ["shard"], "at", max(1, n))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
