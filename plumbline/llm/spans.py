@@ -13,34 +13,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, Scratch, leanly, release, table, tune
+from .common import BROADCAST_BYTES, Scratch, WordHashes, leanly, release, small, table, tune
 
 #: A sentence ends at a line's end or at a full stop, question or exclamation mark before white space.
 _END = re.compile(r"\n\s*|[.!?。！？]+[\"')\]]*\s+")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-#: A sentence of more words is cut further, after words that a hash picks, so that equal passages are cut alike.
-_LONG = 24
+#: Characters of scripts written without spaces are words of their own.
+_BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"(?:[{_BARE}]|[^\x20\x09-\x0D{_BARE}]+)[\x20\x09-\x0D]*|[\x20\x09-\x0D]+")
+_HAS_BARE = re.compile(f"[{_BARE}]")
+#: Of so many words in a row in a sentence one at least ends a part, the one of the least hash: equal passages are cut
+#: alike from their first such word to their last. Characters of scripts without spaces: of so many.
+_WINDOW, _BARE_WINDOW = 8, 2
 
 _INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
-def sentences(text: str) -> list[int]:
-    """Where each sentence ends; sentences follow each other without gaps and cover the text."""
-    ends, at = [], 0
-    for m in _END.finditer(text):
-        _cut(text, at, m.end(), ends)
-        at = m.end()
-    if at < len(text):
-        _cut(text, at, len(text), ends)
-    return ends
+class _TokenHashes(WordHashes):
+    def __missing__(self, token: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        h = self[token] = xxhash.xxh3_64_intdigest(token.strip().lower().encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hashes = _TokenHashes()
 
 
-def _cut(text: str, lo: int, hi: int, ends: list[int]) -> None:
-    if hi - lo > 2 * _LONG:
-        tokens = list(_TOKEN.finditer(text, lo, hi))
-        if len(tokens) > _LONG:
-            ends += [m.end() for m in tokens[:-1] if xxhash.xxh3_64_intdigest(m[0].strip().lower().encode("utf-8", "surrogatepass")) % 8 == 0]
-    ends.append(hi)
+def _least(h: np.ndarray, of: np.ndarray, window: int) -> np.ndarray:
+    """Which places hold the least value (the last of equal ones) of some `window` places in a row of one sentence."""
+    n = len(h)
+    picked = np.zeros(n, bool)
+    if n >= window:
+        rows = np.lib.stride_tricks.sliding_window_view(h, window)
+        low, at = rows[:, window - 1].copy(), np.full(n - window + 1, window - 1)
+        for i in range(window - 2, -1, -1):
+            less = rows[:, i] < low
+            low[less] = rows[less, i]
+            at[less] = i
+        at += np.arange(n - window + 1)
+        picked[at[of[window - 1 :] == of[: n - window + 1]]] = True
+    return picked
+
+
+def sentences(text: str) -> list[int]:
+    """Where each sentence, or part of one, ends; they follow each other without gaps and cover the text."""
+    tokens = _TOKEN.findall(text)
+    if not tokens:
+        return []
+    past = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+    h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    stops = np.array([m.end() for m in _END.finditer(text)], np.int64)
+    of = np.searchsorted(stops, past - 1, "right")  # the sentence that holds a token's last character
+    cut = _least(h, of, _WINDOW)
+    if _HAS_BARE.search(text):
+        bare = np.fromiter((bool(_HAS_BARE.match(t)) for t in tokens), bool, len(tokens))
+        # Only places whose whole window is bare: words beside them are no part of it.
+        cut |= _least(h, np.where(bare, of, -1 - np.arange(len(tokens))), _BARE_WINDOW)
+    return np.unique(np.concatenate([past[cut], stops, past[-1:]])).tolist()
 
 
 _up = np.ones(1, np.uint64)
@@ -132,9 +161,9 @@ def remove_repeats(docs: DataFrame, least_words: int = 25) -> DataFrame:
     the old text) and n_removed (sentences). text lacks the sentences that a repeated span covers.
 
     A repeated span is a run of two or more consecutive sentences with at least least_words words that occurs earlier,
-    by doc_id then place, in any document. Null or empty text: stays, nothing removed. Texts of one sentence: have no
-    run of several; sentences of over 24 words are first cut into several, at places that their words decide. A
-    document may become empty; its row stays. Columns of the input named removed or n_removed are replaced. No rows:
+    by doc_id then place, in any document. Null or empty text: stays, nothing removed. Sentences
+    of eight words or more are first cut into parts, at places that their words decide: of a repeated passage, up to
+    eight words before its first such place or sentence's end and after its last stay. A document may become empty; its row stays. Columns of the input named removed or n_removed are replaced. No rows:
     no rows."""
     spark = docs.sparkSession
     tune(spark)
