@@ -11,7 +11,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import BROADCAST_BYTES, Scratch, WordHashes, leanly, release, small, table, tune
 
@@ -109,11 +108,28 @@ def runs(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return value.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)
 
 
-def repeated_spans(docs: DataFrame, least_words: int = 25) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, h (hash of the text), spans: array of (first, past) sentence numbers.
+#: Null doc_ids stand behind all others.
+_LAST = (1 << 63) - 1
 
-    A run is repeated if it occurs more than once in all documents; every occurrence but the first, by doc_id then
-    place, is a span. Only documents that have spans get a row. Rows that share a doc_id count as one document."""
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds _key (doc_id) and _th (hash of the text), which order documents."""
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_th", F.xxhash64("text"))
+
+
+def _equal_rows(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """_key and _th of those that several rows of docs share, if any."""
+    twice = scratch.save(_keyed(docs).groupBy("_key", "_th").count().where("count > 1").select("_key", "_th"), narrow=True)
+    return None if twice.isEmpty() else twice
+
+
+def repeated_spans(docs: DataFrame, least_words: int = 25, equal: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, h (hash of the text), later, spans: array of (first, past) sentence numbers.
+
+    A run is repeated if it occurs more than once in all documents; every occurrence but the first, by doc_id, hash of
+    the text, then place, is a span. Only documents that have spans get a row. equal (_key, _th): documents that are
+    several rows. One of these counts as the first; `later` says whether spans are of the others, where every
+    occurrence is one."""
     scratch = Scratch(docs.sparkSession, "spans")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,15 +139,20 @@ def repeated_spans(docs: DataFrame, least_words: int = 25) -> DataFrame:
             cols = [np.concatenate(c) if found else np.empty(0) for c in zip(*found)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), b.column("doc_id").take(pa.array(each)), b.column("h").take(pa.array(each)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32))], names=["run", "doc_id", "h", "first", "past"])
 
-    known = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    known = _keyed(docs).select(F.col("_key").alias("doc_id"), F.col("_th").alias("h"), "text")
     every = scratch.save(known.mapInArrow(leanly(emit), "run long, doc_id long, h long, first int, past int"))
     scratch.rows = every.count()
     twice = every.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("home")).where("n > 1").select("run", "home")
     again = scratch.save(every.join(scratch.save(twice, narrow=True), "run"), narrow=True)  # read back, so that a hot run's rows can be split
-    at_home = Window.partitionBy("run", "doc_id")
-    inside = again.where("doc_id = home").withColumn("at", F.min("first").over(at_home)).where("first > at").drop("at")
-    covered = again.where("doc_id > home").unionByName(inside)
-    return covered.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "past")).alias("spans"))
+    # No window over a run or document: many rows may share both.
+    at_home = again.where("doc_id = home")
+    start = at_home.groupBy("run").agg(F.min(F.struct("h", "first")).alias("at"))
+    inside = at_home.join(start, "run").where(F.struct("h", "first") > F.col("at")).drop("at")
+    covered = again.where("doc_id > home").unionByName(inside).withColumn("later", F.lit(False))
+    if equal is not None:
+        mine = small(equal.select(F.col("_key").alias("doc_id"), F.col("_th").alias("h")), 24)
+        covered = covered.unionByName(again.join(mine, ["doc_id", "h"], "left_semi").select("run", "doc_id", "h", "first", "past", "home").withColumn("later", F.lit(True)))
+    return covered.groupBy("doc_id", "h", "later").agg(F.collect_set(F.struct("first", "past")).alias("spans"))
 
 
 def _clean(text: str, spans) -> tuple[str, list[tuple[int, int]], int]:
@@ -161,14 +182,16 @@ def remove_repeats(docs: DataFrame, least_words: int = 25) -> DataFrame:
     the old text) and n_removed (sentences). text lacks the sentences that a repeated span covers.
 
     A repeated span is a run of two or more consecutive sentences with at least least_words words that occurs earlier,
-    by doc_id then place, in any document. Null or empty text: stays, nothing removed. Sentences
+    by doc_id, hash of the text, then place, in any document; null doc_ids stand last, and of equal rows any one is the
+    first. Null or empty text: stays, nothing removed. Sentences
     of eight words or more are first cut into parts, at places that their words decide: of a repeated passage, up to
     eight words before its first such place or sentence's end and after its last stay. A document may become empty; its row stays. Columns of the input named removed or n_removed are replaced. No rows:
     no rows."""
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "clean")
-    found = scratch.save(repeated_spans(docs, least_words).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("spans").alias("_spans")), narrow=True)
+    equal = _equal_rows(docs, scratch)
+    found = scratch.save(repeated_spans(docs, least_words, equal).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("later").alias("_l"), F.col("spans").alias("_spans")), narrow=True)
     size = found.agg(F.sum(F.size("_spans") * 8 + 48)).first()[0] or 0
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found
 
@@ -179,8 +202,16 @@ def remove_repeats(docs: DataFrame, least_words: int = 25) -> DataFrame:
         return pd.DataFrame(out, columns=["text", "removed", "n_removed"])
 
     names = [c for c in docs.columns if c not in ("removed", "n_removed")]
-    keyed = docs.select(*names).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_th", F.xxhash64("text"))
-    x = keyed.join(found, (F.col("_key") == F.col("_id")) & (F.col("_th") == F.col("_h")), "left")
+    keyed = _keyed(docs.select(*names))
+    if equal is None:
+        keyed = keyed.withColumn("_later", F.lit(False))
+    else:
+        both = small(equal, 24)
+        rows = scratch.save(keyed.join(both, ["_key", "_th"], "left_semi").withColumn("_row", F.monotonically_increasing_id()))  # kept, so that numbers stay
+        one = rows.groupBy("_key", "_th").agg(F.min("_row").alias("_one"))
+        rows = rows.join(small(scratch.save(one, narrow=True), 32), ["_key", "_th"]).withColumn("_later", F.col("_row") > F.col("_one")).drop("_row", "_one")
+        keyed = keyed.join(both, ["_key", "_th"], "left_anti").withColumn("_later", F.lit(False)).unionByName(rows)
+    x = keyed.join(found, (F.col("_key") == F.col("_id")) & (F.col("_th") == F.col("_h")) & (F.col("_later") == F.col("_l")), "left")
     x = x.withColumn("_cut", cut(F.when(F.col("_spans").isNotNull(), F.col("text")), "_spans"))
     hit = F.col("_spans").isNotNull()
     text = F.when(hit, F.col("_cut.text")).otherwise(F.col("text"))

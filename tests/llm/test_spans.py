@@ -26,3 +26,14 @@ def test_planted_passages_are_found(spark, kind):
         assert all(at <= s.start and s.past <= at + n for s in got[d]) and not got[d - 1]
         shares.append(sum(s.past - s.start for s in got[d]) / n)
     assert min(shares) > 0.4 and sum(shares) / len(shares) > 0.8
+
+
+def test_one_occurrence_stays_among_rows_without_own_number(spark):
+    r = random.Random(6)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(n)) + ".\n"
+    header, other, whole, twice = text(40), text(40), text(60), text(50)
+    rows = [(None, header + text(30)) for _ in range(6)] + [(7, other + text(30)) for _ in range(5)] + [(None, whole)] * 4 + [(9, twice + twice)] * 3
+    out = [x.text for x in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len(out) == len(rows)
+    assert sum(header in t for t in out) == sum(other in t for t in out) == 1
+    assert out.count(whole) == 1 and out.count("") == 5 and sum(t.count(twice) for t in out) == 1
