@@ -20,14 +20,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word runs, similarity 0.8 or more) the document of the smallest doc_id stays.
 
-    Documents without words stay. Of rows that share a doc_id one stays; rows without one are told apart by their text
-    and stand behind all numbered ones."""
+    Documents without words stay. Rows that share a doc_id are told apart by their text, as are rows without one, which
+    stand behind all numbered ones. Of rows with equal doc_id and text one stays."""
+    scratch = Scratch(spark, "near")
     own = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
     named = docs.withColumn("_own", own)
-    found = Scratch(spark, "near").save(minhash.near_duplicates(named.select(F.col("_own").alias("doc_id"), "text")))
+    texts = scratch.save(named.groupBy("_own", F.xxhash64("text").alias("_text")).agg((F.count("*") > 1).alias("_equal")), narrow=True)
+    equal = not texts.where("_equal").isEmpty()
+    if not texts.groupBy("_own").count().where("count > 1").isEmpty():
+        # New numbers in the order of doc_id and hash of the text: partitions of a sort follow each other.
+        numbers = scratch.save(texts.select("_own", "_text").orderBy("_own", "_text").withColumn("_number", F.monotonically_increasing_id()))
+        named = named.withColumn("_text", F.xxhash64("text")).join(small(numbers, 24), ["_own", "_text"]).withColumn("_own", F.col("_number")).drop("_text", "_number")
+        named = scratch.save(named)
+    found = scratch.save(minhash.near_duplicates(named.select(F.col("_own").alias("doc_id"), "text")))
     kept = found.where("kept").select(F.col("doc_id").alias("_own")).distinct()
     out = named.join(small(kept, 16), "_own", "left_semi")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+    if equal:
         out = out.dropDuplicates(["_own"])
     return out.drop("_own")
 
