@@ -13,7 +13,7 @@ from plumbline.llm.common import Scratch, small, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of whose text no known language makes up half, go."""
+    """Documents without letters, or of whose text known languages together make up less than half, go."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 

@@ -139,10 +139,33 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*keep, guess("text").alias("_g")).select(*keep, "_g.lang_pred", "_g.score", "_g.languages")
 
 
+def known_share(model: Model, at: np.ndarray, n: np.ndarray, penalty: float = 3.0) -> float:
+    """How much of a text its languages make up together, beside unknown text, in which all buckets are as likely.
+
+    1 unless unknown text adds more than a language must, see infer."""
+    languages = infer(model, at, n, penalty)
+    weights = np.array(list(languages.values()))
+    log_p = model.log_p[[model.languages.index(k) for k in languages]][:, at]
+    top = log_p.max(0)
+    mixed = np.log(np.maximum(weights, 1e-300) @ np.exp(log_p - top)) + top
+    w, score = proportions(np.stack([mixed, np.full(len(at), -np.log(BUCKETS))]), n)
+    return float(w[0]) if score - float(mixed @ n) > penalty * np.log(max(2, n.sum())) / 2 + 1 else 1.0
+
+
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Documents whose main language is known and makes up at least `least` of the text; columns stay."""
-    kept = identify(docs.withColumn("_all", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_all", "text"), model)
-    return kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_all.*")
+    """Documents of whose text known languages together make up at least `least`; columns stay.
+
+    Null text or text without letters goes; all texts if the model has learned no language."""
+    tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS doubles: its size is fixed
+
+    @F.pandas_udf("double")
+    def share(texts: pd.Series) -> pd.Series:
+        release()
+        m = shared.value
+        return pd.Series([known_share(m, *c) if len(c[0]) and m.languages else -1.0 for c in map(_counts, texts)], dtype=float)
+
+    return docs.where(share("text") >= F.lit(float(least)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
