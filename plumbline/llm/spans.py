@@ -18,7 +18,8 @@ from .common import BROADCAST_BYTES, Scratch, WordHashes, leanly, release, small
 _END = re.compile(r"\n\s*|[.!?。！？]+[\"')\]]*\s+")
 #: Characters of scripts written without spaces are words of their own.
 _BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_TOKEN = re.compile(rf"(?:[{_BARE}]|[^\x20\x09-\x0D{_BARE}]+)[\x20\x09-\x0D]*|[\x20\x09-\x0D]+")
+_TOKEN = re.compile(rf"(?:[{_BARE}]|[^\s{_BARE}]+)\s*|\s+")
+_PLAIN = re.compile(r"\S+\s*|\s+")
 _HAS_BARE = re.compile(f"[{_BARE}]")
 #: Of so many words in a row in a sentence one at least ends a part, the one of the least hash: equal passages are cut
 #: alike from their first such word to their last. Characters of scripts without spaces: of so many.
@@ -39,36 +40,53 @@ _hashes = _TokenHashes()
 
 
 def _least(h: np.ndarray, of: np.ndarray, window: int) -> np.ndarray:
-    """Which places hold the least value (the last of equal ones) of some `window` places in a row of one sentence."""
+    """Which places hold the least value (the last of equal ones) of some `window` places in a row of one sentence.
+    window: a power of two."""
     n = len(h)
     picked = np.zeros(n, bool)
     if n >= window:
-        rows = np.lib.stride_tricks.sliding_window_view(h, window)
-        low, at = rows[:, window - 1].copy(), np.full(n - window + 1, window - 1)
-        for i in range(window - 2, -1, -1):
-            less = rows[:, i] < low
-            low[less] = rows[less, i]
-            at[less] = i
-        at += np.arange(n - window + 1)
-        picked[at[of[window - 1 :] == of[: n - window + 1]]] = True
+        # The high bits, then how far a place is from the end of what _PLACE bits can count.
+        low = h & ~_PLACE | _PLACE - np.arange(n, dtype=np.uint64)
+        wide = 1
+        while wide < window:
+            low = np.minimum(low[:-wide], low[wide:])
+            wide *= 2
+        picked[(_PLACE - (low & _PLACE)).astype(np.int64)[of[window - 1 :] == of[: n - window + 1]]] = True
     return picked
 
 
+_PLACE = np.uint64((1 << 28) - 1)  # more tokens than a text can have
+
+
+def _split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text with characters: where parts end, how many tokens end by then; hashes of tokens, and which start a word."""
+    has_bare = not text.isascii() and _HAS_BARE.search(text) is not None
+    tokens = (_TOKEN if has_bare else _PLAIN).findall(text)
+    n = len(tokens)
+    past = np.cumsum(np.fromiter(map(len, tokens), np.int64, n))
+    h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, n)
+    stops = np.searchsorted(past, np.array([m.end() for m in _END.finditer(text)], np.int64))  # each ends a token
+    cut = np.zeros(n, bool)
+    cut[stops] = True
+    of = np.cumsum(cut) - cut
+    start = np.ones(n, bool)
+    start[0] = not tokens[0].isspace()
+    picked = _least(h, of, _WINDOW)
+    if has_bare:
+        bare = np.fromiter((bool(_HAS_BARE.match(t)) for t in tokens), bool, n)
+        # Only places whose whole window is bare: words beside them are no part of it.
+        picked |= _least(h, np.where(bare, of, -1 - np.arange(n)), _BARE_WINDOW)
+        spaced = np.fromiter((t[-1].isspace() for t in tokens), bool, n)
+        start[1:] = spaced[:-1] | (cut | picked)[:-1]
+    cut |= picked
+    cut[-1] = True
+    at = np.flatnonzero(cut)
+    return past[at], at + 1, h, start
+
+
 def sentences(text: str) -> list[int]:
     """Where each sentence, or part of one, ends; they follow each other without gaps and cover the text."""
-    tokens = _TOKEN.findall(text)
-    if not tokens:
-        return []
-    past = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
-    h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
-    stops = np.array([m.end() for m in _END.finditer(text)], np.int64)
-    of = np.searchsorted(stops, past - 1, "right")  # the sentence that holds a token's last character
-    cut = _least(h, of, _WINDOW)
-    if _HAS_BARE.search(text):
-        bare = np.fromiter((bool(_HAS_BARE.match(t)) for t in tokens), bool, len(tokens))
-        # Only places whose whole window is bare: words beside them are no part of it.
-        cut |= _least(h, np.where(bare, of, -1 - np.arange(len(tokens))), _BARE_WINDOW)
-    return np.unique(np.concatenate([past[cut], stops, past[-1:]])).tolist()
+    return _split(text)[0].tolist() if text else []
 
 
 _up = np.ones(1, np.uint64)
@@ -86,15 +104,16 @@ def _powers(n: int) -> None:
 def runs(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first, past) of runs of consecutive sentences: from each sentence the shortest of two or more that has
     least_words words, and to each sentence likewise. White space and letter case don't count."""
-    ends = sentences(text)
-    parts = [text[a:b].encode("utf-8", "surrogatepass").lower().split() for a, b in zip([0, *ends], ends)]
-    n = len(parts)
+    ends, tokens, h, start = _split(text) if text else (np.empty(0, np.int64),) * 4
+    n = len(ends)
     if n < 2:
         return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
-    _powers(n)
-    h = np.array([xxhash.xxh3_64_intdigest(b" ".join(p)) for p in parts], np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _up[:n])])
-    count = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    _powers(len(h))
+    lead = int(text[0].isspace())
+    h = h[lead:]  # no white space before the first word
+    edge = np.concatenate([[0], tokens - lead])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _up[: len(h)])])[edge]
+    count = np.concatenate([[0], np.cumsum(start[lead:])])[edge]
     here = np.arange(n + 1)
     past = np.maximum(np.searchsorted(count, count + least_words), here + 2)
     first = np.minimum(np.searchsorted(count, count - least_words, "right") - 1, here - 2)
@@ -102,7 +121,7 @@ def runs(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     hi = np.concatenate([past[past <= n], here[first >= 0]])
     both = np.unique(lo * (n + 1) + hi)
     lo, hi = both // (n + 1), both % (n + 1)
-    value = (total[hi] - total[lo]) * _down[lo]
+    value = (total[hi] - total[lo]) * _down[edge[lo]]
     value ^= value >> np.uint64(29)
     value = value * np.uint64(0xBF58476D1CE4E5B9) + (hi - lo).astype(np.uint64)
     return value.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)
