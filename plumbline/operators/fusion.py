@@ -80,8 +80,10 @@ def hybrid(index: bm25.Index, vectors: DataFrame, questions: DataFrame, k: int =
 def sweep(ranked: DataFrame, configs: DataFrame, k: int) -> DataFrame:
     """ranked (as rrf's) x configs (config, k, dense_weight, bm25_weight) -> config, qid, rank, chunk_id, rrf_score.
 
-    The arms are retrieved once; each configuration only fuses them anew. configs: a handful of rows."""
-    x = first_places(ranked, ["qid", "arm"]).crossJoin(F.broadcast(configs.select("config", F.col("k").alias("_k"), "dense_weight", "bm25_weight").limit(1000)))
+    The arms are retrieved once; each configuration only fuses them anew. configs: all are used; up to 10,000 are broadcast."""
+    each = configs.select("config", F.col("k").alias("_k"), "dense_weight", "bm25_weight")
+    each = F.broadcast(each) if each.limit(10_001).count() <= 10_000 else each
+    x = first_places(ranked, ["qid", "arm"]).crossJoin(each)
     weight = F.when(F.col("arm") == "dense", F.col("dense_weight")).when(F.col("arm") == "bm25", F.col("bm25_weight")).otherwise(1.0)
     fused = x.groupBy("config", "qid", "chunk_id").agg(F.round(F.sum(weight / (F.col("_k") + F.col("rank"))), DIGITS).alias("rrf_score"))
     w = Window.partitionBy("config", "qid").orderBy(F.col("rrf_score").desc(), "chunk_id")

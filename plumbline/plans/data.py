@@ -11,6 +11,10 @@ from plumbline.functions import text as T
 from plumbline.operators import chunking
 
 
+#: So many passages may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 20_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,7 +53,9 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir).select("chunk_id", F.lower("text").alias("low"))
     words = F.split("low", " ")
     heads = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, 3), " ")))
-    found = c.withColumn("head", F.explode(heads)).join(F.broadcast(q.select("qid", "item_id", "passage", "head").limit(1_000_000)), "head").where(F.concat(F.lit(" "), "low", F.lit(" ")).contains(F.concat(F.lit(" "), "passage", F.lit(" "))))
+    asked_for = q.select("qid", "item_id", "passage", "head")
+    asked_for = F.broadcast(asked_for) if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked_for
+    found = c.withColumn("head", F.explode(heads)).join(asked_for, "head").where(F.concat(F.lit(" "), "low", F.lit(" ")).contains(F.concat(F.lit(" "), "passage", F.lit(" "))))
     one = found.select("qid", "item_id", "chunk_id").distinct()
     first = F.col("item_id") - F.col("item_id") % 2
     pair = F.struct(F.concat(F.lit("m"), F.lpad(first.cast("string"), 5, "0")).alias("qid"), F.lit("all_required").alias("semantics"), (F.col("item_id") % 2).cast("int").alias("group_idx"))
