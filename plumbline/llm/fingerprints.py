@@ -2,174 +2,248 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, small, table, tune
+from .common import Scratch, small, table, tune, unit
 
 #: A piece is a run of up to so many words of one line.
 PIECE_WORDS = 32
 PIECE = r"\S++(?:[^\S\n]++\S++){0,%d}" % (PIECE_WORDS - 1)
-#: Each digest goes to one cell of each of three tables.
-TABLES = 3
-#: Cells a table of the published fingerprint, and of a block of a sketch that is peeled.
-SMALL, WIDTH = 8, 16
-#: Pieces of both documents for which a block is laid out at first; each retry halves it.
-LOAD = 16
-RETRIES = 6
+#: Each digest goes to one cell of each of three tables of 16 cells, which make a block.
+TABLES, WIDTH = 3, 16
+#: A fingerprint has a block for about so many digests, or up to half as many.
+LOAD = 8
+#: A block that doesn't peel is laid out again in twice as many, as often as it takes; so often never happens.
+RETRIES = 40
+#: Groups of neighbouring ids, whose bounds the driver picks from about 32 ids a group.
+MOST_GROUPS = 16_384
 _KEY = (1 << 48) - 1
+#: What is peeled: each version alone, so that its fingerprint holds all its digests, and differences of two versions.
+OURS, EDITED, TO_EDITED, TO_NEXT = range(4)
 
 
-def digests(text: Column) -> Column:
-    """Distinct digests of a text's pieces: 48 bits, under 16 bits that check them."""
-    key = lambda p: F.xxhash64(p).bitwiseAND(F.lit(_KEY))
-    return F.array_distinct(F.transform(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), key), lambda k: F.shiftleft(_check(k), 48).bitwiseOR(k)))
+def pieces(text: Column) -> Column:
+    """Hashes of a text's pieces in order, then one of the text as a whole, which tells order and white space."""
+    hashes = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p))
+    return F.concat(hashes, F.array(F.xxhash64(text, F.lit(-1))))
 
 
-def _check(key: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(97)), 48)
+def digest(piece: Column, number: Column) -> Column:
+    """Of a piece and its number among equal ones of the text: 48 bits, under 16 bits that check them."""
+    return _let(F.xxhash64(piece, number).bitwiseAND(F.lit(_KEY)), lambda k: F.shiftleft(_check(k), 48).bitwiseOR(k))
 
 
-def _pure(c: Column, v: Column) -> Column:
-    return (F.abs(c) == 1) & (F.shiftrightunsigned(v, 48) == _check(v.bitwiseAND(F.lit(_KEY))))
+def level(n: Column) -> Column:
+    """2**level blocks are laid out for n digests."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(n / F.lit(float(LOAD))))).cast("int")
 
 
-def _cells(v: Column, seed: Column, width: int) -> Column:
-    return F.array(*[(F.lit(i * width) + F.pmod(F.xxhash64(v, seed, F.lit(i)), F.lit(width))).cast("int") for i in range(TABLES)])
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def fingerprint(values: Column) -> Column:
-    """A sketch of SMALL cells a table as text: the number of digests, then for each cell its count and its digests' XOR."""
+def _check(key: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(97)), 48)
 
-    def cell(i: int, j: int) -> Column:
-        here = F.filter(values, lambda v: F.pmod(F.xxhash64(v, F.lit(0), F.lit(i)), F.lit(SMALL)) == j)
-        return F.concat(F.hex(F.size(here).cast("long")), F.lit("."), F.hex(F.aggregate(here, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(v))))
 
-    return F.concat_ws(" ", F.size(values).cast("string"), *[cell(i, j) for i in range(TABLES) for j in range(SMALL)])
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
 
-def neighbours(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs (doc_id, text) -> x, rn (together a row's key), doc_id, text, following (text of the next document by doc_id;
-    of the first after the last).
-
-    Documents fall in about sqrt(n) groups of neighbouring ids, which one shuffle by range brings together; each
-    group also gets a copy of the next group's first document. No window spans the table but one over groups. Null
-    doc_id: after all others. Equal doc_ids: in the order of their texts' hashes."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    wide = 1 if lo is None else max(1, (hi - lo + 1) * int(max(64, n**0.5 / 2)) // n)
-    last = (1 << 63) - 1
-    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(last))).withColumn("x", F.expr(f"k div {wide}L"))
-    every = Window.partitionBy()
-    firsts = keyed.groupBy("x").agg(F.min("k").alias("first"))  # about sqrt(n) rows
-    order = Window.partitionBy().orderBy("x")
-    firsts = firsts.withColumn("to", F.lag("x").over(order)).withColumn("far", F.max("x").over(every))
-    firsts = scratch.save(firsts.select("first", F.coalesce("to", "far").alias("to"), F.col("to").isNull().alias("wraps")), 1)
-    placed = keyed.join(F.broadcast(firsts), F.col("k") == F.col("first"), "left")
-    own = F.struct("x", F.lit(False).alias("ghost"), F.lit(False).alias("wraps"))
-    ghost = F.struct(F.col("to").alias("x"), F.lit(True).alias("ghost"), F.col("wraps").alias("wraps"))
-    copies = F.explode(F.when(F.col("first").isNull(), F.array(own)).otherwise(F.array(own, ghost)))
-    spread = placed.select("doc_id", "k", "text", copies.alias("c")).select("doc_id", "k", "text", "c.x", "c.ghost", "c.wraps").repartitionByRange("x")
-    w = Window.partitionBy("x").orderBy("wraps", "k", "ghost", F.xxhash64("text"), F.length("text"))
-    return spread.withColumn("rn", F.row_number().over(w)).withColumn("following", F.lead("text").over(w)).where("not ghost").select("x", "rn", "doc_id", "text", "following")
+def _places(h: Column) -> list[Column]:
+    """The cells of a digest whose hash in this attempt is h."""
+    return [(F.lit(i * WIDTH) + F.shiftrightunsigned(h, 4 * i).bitwiseAND(F.lit(WIDTH - 1))).cast("int") for i in range(TABLES)]
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.transform(F.array(value), use)[0]
-
+def peeled(cells: Column, attempt: int) -> Column:
+    """cells (array of struct<b: bit of its place, c: count, v: XOR of digests>) -> struct: rest (cells), found (digests
+    with the sign of the version that has them), stuck.
 
-def peeled(cells: Column, seed: int) -> Column:
-    """cells (array of struct<i, c, v>) -> struct: rest (cells), plus and minus (digests of either version), stuck.
+    In each round all digests that some cell holds alone are taken out of their three cells."""
+    none = F.expr("cast(array() as array<struct<v:bigint,s:int,m:bigint>>)")
 
-    One digest after another that a cell holds alone is taken out of its three cells."""
-    at = lambda v: _cells(v, F.lit(seed), WIDTH)
-    none = F.expr("cast(array() as array<bigint>)")
-    state = lambda rest, plus, minus, stuck: F.struct(rest.alias("rest"), plus.alias("plus"), minus.alias("minus"), F.lit(stuck).alias("stuck"))
+    def mask(v: Column) -> Column:
+        return _let(F.xxhash64(v, F.lit(attempt)), lambda h: reduce(Column.bitwiseOR, [_bit(p) for p in _places(h)]))
 
-    def take(s: Column, one: Column) -> Column:
-        def without(hit: Column) -> Column:
-            rest = F.transform(s["rest"], lambda e: F.when(F.array_contains(hit, e["i"]), F.struct(e["i"].alias("i"), (e["c"] - one["c"]).alias("c"), e["v"].bitwiseXOR(one["v"]).alias("v"))).otherwise(e))
-            add = lambda name, sign: F.when(one["c"] == sign, F.concat(s[name], F.array(one["v"]))).otherwise(s[name])
-            return state(rest, add("plus", 1), add("minus", -1), False)
+    def without(e: Column, ones: Column) -> Column:
+        start = F.struct(e["c"].alias("c"), e["v"].alias("v"))
+        left = F.aggregate(ones, start, lambda a, o: F.when(o["m"].bitwiseAND(e["b"]) != 0, F.struct((a["c"] - o["s"]).alias("c"), a["v"].bitwiseXOR(o["v"]).alias("v"))).otherwise(a))
+        return _let(left, lambda a: F.struct(e["b"].alias("b"), a["c"].alias("c"), a["v"].alias("v")))
 
-        return F.when(one.isNull(), state(s["rest"], s["plus"], s["minus"], True)).otherwise(_let(at(one["v"]), without))
+    def turn(s: Column) -> Column:
+        pure = F.filter(s["rest"], lambda e: (F.abs(e["c"]) == 1) & (F.shiftrightunsigned(e["v"], 48) == _check(e["v"].bitwiseAND(F.lit(_KEY)))))
+        alone = F.filter(F.transform(pure, lambda e: F.struct(e["v"].alias("v"), e["c"].alias("s"), mask(e["v"]).alias("m"), e["b"].alias("b"))), lambda e: e["m"].bitwiseAND(e["b"]) != 0)
+        ones = F.array_distinct(F.transform(alone, lambda e: F.struct(e["v"].alias("v"), e["s"].alias("s"), e["m"].alias("m"))))
+        return _let(ones, lambda o: F.when(F.size(o) == 0, F.struct(s["rest"].alias("rest"), s["found"].alias("found"), F.lit(True).alias("stuck"))).otherwise(
+            F.struct(F.filter(F.transform(s["rest"], lambda e: without(e, o)), lambda e: (e["c"] != 0) | (e["v"] != 0)).alias("rest"), F.concat(s["found"], o).alias("found"), F.lit(False).alias("stuck"))))
 
-    def step(s: Column) -> Column:
-        alone = F.filter(s["rest"], lambda e: _pure(e["c"], e["v"]) & F.array_contains(at(e["v"]), e["i"]))
-        return _let(F.get(alone, F.lit(0)), lambda one: take(s, one))
+    start = F.struct(cells.alias("rest"), none.alias("found"), F.lit(False).alias("stuck"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(cells) + 1), start, lambda s, _: F.when(s["stuck"], s).otherwise(_let(s, turn)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(cells) + 1), state(cells, none, none, False), lambda s, _: F.when(s["stuck"], s).otherwise(_let(s, step)))
 
+def neighbours(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs (doc_id, text) -> x, rn (together a row's key), times, doc_id, text, ours (its pieces), following (text of the
+    next document by doc_id; of the first after the last) and next (its pieces).
+
+    Null doc_id: after all others. Equal doc_ids: in the order of their texts' hashes. Rows of equal doc_id and text are
+    one row here, which stands for `times` of them: each but the last has an equal one after it. Documents fall in
+    about sqrt(n) groups between bounds that a sample of at most about 32 * MOST_GROUPS ids gives, so no id or gap makes
+    one group large; one shuffle by range brings groups together, and each also gets a copy of the next group's first
+    document. No window spans the table but one over groups."""
+    text = F.coalesce("text", F.lit(""))
+    own = F.struct(F.col("doc_id").isNull().alias("o"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.xxhash64(text).alias("h"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), own.alias("key"))
+    classes = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("times")), narrow=True)
+    n = classes.count()
+    twice = scratch.save(classes.where("times > 1"), narrow=True)
+    groups = int(min(MOST_GROUPS, -(-n // max(64.0, n**0.5 / 2)))) or 1
+    sample = sorted(tuple(r[0]) for r in classes.where(unit("key.k", "key.h", F.lit(5)) < 32 * groups / max(n, 1)).select("key").collect())
+    bounds = [sample[len(sample) * i // groups] for i in range(1, groups)] if sample else []
+    known = F.from_json(F.lit(json.dumps([{"o": o, "k": k, "h": h} for o, k, h in bounds])), "array<struct<o:boolean,k:bigint,h:bigint>>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(groups.bit_length()))])
+    group = lambda key: F.aggregate(steps, F.lit(0), lambda at, p: F.when(F.coalesce(F.get(known, at + p - 1) <= key, F.lit(False)), at + p).otherwise(at))
+
+    firsts = classes.groupBy(group(F.col("key")).alias("x")).agg(F.min("key").alias("first"))  # one row a group
+    order, every = Window.partitionBy().orderBy("x"), Window.partitionBy()
+    firsts = firsts.withColumn("to", F.lag("x").over(order)).withColumn("far", F.max("x").over(every))
+    firsts = scratch.save(firsts.select("first", F.coalesce("to", "far").alias("to"), F.col("to").isNull().alias("wraps")), 1)
 
-def _peel(pairs: DataFrame, seed: int, load: float) -> DataFrame:
-    """pairs (x, rn, kind, ours, theirs: digests) -> x, rn, kind, plus, minus (how many digests only one side has), ok.
-
-    Both versions' sketches are laid out alike, in blocks of TABLES * WIDTH cells for about `load` pieces, and subtracted
-    cell by cell: digests of both cancel. Every block is then peeled on its own. A pair without a row has no difference."""
-    blocks = F.ceil((F.size("ours") + F.size("theirs")) / F.lit(float(load))).cast("int")
-    signed = lambda c, sign: F.transform(c, lambda v: F.struct(v.alias("v"), F.lit(sign).alias("s")))
-    each = pairs.select("x", "rn", "kind", F.greatest(blocks, F.lit(1)).alias("blocks"), F.explode(F.concat(signed("ours", 1), signed("theirs", -1))).alias("e")).select("x", "rn", "kind", "blocks", "e.v", "e.s")
-    each = each.select("x", "rn", "kind", F.pmod(F.xxhash64("v", F.lit(seed)), F.col("blocks")).cast("int").alias("block"), "v", "s", F.explode(_cells(F.col("v"), F.lit(seed), WIDTH)).alias("i"))
-    cells = each.groupBy("x", "rn", "kind", "block", "i").agg(F.sum("s").cast("int").alias("c"), F.bit_xor("v").alias("v")).where("c <> 0 or v <> 0")
-    blocks_of = cells.groupBy("x", "rn", "kind", "block").agg(F.collect_list(F.struct("i", "c", "v")).alias("cells"))
-    out = blocks_of.select("x", "rn", "kind", peeled(F.col("cells"), seed).alias("p")).select("x", "rn", "kind", F.size("p.plus").alias("plus"), F.size("p.minus").alias("minus"), F.forall("p.rest", lambda e: (e["c"] == 0) & (e["v"] == 0)).alias("ok"))
-    return out.groupBy("x", "rn", "kind").agg(F.sum("plus").alias("plus"), F.sum("minus").alias("minus"), F.bool_and("ok").alias("ok"))
+    rows = keyed.withColumn("times", F.lit(1).cast("long"))
+    repeats = not twice.isEmpty()
+    if repeats:
+        several = small(twice.withColumnRenamed("times", "_n").withColumnRenamed("key", "_key"), 40)
+        same = F.col("key") == F.col("_key")
+        one = keyed.join(several, same).groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("_n").alias("times"))
+        rows = rows.join(several, same, "left_anti").unionByName(one)
+    rows = rows.withColumn("ours", pieces(F.col("text")))
+    placed = rows.withColumn("x", group(F.col("key"))).join(F.broadcast(firsts), F.col("key") == F.col("first"), "left")
+    here = F.struct("x", F.lit(False).alias("ghost"), F.lit(False).alias("wraps"))
+    ghost = F.struct(F.col("to").alias("x"), F.lit(True).alias("ghost"), F.col("wraps").alias("wraps"))
+    copies = F.explode(F.when(F.col("first").isNull(), F.array(here)).otherwise(F.array(here, ghost)))
+    held = ["doc_id", "key", "times", "text", "ours"]
+    spread = placed.select(*held, copies.alias("c")).select(*held, "c.x", "c.ghost", "c.wraps").repartitionByRange("x")
+    w = Window.partitionBy("x").orderBy("wraps", "key", "ghost")
+    out = spread.withColumn("rn", F.row_number().over(w).cast("long")).withColumn("following", F.lead("text").over(w)).withColumn("next", F.lead("ours").over(w)).where("not ghost")
+    if repeats:
+        last = F.struct((F.col("rn") * 2).alias("rn"), F.lit(1).cast("long").alias("times"), F.col("following"), F.col("next"))
+        others = F.struct((F.col("rn") * 2 + 1).alias("rn"), (F.col("times") - 1).alias("times"), F.col("text").alias("following"), F.col("ours").alias("next"))
+        out = out.withColumn("e", F.explode(F.when(F.col("times") > 1, F.array(last, others)).otherwise(F.array(last))))
+        out = out.select("x", "e.rn", "e.times", "doc_id", "text", "ours", "e.following", "e.next")
+    return out.select("x", "rn", "times", "doc_id", "text", "ours", "following", "next")
 
 
 def versions(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """x, rn, doc_id, n_chars, edited_sha256 and the digests of each document (ours), of its edited text (edited) and of
-    the next document (following). Edited: the last half of the code points, rounded down, gives way to as many first
+    """x, rn, times, doc_id, n_chars, edited_sha256 and the pieces of each document (ours), of its edited text (edited) and
+    of the next document (next). Edited: the last half of the code points, rounded down, gives way to as many first
     ones of the next document, or to all it has."""
     near = neighbours(docs, scratch).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("following", F.lit(1), half))
-    near = near.withColumn("new", edited)
-    return near.select("x", "rn", "doc_id", "n_chars", F.sha2(F.col("new").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("ours"), digests(F.col("new")).alias("edited"), digests(F.col("following")).alias("following"))
+    near = near.withColumn("new", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("following", F.lit(1), half)))
+    return near.select("x", "rn", "times", "doc_id", "n_chars", F.sha2(F.col("new").cast("binary"), 256).alias("edited_sha256"), "ours", pieces(F.col("new")).alias("edited"), "next")
+
+
+def _digests(base: DataFrame, roles: tuple[int, ...]) -> DataFrame:
+    """versions() -> x, rn, role, s (sign), v (digest), block: every digest in each role that its version plays."""
+    levels = {c: level(F.size(c)) for c in ("ours", "edited", "next")}
+    at = {OURS: levels["ours"], EDITED: levels["edited"], TO_EDITED: F.greatest(levels["ours"], levels["edited"]), TO_NEXT: F.greatest(levels["ours"], levels["next"])}
+    plays = {"ours": [(OURS, 1), (TO_EDITED, 1), (TO_NEXT, 1)], "edited": [(EDITED, 1), (TO_EDITED, -1)], "next": [(TO_NEXT, -1)]}
+    parts = []
+    for name, all_parts in plays.items():
+        mine = [(role, s) for role, s in all_parts if role in roles]
+        if mine:
+            played = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(s).alias("s"), (_bit(at[role]) - 1).alias("last")) for role, s in mine])
+            parts.append(F.struct(F.lit(name).alias("version"), F.col(name).alias("hs"), played.alias("played")))
+    each = base.select("x", "rn", F.explode(F.array(*parts)).alias("p")).select("x", "rn", "p.version", "p.played", F.explode("p.hs").alias("h"))
+    counted = each.groupBy("x", "rn", "version", "h").agg(F.count("*").alias("n"), F.first("played").alias("played"))
+    numbered = counted.select("x", "rn", "played", "h", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("j")).select("x", "rn", "played", digest(F.col("h"), F.col("j")).alias("v"))
+    spread = numbered.select("x", "rn", "v", F.explode("played").alias("p"))
+    return spread.select("x", "rn", "p.role", "p.s", "v", F.col("v").bitwiseAND(F.col("p.last")).alias("block"))
+
+
+def _cells(digests: DataFrame, attempt: Column) -> DataFrame:
+    """_digests() -> x, rn, role, block, attempt, sub, i, c, v: the sketches' cells that aren't empty. An attempt lays a
+    block out in 2**attempt blocks (sub), with hashes of its own. Signs add up, so what both versions have cancels."""
+    x = digests.withColumn("attempt", attempt).withColumn("hash", F.xxhash64("v", "attempt"))
+    x = x.withColumn("sub", F.shiftrightunsigned("hash", 16).bitwiseAND(_bit(F.col("attempt")) - 1))
+    x = x.select("x", "rn", "role", "block", "attempt", "sub", "s", "v", F.explode(F.array(*_places(F.col("hash")))).alias("i"))
+    return x.groupBy("x", "rn", "role", "block", "attempt", "sub", "i").agg(F.sum("s").cast("int").alias("c"), F.bit_xor("v").alias("v")).where("c <> 0 or v <> 0")
+
+
+def _peel(digests: DataFrame, attempt: int) -> DataFrame:
+    """x, rn, role, block, differ (digests recovered: what only one version has), ok (whether all were)."""
+    keys = ["x", "rn", "role", "block"]
+    cells = _cells(digests, F.lit(attempt)).groupBy(*keys, "sub").agg(F.collect_list(F.struct(_bit(F.col("i")).alias("b"), "c", "v")).alias("cells"))  # a block's at most
+    p = cells.select(*keys, peeled(F.col("cells"), attempt).alias("p")).select(*keys, F.size("p.found").alias("differ"), (F.size("p.rest") == 0).alias("ok"))
+    return p.groupBy(*keys).agg(F.sum("differ").alias("differ"), F.bool_and("ok").alias("ok"))
+
+
+def _published(base: DataFrame, attempts: DataFrame | None) -> DataFrame:
+    """x, rn, fingerprint, edited_fingerprint: number of digests, level, then the blocks in order, each with its attempt."""
+    digests = _digests(base, (OURS, EDITED))
+    attempt = F.lit(0)
+    if attempts is not None:
+        digests = digests.join(small(attempts, 32), ["x", "rn", "role", "block"], "left").withColumn("_a", F.coalesce("_a", F.lit(0)))
+        attempt = F.col("_a")
+    cell = lambda e: F.concat_ws(".", e["i"].cast("string"), e["c"].cast("string"), F.hex(e["v"]))
+    keys = ["x", "rn", "role", "block", "attempt", "sub"]
+    blocks = _cells(digests, attempt).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "c", "v"))).alias("cells"))
+    blocks = blocks.select("x", "rn", "role", "block", "sub", F.concat(F.concat_ws(".", "block", "attempt", "sub"), F.lit("="), F.array_join(F.transform("cells", cell), ",")).alias("t"))
+    whole = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("block", "sub", "t")))), lambda b: b["t"]), " ")
+    return blocks.groupBy("x", "rn").agg(whole(OURS).alias("fingerprint"), whole(EDITED).alias("edited_fingerprint"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A document is the set of its pieces: runs of up to PIECE_WORDS words of one line. near_*: pieces that both versions
-    have over pieces that either has, from the digests that peeling recovers; 1 if neither has any. Sketches that
-    don't peel whole are laid out again, each time twice as large; what fails RETRIES times is compared digest by
-    digest. Null text: as empty. One document: followed by itself. Repeated rows: each follows the other. No rows: no
-    rows."""
+    A document is the set of its pieces, runs of up to PIECE_WORDS words of one line, each with its number among equal
+    ones, and of one digest of its whole text. Its fingerprint is a sketch of that set with a block of cells for every
+    few digests: `digests level block.attempt.sub=cell.count.xor,... ...`. It peels alone, so it holds all its digests,
+    and two fingerprints can be subtracted at the larger one's level. near_*: digests that both versions have over
+    those that either has, from what peeling recovers of the difference; 1 only for equal texts. A block that doesn't
+    peel whole is laid out again in twice as many, until it does.
+
+    Null text: as empty. One document: followed by itself. Rows of equal doc_id and text follow each other. Null doc_id:
+    behind all others, by hash of the text. No rows: no rows. Other columns play no part."""
     tune(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "fingerprints")
     base = scratch.save(versions(docs, scratch))
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("theirs")) for k, c in ((1, "edited"), (2, "following"))]))
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        return rows.select("x", "rn", "ours", kinds.alias("k")).select("x", "rn", "k.kind", "ours", "k.theirs")
-
-    met = [scratch.save(_peel(pairs(base.repartition("x", "rn")), 1, LOAD))]
-    for retry in range(1, RETRIES + 1):
-        failed = met[-1].where(~F.col("ok")).select("x", "rn", "kind")
+    keys = ["x", "rn", "role", "block"]
+    dealt = lambda rows: rows.repartition("x", "rn")
+    met = scratch.save(_peel(_digests(dealt(base), (OURS, EDITED, TO_EDITED, TO_NEXT)), 0), narrow=True)
+    done, attempts, failed = [met.where("ok").select("x", "rn", "role", "differ")], [], scratch.save(met.where("not ok").select(*keys), narrow=True)
+    for attempt in range(1, RETRIES):
         if failed.isEmpty():
             break
-        again = pairs(base).join(small(failed, 24), ["x", "rn", "kind"])
-        met.append(scratch.save(_peel(again, retry + 1, LOAD / 2**retry)))
+        rows = dealt(base.join(small(failed.select("x", "rn").distinct(), 16), ["x", "rn"], "left_semi"))
+        again = _digests(rows, (OURS, EDITED, TO_EDITED, TO_NEXT)).join(small(failed, 32), keys, "left_semi")
+        met = scratch.save(_peel(again, attempt), narrow=True)
+        done.append(met.where("ok").select("x", "rn", "role", "differ"))
+        attempts.append(met.where("ok").where(F.col("role").isin(OURS, EDITED)).select(*keys, F.lit(attempt).alias("_a")))
+        failed = scratch.save(met.where("not ok").select(*keys), narrow=True)
     else:
-        failed = met[-1].where(~F.col("ok")).select("x", "rn", "kind")
-        rest = pairs(base).join(small(failed, 24), ["x", "rn", "kind"])
-        met.append(rest.select("x", "rn", "kind", F.size(F.array_except("ours", "theirs")).cast("long").alias("plus"), F.size(F.array_except("theirs", "ours")).cast("long").alias("minus"), F.lit(True).alias("ok")))
-    found = reduce(DataFrame.unionByName, met).where("ok").groupBy("x", "rn").agg(*[F.sum(F.when(F.col("kind") == k, F.col("plus") + F.col("minus"))).alias(c) for k, c in ((1, "d_edited"), (2, "d_next"))])
-    rows = base.join(found, ["x", "rn"], "left")
+        raise RuntimeError("a sketch doesn't peel")
+    differ = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("differ"))), F.lit(0))
+    found = reduce(DataFrame.unionByName, done).groupBy("x", "rn").agg(differ(TO_EDITED).alias("d_edited"), differ(TO_NEXT).alias("d_next"))
+    said = _published(dealt(base.select("x", "rn", "ours", "edited", F.array().cast("array<bigint>").alias("next"))), reduce(DataFrame.unionByName, attempts) if attempts else None)
+    sizes = base.select("x", "rn", "times", "doc_id", "n_chars", "edited_sha256", *[F.size(c).alias(c) for c in ("ours", "edited", "next")])
+    rows = sizes.join(found, ["x", "rn"]).join(said, ["x", "rn"])
 
     def near(theirs: str, d: str) -> Column:
-        both = F.size("ours") + F.size(theirs)
-        differ = F.coalesce(d, F.lit(0))
-        return F.when(both == 0, 1.0).otherwise((both - differ) / (both + differ))
+        both = F.col("ours") + F.col(theirs)
+        return (both - F.col(d)) / (both + F.col(d))
 
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("ours")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        near("edited", "d_edited").alias("near_edited"), near("following", "d_next").alias("near_next"),
+    head = lambda c: F.concat_ws(" ", F.col(c).cast("string"), level(F.col(c)).cast("string"))
+    out = rows.select(
+        "times", "doc_id", "n_chars", "edited_sha256", F.concat_ws(" ", head("ours"), "fingerprint").alias("fingerprint"), F.concat_ws(" ", head("edited"), "edited_fingerprint").alias("edited_fingerprint"),
+        near("edited", "d_edited").alias("near_edited"), near("next", "d_next").alias("near_next"),
     )
+    return out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("_", "times")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,14 @@
 """Operators against plain versions of what they compute, and learned ones on rows held out."""
 
 import collections
-import hashlib
 import random
-import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import common, components, fingerprints, langid, minhash, mixing, mtree, packing, quality, sharding, spans, toxicity
+from plumbline.llm import common, components, langid, minhash, mixing, mtree, packing, quality, sharding, spans, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -258,31 +256,6 @@ def test_mixing(docs):
     assert mixing.render("a  b c d\te f", [(1, 1)], 2) == "c"
 
 
-def test_fingerprints(docs):
-    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
-    pieces = lambda t: set(re.findall(r"[^\s]+(?:[^\S\n]+[^\s]+){0,31}", t, re.A))
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
-    prints = {}
-    for i, (d, t) in enumerate(rows):
-        after = rows[(i + 1) % len(rows)][1]
-        half = len(t) // 2
-        new = t[: len(t) - half] + after[:half]
-        assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        assert abs(got[d].near_edited - like(pieces(t), pieces(new))) < 1e-12
-        assert abs(got[d].near_next - like(pieces(t), pieces(after))) < 1e-12
-        assert prints.setdefault(t, got[d].fingerprint) == got[d].fingerprint
-    assert len(set(prints.values())) == len(prints)
-
-
-def test_retries_of_small_sketches(docs, monkeypatch):
-    """Sketches too small for what they hold fail to peel and are laid out larger, to the same result."""
-    want = {r.doc_id: (r.near_edited, r.near_next) for r in fingerprints.fingerprints(docs).collect()}
-    monkeypatch.setattr(fingerprints, "LOAD", 120)
-    monkeypatch.setattr(fingerprints, "RETRIES", 1)
-    assert {r.doc_id: (r.near_edited, r.near_next) for r in fingerprints.fingerprints(docs).collect()} == want
-
-
 def test_sharding(spark, docs):
     hot = docs.sparkSession.range(150).select((F.col("id") + 10_000).alias("doc_id"), F.lit("one text for all").alias("text"))
     pairs = docs.sparkSession.range(90).select((F.col("id") + 20_000).alias("doc_id"), F.concat(F.lit("pair "), F.floor(F.col("id") / 2).cast("string")).alias("text"))
