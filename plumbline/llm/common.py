@@ -96,13 +96,13 @@ def unit(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
-def bucketed(df: DataFrame, keys: list[str], at: str, n: int, weight: str | None = None) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], at: str, n: int, weight: str | None = None, ties: list[str] | None = None) -> DataFrame:
     """Adds rank (from 0, gapless) of each row within its keys in the order of `at`, a double in [0, 1),
     and with `weight` also `before`, the sum of weights of earlier rows.
 
     No window spans a key: rows fall in about sqrt(n) buckets of `at` that hold about sqrt(n) rows each; a prefix
     sum over bucket totals shifts the ranks found inside buckets. n: rows of df. Rows equal in every column are
-    interchangeable, others with equal `at` are put in the order of all their columns."""
+    interchangeable, others with equal `at` are put in the order of `ties`, by default all their columns."""
     per = max(64.0, n**0.5 / 2)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     null_safe = lambda a, b, ks: [a[k].eqNullSafe(b[k]) for k in ks]
@@ -116,7 +116,7 @@ def bucketed(df: DataFrame, keys: list[str], at: str, n: int, weight: str | None
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"),
         F.coalesce(F.sum("_rows").over(run), F.lit(0)).alias("_r0"), F.coalesce(F.sum("_sum").over(run), F.lit(0)).alias("_s0"),
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy(at, *[c for c in df.columns if c not in keys and c != at])
+    inside = Window.partitionBy(*keys, "_b").orderBy(at, *([c for c in df.columns if c not in keys and c != at] if ties is None else ties))
     x = x.withColumn("rank", F.row_number().over(inside) - 1)
     if weight:
         x = x.withColumn("before", F.coalesce(F.sum(w).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

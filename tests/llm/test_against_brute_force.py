@@ -229,18 +229,6 @@ def test_targets(spark):
         assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in got)
 
 
-def test_splitting_tree():
-    q = np.array([1000, 3, 0, 77])
-    leaves = mixing.split_quotas(q, 13, 7)
-    past = np.stack([leaves[i][1] for i in range(13)])
-    first = np.stack([leaves[i][0] for i in range(13)])
-    assert (first[1:] == past[:-1]).all() and (first[0] == 0).all() and (past[-1] == q).all()
-    sizes = (past - first).sum(1)
-    assert sizes.max() - sizes.min() <= 4
-    some = mixing.split_quotas(q, 13, 7, iter([4, 9]))
-    assert set(some) == {4, 9} and (some[4][1] == leaves[4][1]).all()
-
-
 def test_mixing(docs):
     d, draws = mixing.mix(docs, shard_words=3000, block_words=64)
     draws = draws.persist()
