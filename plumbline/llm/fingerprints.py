@@ -14,12 +14,14 @@ from .common import Scratch, small, table, tune, unit
 #: A piece is a run of up to so many words of one line.
 PIECE_WORDS = 32
 PIECE = r"\S++(?:[^\S\n]++\S++){0,%d}" % (PIECE_WORDS - 1)
-#: Each digest goes to one cell of each of three tables of 16 cells, which make a block.
-TABLES, WIDTH = 3, 16
+#: Each digest goes to one cell of each of three tables of 64 cells, which make a block; empty cells are never stored.
+TABLES, WIDTH = 3, 64
 #: A fingerprint has a block for about so many digests, or up to half as many.
 LOAD = 8
 #: A block that doesn't peel is laid out again in twice as many, as often as it takes; so often never happens.
 RETRIES = 40
+#: Pieces of all versions in a task, so that its cells take some 30 MB; tasks at most, beyond which they grow and spill.
+PART, MOST_PARTS = 30_000, 20_000
 #: Groups of neighbouring ids, whose bounds the driver picks from about 32 ids a group.
 MOST_GROUPS = 16_384
 _KEY = (1 << 48) - 1
@@ -56,30 +58,32 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
 
-def _places(h: Column) -> list[Column]:
+def _places(h: Column) -> Column:
     """The cells of a digest whose hash in this attempt is h."""
-    return [(F.lit(i * WIDTH) + F.shiftrightunsigned(h, 4 * i).bitwiseAND(F.lit(WIDTH - 1))).cast("int") for i in range(TABLES)]
+    return F.array(*[(F.lit(i * WIDTH) + F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(WIDTH - 1))).cast("int") for i in range(TABLES)])
+
+
+def _pure(c: Column, v: Column) -> Column:
+    """Whether a cell holds one digest alone: its check bits fit."""
+    return (F.abs(c) == 1) & (F.shiftrightunsigned(v, 48) == _check(v.bitwiseAND(F.lit(_KEY))))
 
 
 def peeled(cells: Column, attempt: int) -> Column:
-    """cells (array of struct<b: bit of its place, c: count, v: XOR of digests>) -> struct: rest (cells), found (digests
-    with the sign of the version that has them), stuck.
+    """cells (array of struct<i: place, c: count, v: XOR of digests>) -> struct: rest (cells), found (digests, each with the
+    sign s of the version that has it and its places), stuck.
 
     In each round all digests that some cell holds alone are taken out of their three cells."""
-    none = F.expr("cast(array() as array<struct<v:bigint,s:int,m:bigint>>)")
-
-    def mask(v: Column) -> Column:
-        return _let(F.xxhash64(v, F.lit(attempt)), lambda h: reduce(Column.bitwiseOR, [_bit(p) for p in _places(h)]))
+    none = F.expr("cast(array() as array<struct<v:bigint,s:int,at:array<int>>>)")
 
     def without(e: Column, ones: Column) -> Column:
         start = F.struct(e["c"].alias("c"), e["v"].alias("v"))
-        left = F.aggregate(ones, start, lambda a, o: F.when(o["m"].bitwiseAND(e["b"]) != 0, F.struct((a["c"] - o["s"]).alias("c"), a["v"].bitwiseXOR(o["v"]).alias("v"))).otherwise(a))
-        return _let(left, lambda a: F.struct(e["b"].alias("b"), a["c"].alias("c"), a["v"].alias("v")))
+        left = F.aggregate(ones, start, lambda a, o: F.when(F.array_contains(o["at"], e["i"]), F.struct((a["c"] - o["s"]).alias("c"), a["v"].bitwiseXOR(o["v"]).alias("v"))).otherwise(a))
+        return _let(left, lambda a: F.struct(e["i"].alias("i"), a["c"].alias("c"), a["v"].alias("v")))
 
     def turn(s: Column) -> Column:
-        pure = F.filter(s["rest"], lambda e: (F.abs(e["c"]) == 1) & (F.shiftrightunsigned(e["v"], 48) == _check(e["v"].bitwiseAND(F.lit(_KEY)))))
-        alone = F.filter(F.transform(pure, lambda e: F.struct(e["v"].alias("v"), e["c"].alias("s"), mask(e["v"]).alias("m"), e["b"].alias("b"))), lambda e: e["m"].bitwiseAND(e["b"]) != 0)
-        ones = F.array_distinct(F.transform(alone, lambda e: F.struct(e["v"].alias("v"), e["s"].alias("s"), e["m"].alias("m"))))
+        pure = F.array_distinct(F.transform(F.filter(s["rest"], lambda e: _pure(e["c"], e["v"])), lambda e: F.struct(e["v"].alias("v"), e["c"].alias("s"), e["i"].alias("i"))))
+        ones = F.transform(pure, lambda e: F.struct(e["v"].alias("v"), e["s"].alias("s"), _places(F.xxhash64(e["v"], F.lit(attempt))).alias("at"), e["i"].alias("i")))
+        ones = F.array_distinct(F.transform(F.filter(ones, lambda e: F.array_contains(e["at"], e["i"])), lambda e: F.struct(e["v"].alias("v"), e["s"].alias("s"), e["at"].alias("at"))))
         return _let(ones, lambda o: F.when(F.size(o) == 0, F.struct(s["rest"].alias("rest"), s["found"].alias("found"), F.lit(True).alias("stuck"))).otherwise(
             F.struct(F.filter(F.transform(s["rest"], lambda e: without(e, o)), lambda e: (e["c"] != 0) | (e["v"] != 0)).alias("rest"), F.concat(s["found"], o).alias("found"), F.lit(False).alias("stuck"))))
 
@@ -170,17 +174,36 @@ def _cells(digests: DataFrame, attempt: Column) -> DataFrame:
     """_digests() -> x, rn, role, block, attempt, sub, i, c, v: the sketches' cells that aren't empty. An attempt lays a
     block out in 2**attempt blocks (sub), with hashes of its own. Signs add up, so what both versions have cancels."""
     x = digests.withColumn("attempt", attempt).withColumn("hash", F.xxhash64("v", "attempt"))
-    x = x.withColumn("sub", F.shiftrightunsigned("hash", 16).bitwiseAND(_bit(F.col("attempt")) - 1))
-    x = x.select("x", "rn", "role", "block", "attempt", "sub", "s", "v", F.explode(F.array(*_places(F.col("hash")))).alias("i"))
+    x = x.withColumn("sub", F.shiftrightunsigned("hash", 32).bitwiseAND(_bit(F.col("attempt")) - 1))
+    x = x.select("x", "rn", "role", "block", "attempt", "sub", "s", "v", F.explode(_places(F.col("hash"))).alias("i"))
     return x.groupBy("x", "rn", "role", "block", "attempt", "sub", "i").agg(F.sum("s").cast("int").alias("c"), F.bit_xor("v").alias("v")).where("c <> 0 or v <> 0")
 
 
+_KEYS = ["x", "rn", "role", "block"]
+
+
+def _met(blocks: DataFrame) -> DataFrame:
+    """Blocks (_KEYS, differ, ok) -> x, rn, to_edited, to_next (digests recovered of the differences), failed (role and
+    block of those that aren't peeled whole)."""
+    differ = lambda role: F.coalesce(F.sum(F.when(F.col("ok") & (F.col("role") == role), F.col("differ"))), F.lit(0))
+    return blocks.groupBy("x", "rn").agg(differ(TO_EDITED).alias("to_edited"), differ(TO_NEXT).alias("to_next"), F.collect_list(F.when(~F.col("ok"), F.struct("role", "block"))).alias("failed"))
+
+
+def _first_round(digests: DataFrame) -> DataFrame:
+    """_met() of the blocks that one round of peeling empties: the digests that cells hold alone are all there are if
+    their XOR is that of the first table, where every digest has one cell."""
+    cells = _cells(digests, F.lit(0))
+    x = cells.select(*_KEYS, F.when(_pure(F.col("c"), F.col("v")), F.col("v")).alias("alone"), F.when(F.col("i") < WIDTH, F.col("v")).alias("t"))
+    x = x.groupBy(*_KEYS, "alone").agg(F.bit_xor("t").alias("t"))  # a digest may be alone in several cells
+    x = x.groupBy(*_KEYS).agg(F.bit_xor("t").alias("t"), F.count("alone").alias("differ"), F.bit_xor("alone").alias("found"))
+    return _met(x.select(*_KEYS, "differ", F.coalesce(F.col("found") == F.col("t"), F.lit(False)).alias("ok")))
+
+
 def _peel(digests: DataFrame, attempt: int) -> DataFrame:
-    """x, rn, role, block, differ (digests recovered: what only one version has), ok (whether all were)."""
-    keys = ["x", "rn", "role", "block"]
-    cells = _cells(digests, F.lit(attempt)).groupBy(*keys, "sub").agg(F.collect_list(F.struct(_bit(F.col("i")).alias("b"), "c", "v")).alias("cells"))  # a block's at most
-    p = cells.select(*keys, peeled(F.col("cells"), attempt).alias("p")).select(*keys, F.size("p.found").alias("differ"), (F.size("p.rest") == 0).alias("ok"))
-    return p.groupBy(*keys).agg(F.sum("differ").alias("differ"), F.bool_and("ok").alias("ok"))
+    """_met() of blocks peeled round after round."""
+    cells = _cells(digests, F.lit(attempt)).groupBy(*_KEYS, "sub").agg(F.collect_list(F.struct("i", "c", "v")).alias("cells"))  # a block's at most
+    p = cells.select(*_KEYS, peeled(F.col("cells"), attempt).alias("p")).select(*_KEYS, F.size("p.found").alias("differ"), (F.size("p.rest") == 0).alias("ok"))
+    return _met(p.groupBy(*_KEYS).agg(F.sum("differ").alias("differ"), F.bool_and("ok").alias("ok")))
 
 
 def _published(base: DataFrame, attempts: DataFrame | None) -> DataFrame:
@@ -188,7 +211,7 @@ def _published(base: DataFrame, attempts: DataFrame | None) -> DataFrame:
     digests = _digests(base, (OURS, EDITED))
     attempt = F.lit(0)
     if attempts is not None:
-        digests = digests.join(small(attempts, 32), ["x", "rn", "role", "block"], "left").withColumn("_a", F.coalesce("_a", F.lit(0)))
+        digests = digests.join(small(attempts, 32), _KEYS, "left").withColumn("_a", F.coalesce("_a", F.lit(0)))
         attempt = F.col("_a")
     cell = lambda e: F.concat_ws(".", e["i"].cast("string"), e["c"].cast("string"), F.hex(e["v"]))
     keys = ["x", "rn", "role", "block", "attempt", "sub"]
@@ -205,34 +228,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ones, and of one digest of its whole text. Its fingerprint is a sketch of that set with a block of cells for every
     few digests: `digests level block.attempt.sub=cell.count.xor,... ...`. It peels alone, so it holds all its digests,
     and two fingerprints can be subtracted at the larger one's level. near_*: digests that both versions have over
-    those that either has, from what peeling recovers of the difference; 1 only for equal texts. A block that doesn't
-    peel whole is laid out again in twice as many, until it does.
+    those that either has, from what peeling recovers of the difference; 1 only for equal texts. One round of peeling
+    empties most blocks; the others are peeled round after round, and one that stays stuck is laid out again in twice
+    as many blocks, until it peels whole.
 
     Null text: as empty. One document: followed by itself. Rows of equal doc_id and text follow each other. Null doc_id:
     behind all others, by hash of the text. No rows: no rows. Other columns play no part."""
     tune(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "fingerprints")
     base = scratch.save(versions(docs, scratch))
-    keys = ["x", "rn", "role", "block"]
-    dealt = lambda rows: rows.repartition("x", "rn")
-    met = scratch.save(_peel(_digests(dealt(base), (OURS, EDITED, TO_EDITED, TO_NEXT)), 0), narrow=True)
-    done, attempts, failed = [met.where("ok").select("x", "rn", "role", "differ")], [], scratch.save(met.where("not ok").select(*keys), narrow=True)
-    for attempt in range(1, RETRIES):
+    total, scratch.rows = base.agg(F.coalesce(F.sum(F.size("ours") + F.size("edited") + F.size("next")), F.lit(0)), F.count("*")).first()
+    dealt = lambda rows: rows.repartition(int(min(MOST_PARTS, 1 + total // PART)), "x", "rn")
+    roles = (OURS, EDITED, TO_EDITED, TO_NEXT)
+    met = [scratch.save(_first_round(_digests(dealt(base), roles)), narrow=True)]
+    attempts = None
+    for attempt in range(RETRIES):
+        failed = met[-1].select("x", "rn", F.explode("failed").alias("f")).select("x", "rn", "f.role", "f.block")
         if failed.isEmpty():
             break
+        if attempt:
+            mine = failed.where(F.col("role").isin(OURS, EDITED)).withColumn("_a", F.lit(attempt))
+            attempts = mine if attempts is None else attempts.unionByName(mine)
         rows = dealt(base.join(small(failed.select("x", "rn").distinct(), 16), ["x", "rn"], "left_semi"))
-        again = _digests(rows, (OURS, EDITED, TO_EDITED, TO_NEXT)).join(small(failed, 32), keys, "left_semi")
-        met = scratch.save(_peel(again, attempt), narrow=True)
-        done.append(met.where("ok").select("x", "rn", "role", "differ"))
-        attempts.append(met.where("ok").where(F.col("role").isin(OURS, EDITED)).select(*keys, F.lit(attempt).alias("_a")))
-        failed = scratch.save(met.where("not ok").select(*keys), narrow=True)
+        met.append(scratch.save(_peel(_digests(rows, roles).join(small(failed, 32), _KEYS, "left_semi"), attempt), narrow=True))
     else:
         raise RuntimeError("a sketch doesn't peel")
-    differ = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("differ"))), F.lit(0))
-    found = reduce(DataFrame.unionByName, done).groupBy("x", "rn").agg(differ(TO_EDITED).alias("d_edited"), differ(TO_NEXT).alias("d_next"))
-    said = _published(dealt(base.select("x", "rn", "ours", "edited", F.array().cast("array<bigint>").alias("next"))), reduce(DataFrame.unionByName, attempts) if attempts else None)
+    found = met[0] if len(met) == 1 else reduce(DataFrame.unionByName, met).groupBy("x", "rn").agg(F.sum("to_edited").alias("to_edited"), F.sum("to_next").alias("to_next"))
+    if attempts is not None:
+        attempts = attempts.groupBy(*_KEYS).agg(F.max("_a").alias("_a"))
+    said = _published(dealt(base.select("x", "rn", "ours", "edited", F.array().cast("array<bigint>").alias("next"))), attempts)
     sizes = base.select("x", "rn", "times", "doc_id", "n_chars", "edited_sha256", *[F.size(c).alias(c) for c in ("ours", "edited", "next")])
-    rows = sizes.join(found, ["x", "rn"]).join(said, ["x", "rn"])
+    rows = said.join(sizes, ["x", "rn"]).join(found, ["x", "rn"])
 
     def near(theirs: str, d: str) -> Column:
         both = F.col("ours") + F.col(theirs)
@@ -241,9 +267,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     head = lambda c: F.concat_ws(" ", F.col(c).cast("string"), level(F.col(c)).cast("string"))
     out = rows.select(
         "times", "doc_id", "n_chars", "edited_sha256", F.concat_ws(" ", head("ours"), "fingerprint").alias("fingerprint"), F.concat_ws(" ", head("edited"), "edited_fingerprint").alias("edited_fingerprint"),
-        near("edited", "d_edited").alias("near_edited"), near("next", "d_next").alias("near_next"),
+        near("edited", "to_edited").alias("near_edited"), near("next", "to_next").alias("near_next"),
     )
-    return out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("_", "times")
+    out = out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("_", "times")
+    return out.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, scratch.rows // 50_000))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def signed(v):
     return v - (1 << 64) if v >> 63 else v
 
 
-def sketch(text):
+def sketch(text, width=64):
     """A fingerprint's digests, as peeling its blocks one by one recovers them."""
     n, level, *blocks = text.split(" ")
     out = set()
@@ -32,13 +32,13 @@ def sketch(text):
         name, cells = b.split("=")
         block, attempt, sub = map(int, name.split("."))
         held = {int(i): [int(c), int(v, 16)] for i, c, v in (x.split(".") for x in cells.split(","))}
-        places = lambda v: [16 * t + (hashed((signed(v), 8), (attempt, 4)) >> 4 * t & 15) for t in range(3)]
+        places = lambda v: [width * t + (hashed((signed(v), 8), (attempt, 4)) >> 6 * t & width - 1) for t in range(3)]
         while True:
             pure = [v for i, (c, v) in held.items() if c == 1 and v >> 48 == hashed((v & KEY, 8), (97, 4)) >> 48 and i in places(v)]
             if not pure:
                 break
             out.add(pure[0])
-            assert pure[0] & (1 << int(level)) - 1 == block and hashed((signed(pure[0]), 8), (attempt, 4)) >> 16 & (1 << attempt) - 1 == sub
+            assert pure[0] & (1 << int(level)) - 1 == block and hashed((signed(pure[0]), 8), (attempt, 4)) >> 32 & (1 << attempt) - 1 == sub
             for i in places(pure[0]):
                 held[i][0] -= 1
                 held[i][1] ^= pure[0]
@@ -54,7 +54,7 @@ def checked(rows):
         half = len(t) // 2
         new = t[: len(t) - half] + after[1][:half]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        a, b, c = sketch(r.fingerprint), sketch(r.edited_fingerprint), sketch(after[2].fingerprint)
+        a, b, c = sketch(r.fingerprint, 4), sketch(r.edited_fingerprint, 4), sketch(after[2].fingerprint)
         assert r.near_edited == pytest.approx(len(a & b) / len(a | b), abs=1e-12)
         assert r.near_next == pytest.approx(len(a & c) / len(a | c), abs=1e-12)
         assert (r.near_next == 1) == (t == after[1]) and (r.near_edited == 1) == (t == new)
@@ -83,12 +83,12 @@ def test_order_and_repeats_of_lines_count(spark):
 def test_blocks_that_do_not_peel_are_laid_out_larger(spark, small, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
     want = {r.doc_id: (r.near_edited, r.near_next) for r in fingerprints.fingerprints(docs).collect()}
-    monkeypatch.setattr(fingerprints, "LOAD", 120)
+    monkeypatch.setattr(fingerprints, "WIDTH", 4)
     got = fingerprints.fingerprints(docs).collect()
     assert {r.doc_id: (r.near_edited, r.near_next) for r in got} == want
     assert any(int(b.split("=")[0].split(".")[1]) for r in got for b in r.fingerprint.split(" ")[2:])
     for r in got:
-        sketch(r.fingerprint), sketch(r.edited_fingerprint)
+        sketch(r.fingerprint, 4), sketch(r.edited_fingerprint, 4)
 
 
 def test_outliers_and_missing_ids_do_not_gather_in_one_group(spark):
