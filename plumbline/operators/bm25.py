@@ -17,52 +17,96 @@ VARIANTS = ("lucene", "okapi")
 DIGITS = 7
 #: Questions of at most so many terms in all are broadcast to the postings.
 BROADCAST_TERMS = 200_000
+#: Saved postings lie in so many folders by hash of the term; a search reads those of the terms asked for.
+BUCKETS = 16
 
 
 @dataclass
 class Index:
-    """postings (term, chunk_id, tf), docs (chunk_id, dl), terms (term, df, idf), stats (n_docs, avgdl, ...; one row)."""
+    """postings (bucket, term, chunk_id, tf, dl), docs (chunk_id, dl), counts (term, df), stats (n_docs, avgdl; one row).
+
+    Built over a corpus, these are plans that tokenise it at each use; saved, tables that any variant can read."""
 
     postings: DataFrame
     docs: DataFrame
-    terms: DataFrame
+    counts: DataFrame
     stats: DataFrame
-    k1: float
-    b: float
-    variant: str
-
-    def save(self, path: str) -> None:
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    k1: float = K1
+    b: float = B
+    variant: str = "lucene"
+    epsilon: float = EPSILON
+    tokens: DataFrame | None = None
+
+    @property
+    def terms(self) -> DataFrame:
+        """term, df, idf."""
+        df = self.counts.crossJoin(F.broadcast(self.stats.select("n_docs")))  # stats: one row
+        n, f = F.col("n_docs").cast("double"), F.col("df").cast("double")
+        if self.variant == "lucene":
+            return df.select("term", "df", F.log(1 + (n - f + 0.5) / (f + 0.5)).alias("idf"))
+        raw = df.select("term", "df", (F.log(n - f + 0.5) - F.log(f + 0.5)).alias("raw"))
+        mean = raw.agg(F.avg("raw").alias("mean_idf"))
+        return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(self.epsilon) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+
+    def save(self, path: str) -> Index:
+        """The same index read from tables under path. The corpus is tokenised once; its tokens go when postings stand."""
+        spark, source = self.stats.sparkSession, self
+        if self.tokens is not None:
+            self.tokens.write.mode("overwrite").parquet(f"{path}/tokens")
+            source = _over(spark.read.parquet(f"{path}/tokens"))
+        source.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        source.postings.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        _counts(spark.read.schema(POSTINGS).parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+        _stats(spark.read.schema(DOCS).parquet(f"{path}/docs")).write.mode("overwrite").parquet(f"{path}/stats")
+        if self.tokens is not None:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/tokens")
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        return Index.load(spark, path, self.k1, self.b, self.variant, self.epsilon)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, k1: float = K1, b: float = B, variant: str = "lucene") -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "docs", "terms", "stats")), k1, b, variant)
+    def load(cls, spark: SparkSession, path: str, k1: float | None = None, b: float = B, variant: str = "lucene", epsilon: float = EPSILON) -> Index:
+        read = lambda schema, name: spark.read.schema(schema).parquet(f"{path}/{name}")
+        return cls(read(POSTINGS, "postings"), read(DOCS, "docs"), read("term string, df long", "terms"), read("n_docs long, avgdl double", "stats"), _k1(k1, variant), b, variant, epsilon)
 
 
-def build(chunks: DataFrame, k1: float | None = None, b: float = B, variant: str = "lucene", epsilon: float = EPSILON, tokens: Column | None = None) -> Index:
-    """chunks (chunk_id, text, ...) -> Index. tokens: a column of term arrays, tokenize(text) by default.
+POSTINGS = "term string, chunk_id string, tf long, dl long, bucket int"
+DOCS = "chunk_id string, dl long"
 
-    Documents without terms count in n_docs and avgdl. A repeated chunk_id is an error when the index is used."""
+
+def _k1(k1: float | None, variant: str) -> float:
     if variant not in VARIANTS:
         raise ValueError(f"unknown idf variant {variant!r}; one of {VARIANTS}")
-    k1 = (OKAPI_K1 if variant == "okapi" else K1) if k1 is None else k1
-    tokenized = chunks.select("chunk_id", (T.tokenize(F.col("text")) if tokens is None else tokens).alias("tokens"))
+    return (OKAPI_K1 if variant == "okapi" else K1) if k1 is None else k1
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _counts(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _stats(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+
+
+def _over(tokens: DataFrame, **options) -> Index:
+    """tokens (chunk_id, dl, tokens) -> Index."""
     one = F.count(F.lit(1)).over(Window.partitionBy("chunk_id"))
-    docs = chunks_once(tokenized.select("chunk_id", F.size("tokens").cast("long").alias("dl"), one.alias("_n")))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    postings = tokenized.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))  # stats: one row
-    n, f = F.col("n_docs").cast("double"), F.col("df").cast("double")
-    if variant == "lucene":
-        terms = df.select("term", "df", F.log(1 + (n - f + 0.5) / (f + 0.5)).alias("idf"))
-    else:
-        raw = df.select("term", "df", (F.log(n - f + 0.5) - F.log(f + 0.5)).alias("raw"))
-        mean = raw.agg(F.avg("raw").alias("mean_idf"))
-        terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, docs, terms, stats, k1, b, variant)
+    docs = chunks_once(tokens.select("chunk_id", "dl", one.alias("_n")))
+    postings = tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    postings = postings.select("term", "chunk_id", "tf", "dl", _bucket(F.col("term")).alias("bucket"))
+    return Index(postings, docs, _counts(postings), _stats(docs), tokens=tokens, **options)
+
+
+def build(chunks: DataFrame, k1: float | None = None, b: float = B, variant: str = "lucene", epsilon: float = EPSILON, tokens: Column | None = None) -> Index:
+    """chunks (chunk_id, text, ...) -> Index. tokens: a column of term arrays, tokenize(text) by default.
+
+    Documents without terms count in n_docs and avgdl. A repeated chunk_id is an error when the index is used or saved."""
+    k1 = _k1(k1, variant)
+    each = chunks.select("chunk_id", (T.tokenize(F.col("text")) if tokens is None else tokens).alias("tokens"))
+    return _over(each.select("chunk_id", F.size("tokens").cast("long").alias("dl"), "tokens"), k1=k1, b=b, variant=variant, epsilon=epsilon)
 
 
 def chunks_once(docs: DataFrame) -> DataFrame:
@@ -71,7 +115,7 @@ def chunks_once(docs: DataFrame) -> DataFrame:
 
 
 def index_stats(index: Index) -> DataFrame:
-    return index.stats.crossJoin(index.terms.agg(F.count("*").alias("vocabulary"))).select(
+    return index.stats.crossJoin(index.counts.agg(F.count("*").alias("vocabulary"))).select(
         "n_docs", F.round("avgdl", 3).alias("avgdl"), "vocabulary", F.lit(index.k1).alias("k1"), F.lit(index.b).alias("b"), F.lit(index.variant).alias("idf_variant"), F.lit(T.TOKENIZATION_VERSION).alias("tokenization_version")
     )
 
@@ -79,12 +123,13 @@ def index_stats(index: Index) -> DataFrame:
 def contributions(index: Index, questions: DataFrame) -> DataFrame:
     """questions (qid, text) -> qid, chunk_id, term, value: what each term adds to each document that holds it.
 
-    A term that a question repeats counts as often; it is joined once, with its number."""
+    A term that a question repeats counts as often; it is joined once, with its number. Terms that the index lacks add
+    nothing. Saved postings are read from the buckets of the terms asked for alone."""
     asked = questions.select("qid", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     held = F.broadcast if few else lambda df: df
-    asked = held(index.terms.select("term", "idf").join(held(asked), "term"))  # no more rows than asked
-    x = index.postings.join(asked, "term").join(index.docs, "chunk_id").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    asked = index.terms.select("term", "idf").join(held(asked), "term").withColumn("bucket", _bucket(F.col("term")))  # no more rows than asked
+    x = index.postings.join(held(asked), ["bucket", "term"]).crossJoin(F.broadcast(index.stats.select("avgdl")))
     tf, norm = F.col("tf").cast("double"), 1 - index.b + index.b * F.col("dl") / F.col("avgdl")
     return x.select("qid", "chunk_id", "term", (F.col("qtf") * F.col("idf") * tf * (index.k1 + 1) / (tf + index.k1 * norm)).alias("value"))
 
@@ -100,6 +145,12 @@ def search(index: Index, questions: DataFrame, k: int) -> DataFrame:
     return score_all(index, questions).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
 
 
+def search_one(index: Index, spark: SparkSession, text: str, k: int) -> DataFrame:
+    """rank, chunk_id, score of a single question: one ordered limit instead of a window."""
+    best = score_all(index, spark.createDataFrame([("q", text)], "qid string, text string")).orderBy(F.col("score").desc(), "chunk_id").limit(k)
+    return best.select(F.row_number().over(Window.orderBy(F.col("score").desc(), "chunk_id")).alias("rank"), "chunk_id", "score")
+
+
 def explain(index: Index, questions: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (qid, chunk_id) -> qid, chunk_id, term, value, largest first; values sum to the score. A chunk_id that the
     index lacks is an error."""

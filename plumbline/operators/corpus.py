@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.session import prepare
 
 
 def references(items: Column) -> Column:
@@ -34,6 +35,7 @@ def cutoff(now: Column, years: int) -> Column:
 
 def with_anchors(anchors: DataFrame, found: DataFrame) -> DataFrame:
     """Anchors, then those found that are none."""
+    prepare(anchors.sparkSession)
     return anchors.unionByName(found.join(anchors.select("arxiv_id"), "arxiv_id", "left_anti").select(*anchors.columns))
 
 

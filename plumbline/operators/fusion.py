@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.vectors import found_by, rrf_term
 from plumbline.operators import bm25, dense
+from plumbline.session import prepare
 
 RRF_K = 60
 POOL = 50
@@ -53,6 +54,7 @@ def rrf(ranked: DataFrame, k: float = RRF_K, weights: Mapping[str, float] | None
 
 def arms(dense_hits: DataFrame, sparse_hits: DataFrame) -> DataFrame:
     """Both arms' hits as one table for rrf()."""
+    prepare(dense_hits.sparkSession)
     return dense_hits.select("qid", F.lit("dense").alias("arm"), F.col("rank").alias("pos"), "chunk_id").unionByName(sparse_hits.select("qid", F.lit("bm25").alias("arm"), F.col("rank").alias("pos"), "chunk_id"))
 
 
@@ -60,6 +62,7 @@ def hybrid(index: bm25.Index, vectors: DataFrame, questions: DataFrame, k: int =
     """questions (qid, text, embedding) -> qid, rank, chunk_id, rrf_score, dense_rank, sparse_rank, l2_distance,
     bm25_score, found_by, and payload's columns by chunk_id. Each arm's pool is max(k, POOL) deep before fusion; an arm
     that lacks an item leaves null."""
+    prepare(questions.sparkSession)
     pool = max(k, POOL)
     near = dense.search(vectors, questions, pool)
     sparse = bm25.search(index, questions, pool)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import text as T
+from plumbline.session import prepare
 
 LEAKAGE = 0.35
 QUESTIONS = (
@@ -42,7 +43,7 @@ def validate(qs: DataFrame, ks: Sequence[int] = (5, 10), known: DataFrame | None
 
     known (chunk_id, text_sha8): the collection; without it UNKNOWN_CHUNK_ID and TEXT_DRIFT aren't looked for.
     Questions with an empty qid, or without groups, are reported and not looked into further."""
-    spark = qs.sparkSession
+    spark = prepare(qs.sparkSession)
     named = qs.where(F.coalesce(F.col("qid"), F.lit("")) != "")
     full = named.where(F.coalesce(F.size("gold_groups"), F.lit(0)) > 0)
     issue = lambda df, severity, code, detail: df.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "qid", detail.alias("detail"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from plumbline.functions import text as T
+from plumbline.session import prepare
 
 PROMPT_VERSION = "v1"
 VERDICT = "groundedness int, answer_correctness int, unsupported_claims array<string>, rationale string"
@@ -45,6 +46,7 @@ def parse_verdict(raw: Column) -> Column:
 def judge(answers: DataFrame, model: Callable[[pd.Series], pd.Series], name: str, cache: DataFrame | None = None) -> DataFrame:
     """answers (qid, question, answer, contexts, expected_answer) -> qid, key, the fields of VERDICT, judge_model, raw and
     cached. model: prompts to replies, a batch at a time; asked only for what the cache (key, ...) lacks."""
+    prepare(answers.sparkSession)
     x = answers.withColumn("key", cache_key("question", "answer", "contexts"))
     fresh = x if cache is None else x.join(cache.select("key"), "key", "left_anti")
     ask = F.pandas_udf(lambda prompts: model(prompts), "string")

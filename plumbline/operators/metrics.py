@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import discount
 from plumbline.operators.fusion import first_places
+from plumbline.session import prepare
 
 RR_CAP = 50
 KS = (3, 5, 10)
@@ -18,6 +19,7 @@ STRATA = ("any_of", "all_required")
 REPORTED = {"mrr": "rr", "recall_at_5": "recall_at_5", "sufficiency_at_5": "sufficiency_at_5", "ndcg_at_10": "ndcg_at_10"}
 PRIMARY = "ndcg_at_10"
 EPS = 1e-9
+FIRES, STAYS, UNUSABLE = "fires", "stays", "unusable"
 
 
 def check_groups(gold: DataFrame) -> DataFrame:
@@ -69,6 +71,7 @@ def score_questions(covered: DataFrame, ks: Sequence[int] = KS, cap: int | None
 def by_stratum(scores: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
     """Means over questions: stratum `all`, then each known semantics that has questions. Unknown labels count in `all`
     only; without questions `all` has n = 0 and zeros."""
+    prepare(scores.sparkSession)
     names = ["rr", "rr_mean_groups", "rr_first", *[f"{m}_at_{k}" for m in ("recall", "sufficiency", "ndcg") for k in ks]]
     out = [F.coalesce(F.avg(c), F.lit(0.0)).alias({"rr": "mrr", "rr_mean_groups": "mrr_mean_groups", "rr_first": "mrr_first"}.get(c, c)) for c in names]
     named = scores.where(F.col("semantics").isin(*STRATA)).groupBy(F.col("semantics").alias("stratum")).agg(F.count("*").alias("n"), *out)
@@ -96,19 +99,20 @@ def bootstrap(values: Sequence[float], iters: int = 10_000, seed: int = 0, alpha
     return sum(values) / n, means[int(alpha / 2 * iters)], means[min(int((1 - alpha / 2) * iters), iters - 1)]
 
 
-def bootstrap_ci_hashed(values: DataFrame, keys: Sequence[str], value: str, order: str, iters: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def bootstrap_ci_hashed(values: DataFrame, keys: Sequence[str], value: str, order: str, iters: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Like bootstrap_ci, with draws from MD5 instead of the Mersenne Twister: plain SQL, other numbers of the same law.
 
-    Draw j of iteration i takes row md5(seed:i:j) mod n, so the join is on row numbers; iterations spread over tasks."""
+    Draw j of iteration i takes row md5(seed:i:j) mod n. Groups of one size share their draws, which are first counted
+    by row, so each group meets a number for each iteration and row; iterations spread over tasks."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy(*keys).orderBy(order)
     rows = values.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w) - 1).cast("long").alias("_i"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
-    sizes = rows.select(*keys, "_n").distinct()
-    draws = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("_t")).select(*keys, "_n", "_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_j"))
+    turns = rows.select("_n").distinct().select("_n", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("_t")).repartition("_n", "_t")
+    draws = turns.select("_n", "_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_j"))
     seeded = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_t").cast("string"), F.col("_j").cast("string")).cast("binary"))
-    draws = draws.withColumn("_i", F.conv(F.substring(seeded, 1, 8), 16, 10).cast("long") % F.col("_n"))
-    means = draws.join(rows.drop("_n"), [*keys, "_i"]).groupBy(*keys, "_t").agg(F.round(F.avg(value), 12).alias("_m"))
+    drawn = draws.groupBy("_n", "_t", (F.conv(F.substring(seeded, 1, 8), 16, 10).cast("long") % F.col("_n")).alias("_i")).agg(F.count("*").alias("_times"))
+    means = drawn.join(rows, ["_n", "_i"]).groupBy(*keys, "_t").agg(F.round(F.sum(F.col("_times") * F.col(value)) / F.first("_n"), 12).alias("_m"))
     sorted_means = means.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("_m", "_t")) - 1)
     lo, hi = int(alpha / 2 * iters), min(int((1 - alpha / 2) * iters), iters - 1)
     bounds = sorted_means.groupBy(*keys).agg(F.max(F.when(F.col("_at") == lo, F.col("_m"))).alias("lo"), F.max(F.when(F.col("_at") == hi, F.col("_m"))).alias("hi"))
@@ -139,11 +143,25 @@ def compare(base: DataFrame, candidate: DataFrame, iters: int = 10_000, seed: in
 
 
 def verdict(comparison: DataFrame) -> DataFrame:
-    """One row: delta, lo, regressed (strata whose primary metric's interval lies below 0), fires."""
+    """One row: delta, lo, regressed (strata whose primary metric's interval lies below 0), fires, outcome (FIRES,
+    STAYS, or UNUSABLE if the runs have no question in common) and code (0, 1 and 2 of these)."""
     x = comparison.where(F.col("metric") == PRIMARY)
     pooled = F.col("stratum") == "all"
     y = x.agg(F.max(F.when(pooled, F.col("delta"))).alias("delta"), F.max(F.when(pooled, F.col("lo"))).alias("lo"), F.array_sort(F.collect_set(F.when(~pooled & (F.col("hi") < 0), F.col("stratum")))).alias("regressed"))
-    return y.withColumn("fires", F.coalesce((F.col("delta") > 0) & (F.col("lo") > 0) & (F.size("regressed") == 0), F.lit(False)))
+    y = y.withColumn("fires", F.coalesce((F.col("delta") > 0) & (F.col("lo") > 0) & (F.size("regressed") == 0), F.lit(False)))
+    y = y.withColumn("outcome", F.when(F.col("delta").isNull(), UNUSABLE).when(F.col("fires"), FIRES).otherwise(STAYS))
+    return y.withColumn("code", F.when(F.col("outcome") == FIRES, 0).when(F.col("outcome") == STAYS, 1).otherwise(2))
+
+
+def comparable(base_meta: dict, candidate_meta: dict) -> bool:
+    """Runs are only compared if they were scored on the same version of the question set."""
+    return base_meta.get("golden_set_version") == candidate_meta.get("golden_set_version")
+
+
+def decide(base: DataFrame, candidate: DataFrame, base_meta: dict, candidate_meta: dict, iters: int = 10_000, seed: int = 0, hashed: bool = False) -> DataFrame:
+    """verdict() of two runs; UNUSABLE if they aren't comparable."""
+    usable = comparable(base_meta, candidate_meta)
+    return verdict(compare(base if usable else base.limit(0), candidate, iters, seed, hashed))
 
 
 def movement(base: DataFrame, candidate: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 
 from plumbline.functions import text as T
 from plumbline.operators import chunking
+from plumbline.operators.bm25 import Index, build
+from plumbline.sources import saved
 
 
 #: So many passages may be broadcast; more are joined by a shuffle.
@@ -32,25 +34,40 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id, arxiv_id, page, ordinal, text, text_sha8. Each page is one row, so a window's place in it is its ordinal
-    and no numbering by key is needed."""
-    split = chunking.split_pages(pages(spark, sf_dir))
-    paper = T.basename_stem(F.col("source"))
-    return split.select(T.make_chunk_id(paper, F.col("page"), F.col("pos")).alias("chunk_id"), paper.alias("arxiv_id"), "page", F.col("pos").alias("ordinal"), F.col("page_content").alias("text"), T.sha8(F.col("page_content")).alias("text_sha8"))
+    """chunk_id, arxiv_id, page, ordinal, text, text_sha8: the collection that all searches and judgements share, split
+    once for each version of the documents. Each page is one row, so a window's place in it is its ordinal and no
+    numbering by key is needed."""
+
+    def split() -> DataFrame:
+        x, paper = chunking.split_pages(pages(spark, sf_dir)), T.basename_stem(F.col("source"))
+        return x.select(T.make_chunk_id(paper, F.col("page"), F.col("pos")).alias("chunk_id"), paper.alias("arxiv_id"), "page", F.col("pos").alias("ordinal"), F.col("page_content").alias("text"), T.sha8(F.col("page_content")).alias("text_sha8"))
+
+    return saved.table(spark, "chunks", [f"{sf_dir}/documents.parquet"], split)
+
+
+def index(spark: SparkSession, sf_dir: str, variant: str = "lucene") -> Index:
+    """The collection's index, built once for each version of the documents; variants read the same tables."""
+    at = saved.place(spark, "bm25", [f"{sf_dir}/documents.parquet"], lambda path: build(chunks(spark, sf_dir)).save(path))
+    return Index.load(spark, at, variant=variant)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, text (the passage's first 12 tokens), passage."""
+    """qid, text (the passage in single spaces), passage (the same in lower case)."""
     b = table(spark, sf_dir, "benchmark")
-    words = T.white_tokens(F.col("text"))
-    return b.select(F.concat(F.lit("q"), F.lpad(F.col("item_id").cast("string"), 5, "0")).alias("qid"), "item_id", F.array_join(F.slice(words, 1, 12), " ").alias("text"), F.lower(F.array_join(words, " ")).alias("passage"))
+    words = F.array_join(T.white_tokens(F.col("text")), " ")
+    return b.select(F.concat(F.lit("q"), F.lpad(F.col("item_id").cast("string"), 5, "0")).alias("qid"), "item_id", words.alias("text"), F.lower(words).alias("passage"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, semantics, group_idx, chunk_id. Questions of one passage are any_of; each pair of neighbours of which both have
-    gold makes an all_required question of two groups. Passages meet chunks by their first word, then in full."""
-    q = questions(spark, sf_dir).withColumn("head", F.substring_index("passage", " ", 3))
-    c = chunks(spark, sf_dir).select("chunk_id", F.lower("text").alias("low"))
+    """qid, semantics, group_idx, chunk_id, found once for each version of the documents and passages. Questions of one
+    passage are any_of; each pair of neighbours of which both have gold makes an all_required question of two groups."""
+    return saved.table(spark, "gold", [f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet"], lambda: find_gold(questions(spark, sf_dir), chunks(spark, sf_dir)))
+
+
+def find_gold(q: DataFrame, c: DataFrame) -> DataFrame:
+    """Passages meet chunks by their first three words, then in full."""
+    q = q.withColumn("head", F.substring_index("passage", " ", 3))
+    c = c.select("chunk_id", F.lower("text").alias("low"))
     words = F.split("low", " ")
     heads = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, 3), " ")))
     asked_for = q.select("qid", "item_id", "passage", "head")
@@ -90,7 +107,7 @@ chunks AS (
 
 QUESTIONS = rf"""
 questions AS (
-  SELECT 'q' || lpad(CAST(item_id AS VARCHAR), 5, '0') AS qid, item_id, array_to_string({WORDS.format('text')}[1:12], ' ') AS text,
+  SELECT 'q' || lpad(CAST(item_id AS VARCHAR), 5, '0') AS qid, item_id, array_to_string({WORDS.format('text')}, ' ') AS text,
          lower(array_to_string({WORDS.format('text')}, ' ')) AS passage
   FROM benchmark)
 """

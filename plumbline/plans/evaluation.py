@@ -7,22 +7,28 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import dense, fusion, golden, judging, metrics
 from plumbline.plans import data, retrieval
+from plumbline.sources import saved
 
-ITERS = 200
+#: As many as the operator takes by itself.
+ITERS = 10_000
 KS = metrics.KS
 
 
-def _coverage(spark, sf_dir, arm):
+def hits(spark, sf_dir, arm="hybrid"):
     q = data.asked(spark, sf_dir)
     if arm == "dense":
-        hits = dense.search(data.vectors(spark, sf_dir), q, fusion.POOL)
-    else:
-        hits = fusion.hybrid(retrieval._index(spark, sf_dir), data.vectors(spark, sf_dir), q, fusion.POOL)
-    return metrics.coverage(data.gold(spark, sf_dir), hits.select("qid", F.col("rank").alias("pos"), "chunk_id"))
+        return dense.search(data.vectors(spark, sf_dir), q, fusion.POOL)
+    return fusion.hybrid(data.index(spark, sf_dir), data.vectors(spark, sf_dir), q, fusion.POOL)
 
 
 def _scores(spark, sf_dir, arm="hybrid"):
-    return metrics.score_questions(_coverage(spark, sf_dir, arm))
+    return metrics.score_questions(metrics.coverage(data.gold(spark, sf_dir), hits(spark, sf_dir, arm).select("qid", F.col("rank").alias("pos"), "chunk_id")))
+
+
+def run(spark, sf_dir, arm):
+    """An arm's run: its questions' scores, kept for each version of the tables, as comparisons read finished runs."""
+    tables = [f"{sf_dir}/{t}.parquet" for t in ("documents", "benchmark", "embeddings")]
+    return saved.table(spark, f"run-{arm}", tables, lambda: _scores(spark, sf_dir, arm))
 
 
 def question_scores(spark, sf_dir):
@@ -51,7 +57,7 @@ QUESTION_SCORES = f"{BASE} SELECT qid, semantics, n_groups, coverage, {', '.join
 
 
 def stratum_scores(spark, sf_dir):
-    x = metrics.by_stratum(_scores(spark, sf_dir))
+    x = metrics.by_stratum(run(spark, sf_dir, "hybrid"))
     return x.select("stratum", "n", *[F.round(c, 9).alias(c) for c in x.columns if c not in ("stratum", "n")])
 
 
@@ -62,7 +68,7 @@ UNION ALL SELECT semantics, count(*), {_means} FROM hybrid WHERE semantics IN ('
 
 
 def compare_hashed(spark, sf_dir):
-    x = metrics.compare(_scores(spark, sf_dir, "dense"), _scores(spark, sf_dir), ITERS, 0, hashed=True)
+    x = metrics.compare(run(spark, sf_dir, "dense"), run(spark, sf_dir, "hybrid"), ITERS, 0, hashed=True)
     return x.select("stratum", "metric", "n", *[F.round(c, 7).alias(c) for c in ("base_mean", "candidate_mean", "delta", "lo", "hi")], "flag")
 
 
@@ -74,10 +80,10 @@ pairs AS (SELECT 'all' AS stratum, metric, qid, b, c, c - b AS d FROM long UNION
 COMPARE = f"""{PAIRED},
 rows AS (SELECT *, row_number() OVER (PARTITION BY stratum, metric ORDER BY qid) - 1 AS i, count(*) OVER (PARTITION BY stratum, metric) AS n FROM pairs),
 draws AS (
-  SELECT s.stratum, s.metric, t.t, CAST(('0x' || substr(md5('0:' || t.t || ':' || j.j), 1, 8)) AS BIGINT) % s.n AS i
-  FROM (SELECT DISTINCT stratum, metric, n FROM rows) s, (SELECT unnest(generate_series(0, {ITERS - 1})) AS t) t, (SELECT unnest(generate_series(0, 999)) AS j) j
-  WHERE j.j < s.n),
-means AS (SELECT stratum, metric, t, round(avg(d), 12) AS m FROM draws JOIN rows USING (stratum, metric, i) GROUP BY ALL),
+  SELECT s.n, t.t, CAST(('0x' || substr(md5('0:' || t.t || ':' || j.j), 1, 8)) AS BIGINT) % s.n AS i, count(*) AS times
+  FROM (SELECT DISTINCT n FROM rows) s, (SELECT unnest(generate_series(0, {ITERS - 1})) AS t) t, (SELECT unnest(generate_series(0, (SELECT max(n) - 1 FROM rows))) AS j) j
+  WHERE j.j < s.n GROUP BY ALL),
+means AS (SELECT stratum, metric, t, round(sum(times * d) / any_value(n), 12) AS m FROM draws JOIN rows USING (n, i) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum, metric ORDER BY m, t) - 1 AS place FROM means),
 ci AS (SELECT stratum, metric, max(CASE WHEN place = {int(0.025 * ITERS)} THEN m END) AS lo, max(CASE WHEN place = {min(int(0.975 * ITERS), ITERS - 1)} THEN m END) AS hi FROM ranked GROUP BY ALL)
 SELECT stratum, metric, count(*) AS n, round(avg(b), 7) AS base_mean, round(avg(c), 7) AS candidate_mean, round(avg(d), 7) AS delta, round(any_value(lo), 7) AS lo, round(any_value(hi), 7) AS hi,
@@ -86,23 +92,23 @@ FROM pairs JOIN ci USING (stratum, metric) GROUP BY stratum, metric"""
 
 
 def compare_exact(spark, sf_dir):
-    return metrics.compare(_scores(spark, sf_dir, "dense"), _scores(spark, sf_dir), 1000)
+    return metrics.compare(run(spark, sf_dir, "dense"), run(spark, sf_dir, "hybrid"), ITERS)
 
 
 def decision(spark, sf_dir):
-    x = metrics.verdict(metrics.compare(_scores(spark, sf_dir, "dense"), _scores(spark, sf_dir), ITERS, 0, hashed=True))
-    return x.select(F.round("delta", 7).alias("delta"), F.round("lo", 7).alias("lo"), F.array_join("regressed", ",").alias("regressed"), "fires")
+    x = metrics.verdict(metrics.compare(run(spark, sf_dir, "dense"), run(spark, sf_dir, "hybrid"), ITERS, 0, hashed=True))
+    return x.select(F.round("delta", 7).alias("delta"), F.round("lo", 7).alias("lo"), F.array_join("regressed", ",").alias("regressed"), "fires", "outcome", F.col("code").cast("int").alias("code"))
 
 
-DECISION = f"""WITH x AS (SELECT * FROM ({COMPARE}) WHERE metric = 'ndcg_at_10')
+DECISION = f"""SELECT *, CASE WHEN fires THEN 'fires' WHEN delta IS NULL THEN 'unusable' ELSE 'stays' END AS outcome, CASE WHEN fires THEN 0 WHEN delta IS NULL THEN 2 ELSE 1 END AS code FROM (WITH x AS (SELECT * FROM ({COMPARE}) WHERE metric = 'ndcg_at_10')
 SELECT max(CASE WHEN stratum = 'all' THEN delta END) AS delta, max(CASE WHEN stratum = 'all' THEN lo END) AS lo,
        coalesce(string_agg(CASE WHEN stratum <> 'all' AND hi < 0 THEN stratum END, ',' ORDER BY stratum), '') AS regressed,
        coalesce(max(CASE WHEN stratum = 'all' THEN delta END) > 0 AND max(CASE WHEN stratum = 'all' THEN lo END) > 0 AND count(*) FILTER (WHERE stratum <> 'all' AND hi < 0) = 0, false) AS fires
-FROM x"""
+FROM x)"""
 
 
 def run_movement(spark, sf_dir):
-    return metrics.movement(_scores(spark, sf_dir, "dense"), _scores(spark, sf_dir))
+    return metrics.movement(run(spark, sf_dir, "dense"), run(spark, sf_dir, "hybrid"))
 
 
 MOVEMENT = f"""{BASE}, m AS (SELECT b.rr AS b, h.rr AS c, h.rr - b.rr AS d FROM hybrid h JOIN base b USING (qid))
@@ -111,14 +117,14 @@ SELECT count(*) FILTER (WHERE d > 1e-9) AS up, count(*) FILTER (WHERE d < -1e-9)
 
 
 def first_misses(spark, sf_dir):
-    return metrics.misses(_scores(spark, sf_dir, "dense")).select("qid", "semantics", "n_groups")
+    return metrics.misses(run(spark, sf_dir, "dense")).select("qid", "semantics", "n_groups")
 
 
 MISSES = f"{BASE} SELECT qid, semantics, n_groups FROM base WHERE rr = 0 ORDER BY qid LIMIT 15"
 
 
 def arm_attribution(spark, sf_dir):
-    hits = fusion.hybrid(retrieval._index(spark, sf_dir), data.vectors(spark, sf_dir), data.asked(spark, sf_dir), fusion.POOL)
+    hits = fusion.hybrid(data.index(spark, sf_dir), data.vectors(spark, sf_dir), data.asked(spark, sf_dir), fusion.POOL)
     x = metrics.attribution(metrics.gold_hits(data.gold(spark, sf_dir), hits))
     return x.withColumn("share", F.round("share", 9))
 

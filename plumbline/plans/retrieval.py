@@ -11,16 +11,12 @@ from plumbline.plans import data
 TOP = 10
 
 
-def _index(spark, sf_dir, **options):
-    return bm25.build(data.chunks(spark, sf_dir), **options)
-
-
 def bm25_top10(spark, sf_dir):
-    return bm25.search(_index(spark, sf_dir), data.questions(spark, sf_dir).select("qid", "text"), TOP)
+    return bm25.search(data.index(spark, sf_dir), data.questions(spark, sf_dir).select("qid", "text"), TOP)
 
 
 def bm25_okapi_top10(spark, sf_dir):
-    return bm25.search(_index(spark, sf_dir, variant="okapi"), data.questions(spark, sf_dir).select("qid", "text"), TOP)
+    return bm25.search(data.index(spark, sf_dir, "okapi"), data.questions(spark, sf_dir).select("qid", "text"), TOP)
 
 
 def _ranked(variant="lucene", k1=1.2):
@@ -42,7 +38,7 @@ FROM (SELECT DISTINCT qid FROM a) x LEFT JOIN (SELECT a.qid, count(*) AS shared
 
 
 def bm25_explain(spark, sf_dir):
-    index, q = _index(spark, sf_dir), data.questions(spark, sf_dir).select("qid", "text")
+    index, q = data.index(spark, sf_dir), data.questions(spark, sf_dir).select("qid", "text")
     first = bm25.search(index, q, 1).select("qid", "chunk_id")
     return bm25.explain(index, q, first).select("qid", "chunk_id", "term", F.round("value", 6).alias("value"))
 
@@ -53,7 +49,7 @@ SELECT qid, chunk_id, term, round(value, 6) AS value FROM value JOIN best USING
 
 
 def bm25_index_stats(spark, sf_dir):
-    return bm25.index_stats(_index(spark, sf_dir)).select("n_docs", "avgdl", "vocabulary", "k1", "b", "idf_variant", "tokenization_version")
+    return bm25.index_stats(data.index(spark, sf_dir)).select("n_docs", "avgdl", "vocabulary", "k1", "b", "idf_variant", "tokenization_version")
 
 
 BM25_STATS = f"""WITH {data.CHUNKS}, {data.QUESTIONS}, q AS (SELECT qid, text FROM questions), {data.bm25()}
@@ -62,21 +58,21 @@ SELECT n_docs, round(avgdl, 3) AS avgdl, (SELECT count(*) FROM terms) AS vocabul
 
 def _term_stats(variant):
     def query(spark, sf_dir):
-        return _index(spark, sf_dir, variant=variant).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+        return data.index(spark, sf_dir, variant).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
     sql = f"WITH {data.CHUNKS}, {data.QUESTIONS}, q AS (SELECT qid, text FROM questions), {data.bm25(1.2, variant)} SELECT term, df, round(idf, 9) AS idf FROM terms"
     return query, sql
 
 
 def bm25_postings(spark, sf_dir):
-    return _index(spark, sf_dir).postings.select("term", "chunk_id", "tf")
+    return data.index(spark, sf_dir).postings.select("term", "chunk_id", "tf")
 
 
 POSTINGS = f"WITH {data.CHUNKS}, {data.terms('chunks', 'chunk_id', 'occ')} SELECT term, chunk_id, count(*) AS tf FROM occ GROUP BY ALL"
 
 
 def bm25_documents(spark, sf_dir):
-    return _index(spark, sf_dir).docs.select("chunk_id", "dl")
+    return data.index(spark, sf_dir).docs.select("chunk_id", "dl")
 
 
 DOCUMENTS = f"WITH {data.CHUNKS}, {data.terms('chunks', 'chunk_id', 'occ')} SELECT c.chunk_id, coalesce(dl, 0) AS dl FROM chunks c LEFT JOIN (SELECT chunk_id, count(*) AS dl FROM occ GROUP BY ALL) USING (chunk_id)"
@@ -158,7 +154,7 @@ SELECT qid, count(*) FILTER (WHERE abs(gap) < 0.005) AS near_ties FROM g GROUP B
 
 
 def hybrid_top10(spark, sf_dir):
-    return fusion.hybrid(_index(spark, sf_dir), data.vectors(spark, sf_dir), data.asked(spark, sf_dir), TOP)
+    return fusion.hybrid(data.index(spark, sf_dir), data.vectors(spark, sf_dir), data.asked(spark, sf_dir), TOP)
 
 
 def fused_sql(k=60, wd=1.0, wb=1.0, depth=50):
@@ -178,7 +174,7 @@ HYBRID = f"WITH {fused_sql()} SELECT qid, rank, chunk_id, rrf_score, dense_rank,
 
 def ranked_arms(spark, sf_dir, depth=fusion.POOL):
     q = data.asked(spark, sf_dir)
-    return fusion.arms(dense.search(data.vectors(spark, sf_dir), q, depth), bm25.search(_index(spark, sf_dir), q, depth))
+    return fusion.arms(dense.search(data.vectors(spark, sf_dir), q, depth), bm25.search(data.index(spark, sf_dir), q, depth))
 
 
 def rrf_fuse(spark, sf_dir):

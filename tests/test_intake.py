@@ -119,6 +119,61 @@ def test_store(spark, tmp_path):
     assert not s.exists()
 
 
+def test_last_of_a_batch_wins(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    ingest.ingest(pages_of(spark, ("a.pdf", 0, "x")), s, "local")
+    rows = [ingest.to_rows(pages_of(spark, ("a.pdf", 0, t)), "local", ingest.hashed_embedding) for t in ("zz early", "aa late")]
+    s.upsert(rows[0].union(rows[1]))
+    assert [r.page_content for r in s.read("local").collect()] == ["aa late"]
+
+
+def test_killed_and_competing_writers(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, str(tmp_path / "s"))
+    put = lambda name, text: ingest.ingest(pages_of(spark, (name, 0, text)), s, "local")
+    put("a.pdf", "one")
+
+    class Killed(BaseException):
+        pass
+
+    def killed(*_):
+        raise Killed
+
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "_publish", killed)  # dies between writing rows and publishing them
+        with pytest.raises(Killed):
+            put("b.pdf", "lost")
+    assert s.count("local") == 1
+    put("b.pdf", "two")
+    assert s.count("local") == 2 and len(list((tmp_path / "s/data").iterdir())) == 3
+    s.clean(orphan_seconds=0)
+    assert s.count("local") == 2 and len(list((tmp_path / "s/data").iterdir())) == 2
+
+    publish, others = store.Store._publish, []
+
+    def beaten(self, number, snapshot):
+        if not others:
+            others.append(1)
+            other = store.Store(spark, self.path)
+            ingest.ingest(pages_of(spark, ("c.pdf", 0, "three")), other, "local")
+        return publish(self, number, snapshot)
+
+    monkeypatch.setattr(store.Store, "_publish", beaten)
+    put("d.pdf", "four")
+    assert {r.arxiv_id for r in s.read("local").collect()} == {"a", "b", "c", "d"}
+
+
+def test_old_snapshots_go_and_untouched_buckets_stay(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), buckets=8)
+    ingest.ingest(pages_of(spark, *[(f"p{i}.pdf", 0, f"text {i}") for i in range(60)]), s, "local")
+    first = s._snapshot(s.version)["gens"]
+    for i in range(5):
+        ingest.ingest(pages_of(spark, ("p1.pdf", 0, f"again {i}")), s, "local")
+    last = s._snapshot(s.version)["gens"]
+    assert sum(last[b] != first[b] for b in first) == 1 and s.count("local") == 60
+    assert len(list((tmp_path / "s/snapshots").glob("*.json"))) == store.KEPT
+    assert len(list((tmp_path / "s/data").iterdir())) == 1 + store.KEPT
+
+
 def test_chunks_without_ids(spark):
     rows = spark.createDataFrame([(None, "same", "local"), ("", "same", "local"), (None, "other", "local")], "chunk_id string, page_content string, provider string")
     assert store.merge(None, rows).count() == 2
