@@ -26,7 +26,10 @@ _run = uuid.uuid4().hex
 
 
 def tune(spark: SparkSession) -> None:
-    """Smaller Arrow batches: rows hold whole texts, and thousands of long ones would fill a worker's memory."""
+    """Smaller Arrow batches: rows hold whole texts, and thousands of long ones would fill a worker's memory. And no union
+    of equally dealt tables counts as dealt alike: with adaptive plans Spark 4.1 then groups one key in several tasks."""
+    if spark.conf.get("spark.sql.unionOutputPartitioning", "true") != "false":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 64:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
 

@@ -25,7 +25,8 @@ _HAS_BARE = re.compile(f"[{_BARE}]")
 #: alike from their first such word to their last. Characters of scripts without spaces: of so many.
 _WINDOW, _BARE_WINDOW = 8, 2
 
-_INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+#: Two polynomials over the hashes of words name a run, by 64 and 32 bits.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 class _TokenHashes(WordHashes):
@@ -89,30 +90,29 @@ def sentences(text: str) -> list[int]:
     return _split(text)[0].tolist() if text else []
 
 
-_up = np.ones(1, np.uint64)
-_down = np.ones(1, np.uint64)
+_powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64)] * 2 for _ in _BASES]
 
 
-def _powers(n: int) -> None:
-    global _up, _down
-    if len(_up) <= n:
-        size = max(2 * len(_up), n + 1)
-        _up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, 0x9E3779B97F4A7C15, np.uint64)]))
-        _down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, _INVERSE, np.uint64)]))
+def _reach(n: int) -> None:
+    """Makes powers of the bases and of their inverses up to n at hand."""
+    size = len(_powers[0][0])
+    if size <= n:
+        for i, base in enumerate(_BASES):
+            _powers[i] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(2 * size, n + 1), b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64))]
 
 
-def runs(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, past) of runs of consecutive sentences: from each sentence the shortest of two or more that has
-    least_words words, and to each sentence likewise. White space and letter case don't count."""
+def runs(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64 bits, 32 bits, first, past) of runs of consecutive sentences: from each sentence the shortest of two or more
+    that has least_words words, and to each sentence likewise. Longer repeated runs are covered by these, which repeat
+    with them. The bits name the words of a run and its number of sentences; white space and letter case don't count."""
     ends, tokens, h, start = _split(text) if text else (np.empty(0, np.int64),) * 4
     n = len(ends)
     if n < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
-    _powers(len(h))
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+    _reach(len(h))
     lead = int(text[0].isspace())
     h = h[lead:]  # no white space before the first word
     edge = np.concatenate([[0], tokens - lead])
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _up[: len(h)])])[edge]
     count = np.concatenate([[0], np.cumsum(start[lead:])])[edge]
     here = np.arange(n + 1)
     past = np.maximum(np.searchsorted(count, count + least_words), here + 2)
@@ -121,10 +121,13 @@ def runs(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     hi = np.concatenate([past[past <= n], here[first >= 0]])
     both = np.unique(lo * (n + 1) + hi)
     lo, hi = both // (n + 1), both % (n + 1)
-    value = (total[hi] - total[lo]) * _down[edge[lo]]
-    value ^= value >> np.uint64(29)
-    value = value * np.uint64(0xBF58476D1CE4E5B9) + (hi - lo).astype(np.uint64)
-    return value.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)
+    names = []
+    for up, down in _powers:
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])[edge]
+        value = (total[hi] - total[lo]) * down[edge[lo]]
+        value ^= value >> np.uint64(29)
+        names.append(value * np.uint64(0xBF58476D1CE4E5B9) + (hi - lo).astype(np.uint64))
+    return names[0].view(np.int64), (names[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), lo.astype(np.int32), hi.astype(np.int32)
 
 
 #: Null doc_ids stand behind all others.
@@ -132,46 +135,49 @@ _LAST = (1 << 63) - 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds _key (doc_id) and _th (hash of the text), which order documents."""
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_th", F.xxhash64("text"))
+    """docs -> row (all its columns), text, key (doc_id) and th (hash of the text); the latter two order documents."""
+    return docs.select(F.struct("*").alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64("text").alias("th"))
 
 
-def _equal_rows(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """_key and _th of those that several rows of docs share, if any."""
-    twice = scratch.save(_keyed(docs).groupBy("_key", "_th").count().where("count > 1").select("_key", "_th"), narrow=True)
-    return None if twice.isEmpty() else twice
+def _names(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, bool]:
+    """key and th of those that several rows of docs share, if any, and whether key alone tells documents apart."""
+    each = scratch.save(_keyed(docs).groupBy("key", "th").count(), narrow=True)
+    twice = each.where("count > 1").select("key", "th")
+    return None if twice.isEmpty() else twice, each.groupBy("key").count().where("count > 1").isEmpty()
 
 
-def repeated_spans(docs: DataFrame, least_words: int = 25, equal: DataFrame | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, h (hash of the text), later, spans: array of (first, past) sentence numbers.
+def repeated_spans(keyed: DataFrame, scratch: Scratch, least_words: int = 25, equal: DataFrame | None = None) -> DataFrame:
+    """keyed (key, th, text) -> key, th, later, spans: array of (first, past) sentence numbers.
 
-    A run is repeated if it occurs more than once in all documents; every occurrence but the first, by doc_id, hash of
-    the text, then place, is a span. Only documents that have spans get a row. equal (_key, _th): documents that are
-    several rows. One of these counts as the first; `later` says whether spans are of the others, where every
-    occurrence is one."""
-    scratch = Scratch(docs.sparkSession, "spans")
+    A run is repeated if it occurs more than once in all documents; every occurrence but the first, by key, th, then
+    place, is a span. Only documents that have spans get a row. equal (key, th): documents that are several rows. One
+    of these counts as the first; `later` says whether spans are of the others, where every occurrence is one."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [runs(t or "", least_words) for t in b.column("text").to_pylist()]
-            each = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            each = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
             cols = [np.concatenate(c) if found else np.empty(0) for c in zip(*found)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), b.column("doc_id").take(pa.array(each)), b.column("h").take(pa.array(each)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32))], names=["run", "doc_id", "h", "first", "past"])
+            kinds = (np.int64, np.int32, np.int32, np.int32)
+            run, check, first, past = (pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([run, check, b.column("key").take(each), b.column("th").take(each), first, past], names=["run", "check", "key", "th", "first", "past"])
 
-    known = _keyed(docs).select(F.col("_key").alias("doc_id"), F.col("_th").alias("h"), "text")
-    every = scratch.save(known.mapInArrow(leanly(emit), "run long, doc_id long, h long, first int, past int"))
+    every = scratch.save(keyed.select("key", "th", "text").mapInArrow(leanly(emit), "run long, check int, key long, th long, first int, past int"))
     scratch.rows = every.count()
-    twice = every.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("home")).where("n > 1").select("run", "home")
-    again = scratch.save(every.join(scratch.save(twice, narrow=True), "run"), narrow=True)  # read back, so that a hot run's rows can be split
+    named = ["run", "check"]
+    twice = scratch.save(every.groupBy(*named).agg(F.count("*").alias("n"), F.min("key").alias("home")).where("n > 1").select(*named, "home"), narrow=True)
+    again = scratch.save(every.join(twice, named), narrow=True)  # read back, so that a hot run's rows can be split
+    scratch.drop(every, twice)
     # No window over a run or document: many rows may share both.
-    at_home = again.where("doc_id = home")
-    start = at_home.groupBy("run").agg(F.min(F.struct("h", "first")).alias("at"))
-    inside = at_home.join(start, "run").where(F.struct("h", "first") > F.col("at")).drop("at")
-    covered = again.where("doc_id > home").unionByName(inside).withColumn("later", F.lit(False))
+    at_home = again.where("key = home")
+    start = at_home.groupBy(*named).agg(F.min(F.struct("th", "first")).alias("at"))
+    inside = at_home.join(start, named).where(F.struct("th", "first") > F.col("at"))
+    covered = again.where("key > home").select("key", "th", "first", "past").unionByName(inside.select("key", "th", "first", "past")).withColumn("later", F.lit(False))
     if equal is not None:
-        mine = small(equal.select(F.col("_key").alias("doc_id"), F.col("_th").alias("h")), 24)
-        covered = covered.unionByName(again.join(mine, ["doc_id", "h"], "left_semi").select("run", "doc_id", "h", "first", "past", "home").withColumn("later", F.lit(True)))
-    return covered.groupBy("doc_id", "h", "later").agg(F.collect_set(F.struct("first", "past")).alias("spans"))
+        covered = covered.unionByName(again.join(small(equal, 24), ["key", "th"], "left_semi").select("key", "th", "first", "past", F.lit(True).alias("later")))
+    found = scratch.save(covered.groupBy("key", "th", "later").agg(F.collect_set(F.struct("first", "past")).alias("spans")), narrow=True)
+    scratch.drop(again)
+    return found
 
 
 def _clean(text: str, spans) -> tuple[str, list[tuple[int, int]], int]:
@@ -202,16 +208,23 @@ def remove_repeats(docs: DataFrame, least_words: int = 25) -> DataFrame:
 
     A repeated span is a run of two or more consecutive sentences with at least least_words words that occurs earlier,
     by doc_id, hash of the text, then place, in any document; null doc_ids stand last, and of equal rows any one is the
-    first. Null or empty text: stays, nothing removed. Sentences
-    of eight words or more are first cut into parts, at places that their words decide: of a repeated passage, up to
-    eight words before its first such place or sentence's end and after its last stay. A document may become empty; its row stays. Columns of the input named removed or n_removed are replaced. No rows:
-    no rows."""
+    first. Sentences of eight words or more are first cut into parts, at places that their words decide: of a repeated
+    passage, up to seven words before its first such place or sentence's end and after its last stay. So a passage of
+    least_words + 14 words or more is always found. Runs are named by 96 bits of their words' hashes.
+
+    Null or empty text: stays, nothing removed. A document may become empty; its row stays. Columns of the input named
+    removed or n_removed are replaced; other names don't matter. No rows: no rows."""
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "clean")
-    equal = _equal_rows(docs, scratch)
-    found = scratch.save(repeated_spans(docs, least_words, equal).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("later").alias("_l"), F.col("spans").alias("_spans")), narrow=True)
-    size = found.agg(F.sum(F.size("_spans") * 8 + 48)).first()[0] or 0
+    names = [c for c in docs.columns if c not in ("removed", "n_removed")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    equal, told_apart = _names(docs, scratch)
+    keyed = _keyed(docs)
+    if told_apart:
+        keyed = keyed.withColumn("th", F.lit(0).cast("long"))  # nothing to carry along
+    found = repeated_spans(keyed, scratch, least_words, equal)
+    size = found.agg(F.sum(F.size("spans") * 8 + 48)).first()[0] or 0
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found
 
     @F.pandas_udf("text string, removed array<struct<start:int,past:int>>, n_removed int")
@@ -220,22 +233,22 @@ def remove_repeats(docs: DataFrame, least_words: int = 25) -> DataFrame:
         out = [(None, None, 0) if t is None else _clean(t, s) for t, s in zip(texts, spans, strict=True)]
         return pd.DataFrame(out, columns=["text", "removed", "n_removed"])
 
-    names = [c for c in docs.columns if c not in ("removed", "n_removed")]
-    keyed = _keyed(docs.select(*names))
+    keyed = keyed.select("row", "key", "th")
     if equal is None:
-        keyed = keyed.withColumn("_later", F.lit(False))
+        keyed = keyed.withColumn("later", F.lit(False))
     else:
         both = small(equal, 24)
-        rows = scratch.save(keyed.join(both, ["_key", "_th"], "left_semi").withColumn("_row", F.monotonically_increasing_id()))  # kept, so that numbers stay
-        one = rows.groupBy("_key", "_th").agg(F.min("_row").alias("_one"))
-        rows = rows.join(small(scratch.save(one, narrow=True), 32), ["_key", "_th"]).withColumn("_later", F.col("_row") > F.col("_one")).drop("_row", "_one")
-        keyed = keyed.join(both, ["_key", "_th"], "left_anti").withColumn("_later", F.lit(False)).unionByName(rows)
-    x = keyed.join(found, (F.col("_key") == F.col("_id")) & (F.col("_th") == F.col("_h")) & (F.col("_later") == F.col("_l")), "left")
-    x = x.withColumn("_cut", cut(F.when(F.col("_spans").isNotNull(), F.col("text")), "_spans"))
-    hit = F.col("_spans").isNotNull()
-    text = F.when(hit, F.col("_cut.text")).otherwise(F.col("text"))
+        rows = scratch.save(keyed.join(both, ["key", "th"], "left_semi").withColumn("number", F.monotonically_increasing_id()))  # kept, so that numbers stay
+        one = rows.groupBy("key", "th").agg(F.min("number").alias("one"))
+        rows = rows.join(small(scratch.save(one, narrow=True), 32), ["key", "th"]).withColumn("later", F.col("number") > F.col("one"))
+        keyed = keyed.join(both, ["key", "th"], "left_anti").withColumn("later", F.lit(False)).unionByName(rows.select("row", "key", "th", "later"))
+    x = keyed.join(found, ["key", "th", "later"], "left")
+    hit = F.col("spans").isNotNull()
+    x = x.select("row", hit.alias("hit"), cut(F.when(hit, F.col("row.text")), "spans").alias("cut"))
     empty = F.expr("cast(array() as array<struct<start:int,past:int>>)")
-    return x.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.when(hit, F.col("_cut.removed")).otherwise(empty).alias("removed"), F.when(hit, F.col("_cut.n_removed")).otherwise(F.lit(0)).alias("n_removed"))
+    old = {c: F.col("row").getField(c) for c in names}
+    new = old | {"text": F.when(F.col("hit"), F.col("cut.text")).otherwise(old["text"])}
+    return x.select(*[new[c].alias(c) for c in names], F.when(F.col("hit"), F.col("cut.removed")).otherwise(empty).alias("removed"), F.when(F.col("hit"), F.col("cut.n_removed")).otherwise(F.lit(0)).alias("n_removed"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -37,3 +37,16 @@ def test_one_occurrence_stays_among_rows_without_own_number(spark):
     assert len(out) == len(rows)
     assert sum(header in t for t in out) == sum(other in t for t in out) == 1
     assert out.count(whole) == 1 and out.count("") == 5 and sum(t.count(twice) for t in out) == 1
+
+
+def test_no_name_of_a_column_matters(spark):
+    r = random.Random(7)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(n)) + ".\n"
+    shared = text(60)
+    clash = ["row", "key", "th", "later", "spans", "hit", "cut", "number", "one", "run", "check", "_spans", "_key", "a.b"]
+    rows = [(i, shared + text(20), *range(len(clash))) for i in (1, 2, 2, None)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *clash])
+    out = spans.remove_repeats(docs)
+    assert out.columns == [*docs.columns, "removed", "n_removed"]
+    got = out.collect()
+    assert sorted(str(x.doc_id) for x in got if not x.n_removed) == ["1"] and all(list(x[2:-2]) == list(range(len(clash))) for x in got)
