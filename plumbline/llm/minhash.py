@@ -22,6 +22,8 @@ BITS = 4
 MARGIN = 0.2
 #: Candidates down to threshold - FAR are compared with their bucket's first node, to learn how they differ from it.
 FAR = 0.5
+#: Nodes of a bucket that meet in one block of the last join, from all of it and from outside its largest component.
+CELL, OUTSIDE = 512, 4096
 #: Bits of the masks that record which shingles a set adds to or lacks of another.
 MASK = 512
 
@@ -201,11 +203,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
     `rounds` turns, nodes outside the largest component of a bucket meet one of its nodes, the likeliest first. Then,
     in buckets that still hold several components, every node outside the largest meets all nodes of others: pairs
     whose estimate lies far below the threshold, or which share too few shingles by how both differ from the bucket's
-    first node (a bound that never errs), drop out inside the join; full sets decide the rest. So no bucket's pairs
-    are all written out, none is capped, and no candidate that could join two components goes unseen.
+    first node (a bound that never errs), drop out inside the join; full sets decide the rest. That join is dealt out
+    in blocks, so a hot bucket is many tasks' work. No bucket's pairs are all written out, though those outside its
+    largest component are all looked at; none is capped, and no candidate that could join two components goes unseen.
 
     Null, empty or white-space text: an empty set, linked with nothing, component_id = doc_id. Fewer words than
-    `shingle`: all words as one shingle. Null doc_id: never the smallest. Repeated rows: one component. No rows: no
+    `shingle`: all words as one shingle. Null doc_id: never the smallest; without any other its
+    component_id is null and, as the two are equal, it is kept. Repeated rows: one component. No rows: no
     rows."""
     spark = docs.sparkSession
     tune(spark)
@@ -239,13 +243,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
         mixed = buckets(placed, "root").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         members = keep(buckets(placed, "root", "sig").join(small(mixed, 16), "key"))
         counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-        return members.join(counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")), "key")
+        main = keep(counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")))  # read back, so that a hot bucket's rows can be split
+        return members.join(small(main, 24), "key")
 
     for turn in range(rounds):
         members = keep(scattered())
-        lead = members.where("root = main").groupBy("key").agg(F.min(F.xxhash64("node", F.lit(turn))).alias("at"))
-        lead = members.where("root = main").join(lead, "key").where(F.xxhash64("node", F.lit(turn)) == F.col("at")).select("key", F.col("node").alias("l"), F.col("sig").alias("sl"), F.col("root").alias("rl"))
-        tries = members.where("root <> main").join(lead, "key").withColumn("like", estimate(F.col("sig"), F.col("sl"))).where(F.col("like") >= bound - MARGIN)
+        lead = members.where("root = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), F.col("node").alias("l"), F.col("sig").alias("sl"), F.col("root").alias("rl"))).alias("lead"))
+        lead = keep(lead.select("key", "lead.l", "lead.sl", "lead.rl"))
+        tries = members.where("root <> main").join(small(lead, 160), "key").withColumn("like", estimate(F.col("sig"), F.col("sl"))).where(F.col("like") >= bound - MARGIN)
         tries = tries.groupBy("node", "rl").agg(F.max_by("l", F.struct("like", "l")).alias("l")).select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
         tries = keep(tries.join(seen, ["a", "b"], "left_anti"))
         more = None if tries.isEmpty() else _compared(tries, docs, nodes, shingle, scratch)
@@ -263,12 +268,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
     own = star.groupBy(F.col("a").alias("node")).agg(F.first("size_a").alias("size")).select(F.col("node").alias("third_node"), "node", "size", F.col("size").alias("shared"), F.col("size").alias("third"), zero.alias("added"), zero.alias("lacks"))
     differ = differ.union(own).withColumn("added_bits", _bits(F.col("added")))
     members = keep(scattered().join(first.withColumnRenamed("a", "third_node"), "key").join(differ, ["third_node", "node"], "left"))
+    # A bucket's rows fall in blocks of about CELL nodes that meet and OUTSIDE of those outside the largest component.
+    grid = keep(members.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("across"), F.ceil(F.count_if(F.col("root") != F.col("main")) / OUTSIDE).cast("int").alias("down")))
+    members = members.join(small(grid, 32), "key")
+    one = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int").alias(n)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n)
     fields = ["size", "shared", "third", "added", "lacks", "added_bits"]
-    side = lambda name, rows: rows.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "root", "sig", *fields)], *([(F.col("root") == F.col("main")).alias("core")] if name == "x" else []))
+    side = lambda name, rows, *block: rows.select("key", *block, *[F.col(c).alias(f"{name}_{c}") for c in ("node", "root", "sig", *fields)], *([(F.col("root") == F.col("main")).alias("core")] if name == "x" else []))
     most = _most_shared("o", "x")
     able = F.coalesce(100 * most >= percent * (F.col("o_size") + F.col("x_size") - most), F.lit(True))
     apart = (F.col("o_root") != F.col("x_root")) & (F.col("core") | (F.col("o_node") < F.col("x_node")))
-    late = side("o", members.where("root <> main")).join(side("x", members), "key").where(apart & able & (estimate(F.col("o_sig"), F.col("x_sig")) >= bound - MARGIN))
+    late = side("o", members.where("root <> main"), every("across"), one("down", 2)).join(side("x", members, one("across", 1), every("down")), ["key", "across", "down"]).where(apart & able & (estimate(F.col("o_sig"), F.col("x_sig")) >= bound - MARGIN))
     late = late.select(F.least("o_node", "x_node").alias("a"), F.greatest("o_node", "x_node").alias("b")).distinct()
     late = keep(late.join(seen, ["a", "b"], "left_anti"))
     if not late.isEmpty():
@@ -281,7 +291,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
     of_class = found.join(smallest, "root").select("d0", "d1", "component_id")
     out = rows.select("doc_id", "n_shingles", "d0", "d1").join(keep(of_class), ["d0", "d1"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out._scratch = scratch  # for callers that save the result and want the space back
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
