@@ -32,7 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         numbers = scratch.save(texts.select("_own", "_text").orderBy("_own", "_text").withColumn("_number", F.monotonically_increasing_id()))
         named = named.withColumn("_text", F.xxhash64("text")).join(small(numbers, 24), ["_own", "_text"]).withColumn("_own", F.col("_number")).drop("_text", "_number")
         named = scratch.save(named)
-    found = scratch.save(minhash.near_duplicates(named.select(F.col("_own").alias("doc_id"), "text")))
+    near = minhash.near_duplicates(named.select(F.col("_own").alias("doc_id"), "text"))
+    found = scratch.save(near)
+    near._scratch.close()
     kept = found.where("kept").select(F.col("doc_id").alias("_own")).distinct()
     out = named.join(small(kept, 16), "_own", "left_semi")
     if equal:
