@@ -126,10 +126,11 @@ def contributions(index: Index, questions: DataFrame) -> DataFrame:
     A term that a question repeats counts as often; it is joined once, with its number. Terms that the index lacks add
     nothing. Saved postings are read from the buckets of the terms asked for alone."""
     asked = questions.select("qid", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    held = F.broadcast if few else lambda df: df
-    asked = index.terms.select("term", "idf").join(held(asked), "term").withColumn("bucket", _bucket(F.col("term")))  # no more rows than asked
-    x = index.postings.join(held(asked), ["bucket", "term"]).crossJoin(F.broadcast(index.stats.select("avgdl")))
+    asked = asked.withColumn("bucket", _bucket(F.col("term")))
+    n, buckets = asked.agg(F.count("*"), F.collect_set("bucket")).first()  # BUCKETS numbers at most
+    held = F.broadcast if n <= BROADCAST_TERMS else lambda df: df
+    asked = index.terms.select("term", "idf").join(held(asked), "term")  # no more rows than asked
+    x = index.postings.where(F.col("bucket").isin(buckets)).join(held(asked), ["bucket", "term"]).crossJoin(F.broadcast(index.stats.select("avgdl")))
     tf, norm = F.col("tf").cast("double"), 1 - index.b + index.b * F.col("dl") / F.col("avgdl")
     return x.select("qid", "chunk_id", "term", (F.col("qtf") * F.col("idf") * tf * (index.k1 + 1) / (tf + index.k1 * norm)).alias("value"))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators.ranks import numbered
 from plumbline.session import prepare
 
 
@@ -68,11 +73,35 @@ def induced(links: DataFrame, kept: DataFrame) -> DataFrame:
 
 def review(candidates: DataFrame, degree: DataFrame) -> DataFrame:
     """place, line: rows of a Markdown table, the most linked first, ties in the order of pos."""
-    from pyspark.sql.window import Window
-
     x = candidates.join(degree, "arxiv_id", "left")
     line = F.format_string("| %s | %s | %s | %d | %s |", "arxiv_id", "source", F.coalesce(F.substring("published", 1, 4), F.lit("")), F.coalesce("degree", F.lit(0)), "title")
-    return x.select(F.row_number().over(Window.partitionBy().orderBy(F.col("degree").desc(), "pos")).alias("place"), line.alias("line"))
+    return numbered(x.select("degree", "pos", line.alias("line")), [F.col("degree").desc(), F.col("pos")]).select("place", "line")
+
+
+def keep_set(*lists: DataFrame) -> DataFrame:
+    """arxiv_id: everything that any of the lists keeps, once."""
+    prepare(lists[0].sparkSession)
+    return reduce(DataFrame.union, [x.select("arxiv_id") for x in lists]).where("arxiv_id is not null").distinct()
+
+
+def fetch(papers: DataFrame, present: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
+    """papers (arxiv_id, ...) and the files at hand (path, content) -> path, content, error for manifest(). What is there
+    and not empty isn't fetched again; a failure is a row, not an exception. get: an id's file, called on executors."""
+    have = present.where(F.coalesce(F.length("content"), F.lit(0)) > 0).select("path", "content", F.lit(None).cast("string").alias("error"))
+    wanted = papers.select("arxiv_id").distinct().join(have.select(T.basename_stem(F.col("path")).alias("arxiv_id")).distinct(), "arxiv_id", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i in b["arxiv_id"]:
+                try:
+                    rows.append((f"{i}.pdf", get(i), None))
+                except Exception as e:  # whatever a download meets
+                    rows.append((f"{i}.pdf", None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "content", "error"])
+
+    prepare(papers.sparkSession)
+    return have.unionByName(wanted.mapInPandas(run, "path string, content binary, error string"))
 
 
 def manifest(papers: DataFrame, files: DataFrame) -> DataFrame:

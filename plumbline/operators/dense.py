@@ -115,8 +115,8 @@ def search(corpus: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
 
 def near_ties(hits: DataFrame, k: int, tolerance: float = 1e-6) -> DataFrame:
-    """qid, near_ties: neighbours within the first k whose distances differ by less than the tolerance; null distances
-    are passed over."""
+    """qid, near_ties: pairs of hits next to each other within the first k whose distances differ by less than the
+    tolerance; a hit without a distance makes no pair."""
     w = Window.partitionBy("qid").orderBy("rank")
-    x = hits.where((F.col("rank") <= k) & F.col("l2_distance").isNotNull()).withColumn("_gap", F.col("l2_distance") - F.lag("l2_distance").over(w))
+    x = hits.where(F.col("rank") <= k).withColumn("_gap", F.col("l2_distance") - F.lag("l2_distance").over(w))
     return x.groupBy("qid").agg(F.count_if(F.abs("_gap") < tolerance).alias("near_ties"))

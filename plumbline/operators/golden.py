@@ -98,6 +98,15 @@ def leakage(qs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def leakage_summary(leaks: DataFrame) -> DataFrame:
-    """The upper of the middle values, smallest, largest and number flagged. One row a question goes into the list."""
-    x = leaks.agg(F.array_sort(F.collect_list("jaccard")).alias("v"), F.count_if("flagged").alias("n_flagged"))
-    return x.select(F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("median"), F.array_min("v").alias("min"), F.array_max("v").alias("max"), "n_flagged")
+    """The upper of the middle values, smallest, largest and number flagged. Values have four digits, so there are at most
+    10,001 to put in order."""
+    counts = leaks.groupBy("jaccard").agg(F.count("*").alias("_n"), F.count_if("flagged").alias("_f"))
+    up_to = Window.partitionBy().orderBy("jaccard")
+    x = counts.withColumn("_to", F.sum("_n").over(up_to)).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    return x.agg(F.min(F.when(F.col("_to") > F.expr("_all div 2"), F.col("jaccard"))).alias("median"), F.min("jaccard").alias("min"), F.max("jaccard").alias("max"), F.coalesce(F.sum("_f"), F.lit(0)).alias("n_flagged"))
+
+
+def select(qs: DataFrame, qids: Sequence[str] | None = None, first: int | None = None) -> DataFrame:
+    """The questions of these qids, and of those the first so many by pos."""
+    chosen = qs.where(F.col("qid").isin(list(qids))) if qids is not None else qs
+    return chosen.orderBy("pos").limit(first) if first is not None else chosen

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import text as T
+from plumbline.operators.ranks import hash_unit, ranked
+from plumbline.sources import saved
 
 SEED = 20260814
 NEAR = 0.35
@@ -41,17 +43,29 @@ def largest_quotas(quotas: DataFrame, n: int = 8) -> DataFrame:
 def pools(screened: DataFrame, seed: int = SEED) -> DataFrame:
     """screened (paper, chunk_id, usable) -> paper, chunk_id, place (from 1): a paper's usable chunks, or all if none is,
     in an order that the seed decides. The order comes from hashes, so it is another one than a shuffled list's."""
-    any_usable = F.max("usable").over(Window.partitionBy("paper"))
-    x = screened.select("paper", "chunk_id", "usable").withColumn("_any", any_usable).where("usable or not _any")
-    order = Window.partitionBy("paper").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "chunk_id").cast("binary")), "chunk_id")
-    return x.select("paper", "chunk_id", F.row_number().over(order).alias("place"))
+    papers = screened.groupBy("paper").agg(F.max("usable").alias("_any")).withColumnRenamed("paper", "_p")
+    x = screened.select("paper", "chunk_id", "usable").join(papers, F.col("paper").eqNullSafe(F.col("_p"))).where("usable or not _any").select("paper", "chunk_id")
+    named = F.concat_ws(":", F.lit(str(seed)), "chunk_id")
+    return ranked(x, "paper", hash_unit(named), [F.md5(named.cast("binary")), F.col("chunk_id")]).select("paper", "chunk_id", "place")
 
 
 def draw(pool: DataFrame, quotas: DataFrame, used: DataFrame | None = None) -> DataFrame:
-    """paper, chunk_id, turn: round after round one chunk a paper until its quota, passing over used ones."""
-    fresh = pool.join(used.select("chunk_id"), "chunk_id", "left_anti") if used is not None else pool
-    x = fresh.withColumn("_at", F.row_number().over(Window.partitionBy("paper").orderBy("place"))).join(quotas, "paper").where(F.col("_at") <= F.col("quota"))
-    return x.select("paper", "chunk_id", F.row_number().over(Window.partitionBy().orderBy("_at", "paper")).alias("turn"))
+    """paper, chunk_id, turn: round after round one chunk a paper until its quota, passing over used ones. Only so many
+    first places of a pool are looked at as its quota and its used chunks make up."""
+    x = pool.join(quotas, "paper")
+    if used is None:
+        fresh = x.where(F.col("place") <= F.col("quota"))
+    else:
+        gone = pool.join(used.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        spent = gone.groupBy("paper").agg(F.count("*").alias("_spent"))
+        fresh = x.join(spent, "paper", "left").where(F.col("place") <= F.col("quota") + F.coalesce("_spent", F.lit(0)))
+        fresh = fresh.join(gone.select("chunk_id"), "chunk_id", "left_anti")
+    first = fresh.withColumn("_at", F.row_number().over(Window.partitionBy("paper").orderBy("place"))).where(F.col("_at") <= F.col("quota"))
+    rounds = first.groupBy("_at").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy().orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # a row a round
+    rounds = rounds.select(F.col("_at").alias("_round"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_at").orderBy("paper")  # a row a paper
+    return first.withColumn("_in", F.row_number().over(inside)).join(rounds, F.col("_at") == F.col("_round")).select("paper", "chunk_id", (F.col("_before") + F.col("_in")).cast("int").alias("turn"))
 
 
 def near_questions(questions: DataFrame, least: float = NEAR) -> DataFrame:
@@ -72,12 +86,29 @@ def near_questions(questions: DataFrame, least: float = NEAR) -> DataFrame:
 
 def accept(questions: DataFrame, least: float = NEAR) -> DataFrame:
     """idx, accepted, blocked_by: in order of idx, a question is refused if an earlier accepted one is near; the first
-    such is named. Only pairs of near questions reach the driver, where order decides; all others are accepted."""
-    blocked: dict = {}
-    accepted: dict = {}
-    for r in near_questions(questions, least).orderBy("idx", "earlier_idx").collect():
-        if r["idx"] not in blocked and accepted.get(r["earlier_idx"], r["earlier_idx"] not in blocked):
-            blocked[r["idx"]] = r["earlier_idx"]
-    kind = questions.schema["idx"].dataType.simpleString()
-    refused = questions.sparkSession.createDataFrame(list(blocked.items()), f"idx {kind}, blocked_by {kind}")
-    return questions.select("idx").join(F.broadcast(refused), "idx", "left").select("idx", F.col("blocked_by").isNull().alias("accepted"), "blocked_by")
+    such is named.
+
+    Decided turn by turn: a question without an undecided earlier neighbour is refused if one of its earlier neighbours
+    was accepted, else accepted. Each turn is a join of the near pairs that are still open, and decides at least the
+    first open question of every cluster of near ones."""
+    spark = questions.sparkSession
+    path = saved.folder(spark, "accept")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    left = pairs = keep(near_questions(questions, least).select("idx", "earlier_idx"), "pairs")
+    settled = keep(questions.select("idx").join(pairs.select("idx").distinct(), "idx", "left_anti").select("idx", F.lit(None).cast(questions.schema["idx"].dataType).alias("blocked_by")), "turn-0")
+    turn = 0
+    while not left.isEmpty():
+        turn += 1
+        known = settled.select(F.col("idx").alias("earlier_idx"), "blocked_by", F.lit(True).alias("known"))
+        open_ = left.join(known, "earlier_idx", "left")
+        now = open_.groupBy("idx").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("sure"), F.min(F.when(F.col("known") & F.col("blocked_by").isNull(), F.col("earlier_idx"))).alias("blocked_by"))
+        # Refused at once if the first accepted neighbour stands before all undecided ones; accepted once all are decided.
+        unknown = open_.where("known is null").groupBy("idx").agg(F.min("earlier_idx").alias("_wait"))
+        now = now.join(unknown, "idx", "left").where(F.col("sure") | (F.col("blocked_by") < F.col("_wait"))).select("idx", "blocked_by")
+        settled = keep(settled.union(now), f"turn-{turn}")
+        left = keep(left.join(settled.select("idx"), "idx", "left_anti"), f"left-{turn}")
+    return settled.select("idx", F.col("blocked_by").isNull().alias("accepted"), "blocked_by")

@@ -285,9 +285,14 @@ def judge_with_cache(spark, sf_dir):
         return prompts.map(lambda p: f'Here: {{"groundedness": {1 + len(p) % 5}, "answer_correctness": {1 + len(p) % 3}, "unsupported_claims": [], "rationale": "length"}}')
 
     q = data.questions(spark, sf_dir)
-    answers = q.select("qid", F.col("text").alias("question"), F.col("passage").alias("answer"), F.array("passage").alias("contexts"), F.lit("").alias("expected_answer"))
-    old = judging.judge(answers.where(F.crc32(F.col("qid").cast("binary")) % 2 == 0), stub, "stub/old")
-    return judging.judge(answers, stub, "stub/new", old).select("qid", "key", "groundedness", "answer_correctness", "judge_model", "cached")
+    answers = q.select("qid", "item_id", F.col("text").alias("question"), F.col("passage").alias("answer"), F.array("passage").alias("contexts"), F.lit("").alias("expected_answer"))
+    old = judging.judge(answers.where("item_id % 2 = 0"), stub, "stub/old")
+    return judging.judge(answers, stub, "stub/new", old).select("qid", "groundedness", "answer_correctness", "judge_model", "cached")
+
+
+_rest = len(judging.PROMPT) - len("{question}{contexts}{answer}{expected}") + len("[1] ")
+JUDGED = f"""WITH {data.QUESTIONS}, p AS (SELECT DISTINCT qid, item_id, {_rest} + length(text) + 2 * length(passage) AS n FROM questions)
+SELECT qid, CAST(1 + n % 5 AS INT) AS groundedness, CAST(1 + n % 3 AS INT) AS answer_correctness, CASE WHEN item_id % 2 = 0 THEN 'stub/old' ELSE 'stub/new' END AS judge_model, item_id % 2 = 0 AS cached FROM p"""
 
 
 QUERIES = {
@@ -307,5 +312,5 @@ QUERIES = {
     "label_disagreements": (label_disagreements, DISAGREEMENTS),
     "verdict_summary": (verdict_summary, VERDICTS),
     "verdicts_per_model": (verdicts_per_model, PER_MODEL),
-    "judge_with_cache": (judge_with_cache, None),
+    "judge_with_cache": (judge_with_cache, JUDGED),
 }

@@ -100,6 +100,15 @@ def accepted_questions(spark, sf_dir):
     return planning.accept(_asks(spark, sf_dir), 0.05)
 
 
+ACCEPTED = f"""WITH RECURSIVE n AS ({NEAR}),
+q AS (SELECT idx, row_number() OVER (ORDER BY idx) AS r, coalesce(near, []) AS near FROM (SELECT item_id AS idx FROM benchmark) LEFT JOIN (SELECT idx, list_sort(list(earlier_idx)) AS near FROM n GROUP BY idx) USING (idx)),
+go AS (
+  SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS idx, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS blocked_by
+  UNION ALL
+  SELECT q.r, q.idx, CASE WHEN len(list_intersect(q.near, go.taken)) = 0 THEN list_append(go.taken, q.idx) ELSE go.taken END, list_min(list_intersect(q.near, go.taken)) FROM go JOIN q ON q.r = go.r + 1)
+SELECT idx, blocked_by IS NULL AS accepted, blocked_by FROM go WHERE r > 0"""
+
+
 def specific_questions(spark, sf_dir):
     q = data.questions(spark, sf_dir)
     entity = F.when(F.col("item_id") % 5 == 0, F.lit("")).when(F.col("item_id") % 2 == 0, F.upper(F.substring_index("text", " ", 1))).otherwise(F.lit("no such entity"))
@@ -205,16 +214,6 @@ def chat_undo(spark, sf_dir):
     return chat.undo(chat_turns(spark, sf_dir))
 
 
-def chat_answers(spark, sf_dir):
-    """Three contexts a question, a stub model that counts its prompt's characters."""
-    from plumbline.operators import bm25, fusion
-
-    q = data.questions(spark, sf_dir).select("qid", "text")
-    chunks = data.chunks(spark, sf_dir)
-    hits = bm25.search(bm25.build(chunks), q, fusion.CHAT_K).join(chunks.select("chunk_id", F.col("text").alias("page_content")), "chunk_id")
-    return chat.answer(q, hits, lambda prompts: prompts.str.len().astype(str), True).select("qid", F.col("answer").cast("long").alias("prompt_chars"), F.size("contexts").cast("long").alias("n_contexts"))
-
-
 def url_names(spark, sf_dir):
     u = F.col("url")
     return data.table(spark, sf_dir, "pages").select("page_id", T.basename_stem(u).alias("stem"), T.paper_id(u).alias("paper"), T.preview(F.regexp_replace("html", "<[^>]*>", " ")).alias("preview"))
@@ -227,7 +226,9 @@ CASE WHEN length(t) > 320 THEN substr(t, 1, 320) || '...' ELSE t END AS preview
 def store_merge(spark, sf_dir):
     """Half the chunks, then all of those with odd ordinals again with another text."""
     c = data.chunks(spark, sf_dir).select("chunk_id", F.col("text").alias("page_content"), F.lit("local").alias("provider"))
-    new = c.where(F.expr("substring_index(chunk_id, 'c', -1) % 2 = 1")).withColumn("page_content", F.concat(F.lit("new "), "page_content"))
+    odd = c.where(F.expr("substring_index(chunk_id, 'c', -1) % 2 = 1"))
+    text = lambda name: odd.withColumn("page_content", F.concat(F.lit(name), "page_content"))
+    new = text("draft ").unionByName(text("new "))  # two rows of a key in one batch: the last one wins
     old = c.where(F.expr("substring_index(chunk_id, '::', 1) % 2 = 0"))
     return store.merge(old, new).select("chunk_id", F.substring(F.sha2("page_content", 256), 1, 8).alias("sha8"))
 
@@ -243,7 +244,7 @@ QUERIES = {
     "question_pools": (question_pools, POOLS),
     "question_draws": (question_draws, DRAWS),
     "near_questions": (near_questions, NEAR),
-    "accepted_questions": (accepted_questions, None),
+    "accepted_questions": (accepted_questions, ACCEPTED),
     "specific_questions": (specific_questions, SPECIFIC),
     "citation_edges": (citation_edges, f"{_C} SELECT citing, cited FROM edges"),
     "citation_degrees": (citation_degrees, f"{_C} SELECT arxiv_id, degree FROM degrees"),
@@ -258,7 +259,6 @@ QUERIES = {
     "manifest_totals": (manifest_totals, f"WITH {MANIFEST} SELECT count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status <> 'ok') AS n_failed, CAST(coalesce(sum(file_size_bytes), 0) AS BIGINT) AS total_bytes FROM manifest"),
     "chat_turns": (chat_turns, f"WITH {TURNS} SELECT * FROM turns"),
     "chat_undo": (chat_undo, f"WITH {TURNS} SELECT conv_id, turn, question_md5, answer_md5 FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM turns) WHERE turn < last"),
-    "chat_answers": (chat_answers, None),
     "url_names": (url_names, URLS),
     "store_merge": (store_merge, STORE),
 }

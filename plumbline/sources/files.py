@@ -52,21 +52,44 @@ def read_feed(spark: SparkSession, path: str, source: str = "arxiv_search") -> D
     )
 
 
-def fetch_pages(fetch: Callable[[int, int], list[dict]], most: int, page: int = 50) -> list[dict]:
-    """Entries of a paged service, at most `most`, one an id. fetch(start, size) gives a page; a short one is the last.
-
-    What a service shows page after page is read in order; the result is as long as the caller allows."""
-    out: dict[str, dict] = {}
-    start = 0
-    while len(out) < most:
-        got = fetch(start, page)
-        for e in got:
-            if len(out) < most:
-                out.setdefault(e["arxiv_id"], e)
-        if len(got) < page:
-            break
-        start += page
-    return list(out.values())
+def save_upload(spark: SparkSession, folder: str, name: str, data: bytes) -> str:
+    """Writes an uploaded file to the landing folder, whole or not at all, and gives its path; others than .pdf (case
+    counts), too long ones and names with folders: an error."""
+    if not name.endswith(".pdf") or "/" in name or "\\" in name:
+        raise ValueError(f"not a .pdf file: {name}")
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"larger than 200 MB: {name}")
+    fs, path = _fs(spark, folder)
+    part, whole = path(f"{folder}/.{name}.part"), path(f"{folder}/{name}")
+    out = fs.create(part, True)
+    out.write(bytearray(data))
+    out.close()
+    fs.delete(whole, False)
+    fs.rename(part, whole)
+    return f"{folder}/{name}"
+
+
+def _fs(spark: SparkSession, where: str):
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return Path(where).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), Path
+
+
+def paged(spark: SparkSession, fetch: Callable[[int, int], list[dict]], most: int, page: int = 50, cutoff: str | None = None) -> DataFrame:
+    """Entries (arxiv_id, published, body as JSON) of a paged service, at most `most` by their order there, one an id: the
+    first. fetch(start, size) gives a page; each page is a task's work, and pages behind the last are empty. cutoff:
+    entries published before it go; ISO dates compare as text, and those that are no dates stay."""
+    starts = spark.range(0, max(most, 0), page, numPartitions=max(1, -(-most // page)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start in b["id"].tolist():
+                got = fetch(start, min(page, most - start))
+                yield pd.DataFrame([(start + i, e["arxiv_id"], e.get("published"), json.dumps(e, sort_keys=True)) for i, e in enumerate(got)], columns=["pos", "arxiv_id", "published", "body"])
+
+    x = starts.mapInPandas(run, "pos long, arxiv_id string, published string, body string")
+    first = x.groupBy("arxiv_id").agg(F.min_by(F.struct("pos", "published", "body"), "pos").alias("e")).select("e.pos", "arxiv_id", "e.published", "e.body")
+    dated = F.coalesce(F.col("published").rlike(r"^\d{4}-\d{2}-\d{2}"), F.lit(False))
+    return first if cutoff is None else first.where(~dated | (F.col("published") >= cutoff))
 
 
 def lookup(ids: DataFrame, post: Callable[[list[str]], list[dict | None] | None], size: int = 50, tries: int = 5, wait: Callable[[int], None] | None = None) -> DataFrame:
@@ -98,11 +121,41 @@ def write_run(scores: DataFrame, summary: DataFrame, meta: dict, path: str) -> N
 
 
 def read_run(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A run's questions, one row a qid; none is an error. Fields that older runs lack read as null."""
+    """A run's questions, one row a qid: its last line, by file and place; none is an error. Fields that older runs lack
+    read as null."""
     x = (spark.read.schema(schema) if schema else spark.read).json(f"{path}/per_question")
-    if x.isEmpty():
+    at = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    last = x.select("*", at.alias("_at")).groupBy("qid").agg(F.max_by(F.struct(*x.columns), "_at").alias("_r")).select("_r.*")
+    if last.isEmpty():
         raise ValueError(f"no questions in {path}")
-    return x.dropDuplicates(["qid"])
+    return last
+
+
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """One JSON document: an ingest manifest, a sweep's results, a run's meta. Written aside, then moved."""
+    fs, at = _fs(spark, path)
+    out = fs.create(at(f"{path}.part"), True)
+    out.write(bytearray(json.dumps(value, indent=2, sort_keys=True, default=str).encode()))
+    out.close()
+    fs.delete(at(path), False)
+    fs.rename(at(f"{path}.part"), at(path))
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """None if there is no such file."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at(path)):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON array, or of a JSON object: manifests, candidates, drafts. Fields that it lacks read as null."""
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+CANDIDATES = "arxiv_id string, title string, summary string, published string, authors array<string>, primary_category string, pdf_url string, source string, citation_count long, ref_arxiv_ids array<string>, s2_found boolean"
+MANIFEST = "generated_at string, papers array<struct<arxiv_id:string,title:string,status:string,sha256:string,file_size_bytes:long,error:string>>"
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
