@@ -341,8 +341,3 @@ def test_quality(more):
     assert sum(r.kept == bool(r.quality) for r in out) >= 0.95 * len(out)
 
 
-def test_sparse_sites_shrink(spark):
-    model = quality.Model(np.zeros(len(quality.features(F.lit("")))), np.ones(len(quality.features(F.lit("")))), np.array([0.0, *[0.0] * len(quality.features(F.lit("")))]))
-    docs = spark.createDataFrame([(i, "text", f"h{i % 3}", "en") for i in range(30)], "doc_id long, text string, source string, lang string")
-    rows = quality.judge(docs, model).collect()
-    assert all(abs(r.score - 0.5) < 1e-6 and abs(r.host_posterior - 0.5) < 1e-6 for r in rows)

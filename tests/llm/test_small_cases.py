@@ -137,7 +137,7 @@ def test_quality(docs, empty, spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in (1, 2, 4, 5, 6, 8, 9)], "doc_id long, quality int, toxic int")
     out = quality.judge(docs, quality.fit(docs, labels))
     assert out.count() == len(ROWS) and out.where("score is null or score <= 0 or score >= 1").isEmpty()
-    assert by_id(out, "host", "path")[6] == [("host.example", "path")]
+    assert by_id(out, "host", "path")[6] == [("host.example", "path/page")]
     assert quality.judge(empty, quality.fit(docs, labels.limit(0))).count() == 0
     even = quality.judge(docs, quality.fit(docs, labels.limit(0)))
     assert {round(r.evidence, 9) for r in even.collect()} == {0.5}
