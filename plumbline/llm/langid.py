@@ -39,7 +39,8 @@ def _counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    """Whether labels of a row must not be learned from; a row without a doc_id isn't held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, most: int = 24_000, alpha: float = 0.5, languages: int = 500) -> Model:

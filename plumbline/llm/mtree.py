@@ -17,6 +17,8 @@ from .common import Scratch, leanly, table, tune, unit
 
 #: Objects in a leaf page, children of an inner page, objects of a tree, queries that meet a tree together.
 PAGE, FAN, TREE_ROWS, QUERY_ROWS = 1024, 24, 16_384, 4096
+#: Pivots, and about so many trees more, whose roots every task holds; larger tables get larger trees.
+PIVOTS, MOST_TREES = 4096, 16_384
 #: Up to this magnitude 64-bit floats hold inner products of components exactly.
 EXACT = 1 << 20
 #: Bounds computed in floats are widened by this share before they prune.
@@ -168,7 +170,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     other rows of the largest inner product of quantised() components, ties to smaller vec_id; all, if there are fewer.
 
     Every vector goes to the nearest of some pivots; each pivot's vectors, dealt by hash into parts of about TREE_ROWS,
-    make M-trees, so a vector that a third of all rows share makes several. A query searches the tree of the nearest
+    or more if that made over PIVOTS + MOST_TREES of them, make M-trees, so a vector that a third of all rows share
+    makes several. A query searches the tree of the nearest
     root first; what it finds there bounds which other roots' balls can hold better objects, and it searches just
     those. Null vec_id, null vectors or vectors with null or non-finite components take no part; vectors of unequal
     lengths are filled with zeros; rows that repeat a vec_id are separate objects, but none is found by a query of its
@@ -183,8 +186,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     n, dim, most, peak = v.agg(F.count("*"), F.max(F.size("x")), F.max(square), F.max(F.array_max(F.transform("x", F.abs)))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    space = Space(dim, most, (peak or 0) <= EXACT)
-    first = np.stack([space.rows([r["x"]])[0] for r in v.orderBy(F.xxhash64("vec_id"), "vec_id").select("x").limit(min(4096, -(-n // TREE_ROWS))).collect()])
+    space, rows_a_tree = Space(dim, most, (peak or 0) <= EXACT), max(TREE_ROWS, n // MOST_TREES)
+    first = np.stack([space.rows([r["x"]])[0] for r in v.orderBy(F.xxhash64("vec_id"), "vec_id").select("x").limit(min(PIVOTS, -(-n // rows_a_tree))).collect()])
     pivots = space.lift(first)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,14 +198,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
     v = scratch.save(v.mapInArrow(leanly(nearest), "vec_id long, x array<long>, asks boolean, pivot int"))
     held = {r["pivot"]: r["count"] for r in v.groupBy("pivot").count().collect()}  # a row a pivot
-    parts = F.element_at(F.create_map(*[F.lit(z) for p, c in held.items() for z in (p, -(-c // TREE_ROWS))]), F.col("pivot"))
+    parts = F.element_at(F.create_map(*[F.lit(z) for p, c in held.items() for z in (p, -(-c // rows_a_tree))]), F.col("pivot"))
     tree = (F.col("pivot").cast("long") * (1 << 32) + F.floor(unit("vec_id") * parts)).alias("tree")
 
     def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(build(rows["vec_id"].to_numpy(np.int64), space.rows(rows["x"]), space)).assign(tree=key[0])
 
     pages = scratch.save(v.select(tree, "vec_id", "x").groupBy("tree").applyInPandas(make, f"{PAGES}, tree long"))
-    roots = pages.where("parent < 0").select("tree", "pivot", "radius").collect()  # a row a tree
+    roots = pages.where("parent < 0").select("tree", "pivot", "radius").collect()  # a row a tree, whose number is bounded
     names, centres, radii = np.array([r["tree"] for r in roots]), np.stack([np.frombuffer(r["pivot"]) for r in roots]), np.array([r["radius"] for r in roots])
     queries = v.where("asks").select("vec_id", "x").dropDuplicates(["vec_id"])
 
