@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +36,46 @@ def split_pages(pages: DataFrame, tokens: Column | None = None, size: int = SIZE
     return pages.select(*keep, F.posexplode(windows(tokens, size, overlap)).alias("pos", "w")).select(*keep, F.array_join("w", " ").alias("page_content"), "pos")
 
 
+def bpe_offsets(path: str) -> Callable[[list[str]], list[list[tuple[int, int]]]]:
+    """For split_by_offsets(): where tokens of a vocabulary file of the `tokenizers` library stand in each text."""
+
+    def of(texts: list[str]) -> list[list[tuple[int, int]]]:
+        tokenizer = _tokenizer(path)
+        return [e.offsets for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    return of
+
+
+@functools.cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return tokenizer
+
+
+def split_by_offsets(pages: DataFrame, offsets: Callable[[list[str]], list[list[tuple[int, int]]]], size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Like split_pages() with the tokens of a model's own vocabulary: each window is the text from its first token to its
+    last, as it stands there. offsets: texts to the (start, end) of their tokens, a batch at a time. Only spans of
+    characters come back from Python; texts are cut in the JVM."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must lie between 0 and size")
+    step = size - overlap
+
+    @F.pandas_udf("array<struct<start:int,past:int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        out = []
+        for tokens in offsets([t or "" for t in texts]):
+            starts = range(0, max(0, -(-(len(tokens) - size) // step)) * step + 1, step) if tokens else ()
+            out.append([{"start": tokens[i][0], "past": max(e for _, e in tokens[i : i + size])} for i in starts])
+        return pd.Series(out, dtype=object)
+
+    keep = [c for c in pages.columns if c != "page_content"]
+    x = pages.select(*keep, "page_content", F.posexplode(spans("page_content")).alias("pos", "w"))
+    return x.select(*keep, F.substring("page_content", F.col("w.start") + 1, F.col("w.past") - F.col("w.start")).alias("page_content"), "pos")
+
+
 def assign_ids(chunks: DataFrame) -> DataFrame:
     """chunks (source, page, page_content, pos, ...) -> also chunk_id, arxiv_id, ordinal and text_sha8.
 

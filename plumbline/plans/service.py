@@ -318,6 +318,15 @@ def unique_chunks(spark, sf_dir):
 UNIQUE = f"WITH {data.CHUNKS} SELECT count(DISTINCT chunk_id) AS n FROM chunks"
 
 
+def chunk_documents_bpe(spark, sf_dir):
+    """Windows of 500 tokens of a public vocabulary, 50 of them shared, as a model would read them."""
+    import public_tokenizers
+
+    pages = data.pages(spark, sf_dir)
+    c = chunking.assign_ids(chunking.split_by_offsets(pages, chunking.bpe_offsets(public_tokenizers.path("byte_bpe_50k.json"))))
+    return c.select("chunk_id", "page", "ordinal", F.char_length("page_content").cast("long").alias("n_chars"), "text_sha8")
+
+
 def stub_writer(prompt: str) -> str:
     """Asks about a passage's first words; answers yes if the passage holds the question's name."""
     passage = prompt.split("PASSAGE:\n", 1)[1]
@@ -364,5 +373,6 @@ QUERIES = {
     "stream_ingest": (stream_ingest, STREAM_INGEST),
     "store_index": (store_index, retrieval.BM25_STATS),
     "unique_chunks": (unique_chunks, UNIQUE),
+    "chunk_documents_bpe": (chunk_documents_bpe, None),
     "generated_questions": (generated_questions, None),
 }

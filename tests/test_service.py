@@ -295,3 +295,26 @@ def test_index_reads_only_the_buckets_asked_for(spark, tmp_path):
     plan = bm25.search(index, q, 3)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and len(list((tmp_path / "postings").glob("bucket=*"))) > 1
     assert [r.chunk_id for r in bm25.search(index, q, 3).collect()] == ["c7"]
+
+
+def test_windows_of_a_vocabulary(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from plumbline.operators import chunking
+
+    path = public.path("byte_bpe_50k.json")
+    r = __import__("random").Random(1)
+    texts = [" ".join("".join(r.choice("abcdefé日😀") for _ in range(r.randint(1, 9))) for _ in range(n)) for n in (0, 1, 30, 120, 400)] + ["<|endoftext|> is text here"]
+    pages = spark.createDataFrame([(f"p{i}.pdf", 0, t) for i, t in enumerate(texts)] + [("none.pdf", 0, None)], files.PAGE)
+    got = {(x.source, x.pos): x.page_content for x in chunking.split_by_offsets(pages, chunking.bpe_offsets(path), 40, 8).collect()}
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    want = {}
+    for i, text in enumerate(texts):
+        at = t.encode(text, add_special_tokens=False).offsets
+        for pos, lo in enumerate(range(0, len(at), 32)):
+            if pos and lo + 8 >= len(at):
+                break
+            want[f"p{i}.pdf", pos] = text[at[lo][0] : at[min(lo + 40, len(at)) - 1][1]]
+    assert got == want and len(want) > 20
