@@ -24,6 +24,8 @@ MARGIN = 0.2
 FAR = 0.5
 #: Nodes of a bucket that meet in one block of the last join, from all of it and from outside its largest component.
 CELL, OUTSIDE = 512, 4096
+#: Rows of such buckets in a task.
+MEETING = 4096
 #: Bits of the masks that record which shingles a set adds to or lacks of another.
 MASK = 512
 
@@ -270,6 +272,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
     members = keep(scattered().join(first.withColumnRenamed("a", "third_node"), "key").join(differ, ["third_node", "node"], "left"))
     # A bucket's rows fall in blocks of about CELL nodes that meet and OUTSIDE of those outside the largest component.
     grid = keep(members.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("across"), F.ceil(F.count_if(F.col("root") != F.col("main")) / OUTSIDE).cast("int").alias("down")))
+    members_n = members.count()
     members = members.join(small(grid, 32), "key")
     one = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int").alias(n)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n)
@@ -278,7 +281,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
     most = _most_shared("o", "x")
     able = F.coalesce(100 * most >= percent * (F.col("o_size") + F.col("x_size") - most), F.lit(True))
     apart = (F.col("o_root") != F.col("x_root")) & (F.col("core") | (F.col("o_node") < F.col("x_node")))
-    late = side("o", members.where("root <> main"), every("across"), one("down", 2)).join(side("x", members, one("across", 1), every("down")), ["key", "across", "down"]).where(apart & able & (estimate(F.col("o_sig"), F.col("x_sig")) >= bound - MARGIN))
+    met = ["key", "across", "down"]
+    dealt = lambda rows: rows.repartition(int(min(20_000, 1 + members_n // MEETING)), *met)  # noqa: E731 by rows, as their pairs and not their bytes take time
+    late = dealt(side("o", members.where("root <> main"), every("across"), one("down", 2))).join(dealt(side("x", members, one("across", 1), every("down"))), met).where(apart & able & (estimate(F.col("o_sig"), F.col("x_sig")) >= bound - MARGIN))
     late = late.select(F.least("o_node", "x_node").alias("a"), F.greatest("o_node", "x_node").alias("b")).distinct()
     late = keep(late.join(seen, ["a", "b"], "left_anti"))
     if not late.isEmpty():
