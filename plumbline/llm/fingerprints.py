@@ -154,20 +154,23 @@ def versions(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _digests(base: DataFrame, roles: tuple[int, ...]) -> DataFrame:
     """versions() -> x, rn, role, s (sign), v (digest), block: every digest in each role that its version plays."""
-    levels = {c: level(F.size(c)) for c in ("ours", "edited", "next")}
-    at = {OURS: levels["ours"], EDITED: levels["edited"], TO_EDITED: F.greatest(levels["ours"], levels["edited"]), TO_NEXT: F.greatest(levels["ours"], levels["next"])}
-    plays = {"ours": [(OURS, 1), (TO_EDITED, 1), (TO_NEXT, 1)], "edited": [(EDITED, 1), (TO_EDITED, -1)], "next": [(TO_NEXT, -1)]}
-    parts = []
-    for name, all_parts in plays.items():
-        mine = [(role, s) for role, s in all_parts if role in roles]
-        if mine:
-            played = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(s).alias("s"), (_bit(at[role]) - 1).alias("last")) for role, s in mine])
-            parts.append(F.struct(F.lit(name).alias("version"), F.col(name).alias("hs"), played.alias("played")))
-    each = base.select("x", "rn", F.explode(F.array(*parts)).alias("p")).select("x", "rn", "p.version", "p.played", F.explode("p.hs").alias("h"))
-    counted = each.groupBy("x", "rn", "version", "h").agg(F.count("*").alias("n"), F.first("played").alias("played"))
-    numbered = counted.select("x", "rn", "played", "h", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("j")).select("x", "rn", "played", digest(F.col("h"), F.col("j")).alias("v"))
-    spread = numbered.select("x", "rn", "v", F.explode("played").alias("p"))
-    return spread.select("x", "rn", "p.role", "p.s", "v", F.col("v").bitwiseAND(F.col("p.last")).alias("block"))
+    versions = ["ours", "edited", "next"]
+    of = [level(F.size(c)) for c in versions]
+    # How many blocks, less one, each role's sketches have; numbers only, so that groups are hashed and not sorted.
+    last = [(_bit(n) - 1).alias(f"l{role}") for role, n in ((OURS, of[0]), (EDITED, of[1]), (TO_EDITED, F.greatest(of[0], of[1])), (TO_NEXT, F.greatest(of[0], of[2])))]
+    plays = [[(OURS, 1), (TO_EDITED, 1), (TO_NEXT, 1)], [(EDITED, 1), (TO_EDITED, -1)], [(TO_NEXT, -1)]]
+    plays = [[(role, s) for role, s in p if role in roles] for p in plays]
+    numbers = ["x", "rn", *[f"l{r}" for r in range(4)]]
+    each = base.select("x", "rn", *last, F.explode(F.array(*[F.struct(F.lit(i).alias("version"), F.col(c).alias("hs")) for i, c in enumerate(versions) if plays[i]])).alias("p"))
+    each = each.select(*numbers, "p.version", F.explode("p.hs").alias("h"))
+    counted = each.groupBy(*numbers, "version", "h").agg(F.count("*").alias("n"))
+    numbered = counted.select(*numbers, "version", "h", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("j")).select(*numbers, "version", digest(F.col("h"), F.col("j")).alias("v"))
+    part = lambda role, s: F.struct(F.lit(role).alias("role"), F.lit(s).alias("s"), F.col("v").bitwiseAND(F.col(f"l{role}")).alias("block"))
+    played = F.lit(None)
+    for i, p in enumerate(plays):
+        if p:
+            played = F.when(F.col("version") == i, F.array(*[part(*x) for x in p])).otherwise(played)
+    return numbered.select("x", "rn", "v", F.explode(played).alias("p")).select("x", "rn", "p.role", "p.s", "v", "p.block")
 
 
 def _cells(digests: DataFrame, attempt: Column) -> DataFrame:
@@ -240,7 +243,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     total, scratch.rows = base.agg(F.coalesce(F.sum(F.size("ours") + F.size("edited") + F.size("next")), F.lit(0)), F.count("*")).first()
     dealt = lambda rows: rows.repartition(int(min(MOST_PARTS, 1 + total // PART)), "x", "rn")
     roles = (OURS, EDITED, TO_EDITED, TO_NEXT)
-    met = [scratch.save(_first_round(_digests(dealt(base), roles)), narrow=True)]
+    files = max(2 * docs.sparkSession.sparkContext.defaultParallelism, total // (16 * PART))
+    met = [scratch.save(_first_round(_digests(dealt(base), roles)), files)]
     attempts = None
     for attempt in range(RETRIES):
         failed = met[-1].select("x", "rn", F.explode("failed").alias("f")).select("x", "rn", "f.role", "f.block")
@@ -270,7 +274,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         near("edited", "to_edited").alias("near_edited"), near("next", "to_next").alias("near_next"),
     )
     out = out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("_", "times")
-    return out.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, scratch.rows // 50_000))
+    return out.coalesce(files)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
