@@ -2,42 +2,52 @@
 
 from __future__ import annotations
 
-import re
+import functools
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, WordHashes, leanly, release, small, table, tune
+from .common import BROADCAST_BYTES, Scratch, leanly, release, small, table, tune
 
-#: A sentence ends at a line's end or at a full stop, question or exclamation mark before white space.
-_END = re.compile(r"\n\s*|[.!?。！？]+[\"')\]]*\s+")
+#: A sentence ends at a line's end or at a full stop, question or exclamation mark before white space; quotes and
+#: brackets may close after the mark.
+_MARKS, _CLOSERS = ".!?。！？", "\"')]"
 #: Characters of scripts written without spaces are words of their own.
-_BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_TOKEN = re.compile(rf"(?:[{_BARE}]|[^\s{_BARE}]+)\s*|\s+")
-_PLAIN = re.compile(r"\S+\s*|\s+")
-_HAS_BARE = re.compile(f"[{_BARE}]")
+_BARE = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 #: Of so many words in a row in a sentence one at least ends a part, the one of the least hash: equal passages are cut
 #: alike from their first such word to their last. Characters of scripts without spaces: of so many.
 _WINDOW, _BARE_WINDOW = 8, 2
 
-#: Two polynomials over the hashes of words name a run, by 64 and 32 bits.
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: A run is named by 64 bits of a polynomial over its words' hashes at this point, and by 32 of their sum; a word's hash
+#: is such a polynomial over its characters, mixed.
+_BASE = 0x9E3779B97F4A7C15
 
 
-class _TokenHashes(WordHashes):
-    def __missing__(self, token: str) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        h = self[token] = xxhash.xxh3_64_intdigest(token.strip().lower().encode("utf-8", "surrogatepass"))
-        return h
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of every code point: 1 white space, 2 mark, 4 closer, 8 bare."""
+    kind = np.zeros(sys.maxunicode + 1, np.uint8)
+    kind[[i for i in range(sys.maxunicode + 1) if chr(i).isspace()]] = 1
+    kind[[ord(c) for c in _MARKS]] |= 2
+    kind[[ord(c) for c in _CLOSERS]] |= 4
+    for lo, hi in _BARE:
+        kind[lo : hi + 1] |= 8
+    return kind
 
 
-_hashes = _TokenHashes()
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _lower(text: str) -> str:
+    """In lower case, but for characters that would become several."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 def _least(h: np.ndarray, of: np.ndarray, window: int) -> np.ndarray:
@@ -60,24 +70,45 @@ _PLACE = np.uint64((1 << 28) - 1)  # more tokens than a text can have
 
 
 def _split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text with characters: where parts end, how many tokens end by then; hashes of tokens, and which start a word."""
-    has_bare = not text.isascii() and _HAS_BARE.search(text) is not None
-    tokens = (_TOKEN if has_bare else _PLAIN).findall(text)
-    n = len(tokens)
-    past = np.cumsum(np.fromiter(map(len, tokens), np.int64, n))
-    h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, n)
-    stops = np.searchsorted(past, np.array([m.end() for m in _END.finditer(text)], np.int64))  # each ends a token
-    cut = np.zeros(n, bool)
-    cut[stops] = True
+    """Of a text with characters: where parts end, how many tokens end by then; hashes of tokens, and which start a word.
+
+    A token is a word, or a bare character, with the white space after it; white space before the first word is one."""
+    points = _points(text)
+    n = len(points)
+    _reach(n)
+    kind = _kinds()[points]
+    solid = kind & 1 == 0
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    bare = kind & 8 != 0
+    has_bare = bool(bare.any())
+    if has_bare:
+        begins |= bare
+        begins[1:] |= bare[:-1] & solid[1:]
+    begins[0] = True
+    starts = np.flatnonzero(begins)
+    past = np.append(starts[1:], n)
+    letters = np.concatenate([[0], np.cumsum(solid)])
+    ends = starts + letters[past] - letters[starts]  # of the words
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_points(_lower(text)).astype(np.uint64) + np.uint64(1)) * _up[:n])])
+    h = (sums[ends] - sums[starts]) * _down[starts]
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(32)
+    spaced = past > ends
+    lines = np.concatenate([[0], np.cumsum(points == 10)])
+    cut = lines[past] > lines[ends]
+    last = np.maximum.accumulate(np.where(kind & 4 == 0, np.arange(n), 0))  # at or before, that closes nothing
+    cut |= spaced & (ends > 0) & (kind[last[ends - 1]] & 2 != 0)
     of = np.cumsum(cut) - cut
-    start = np.ones(n, bool)
-    start[0] = not tokens[0].isspace()
+    start = np.ones(len(starts), bool)
+    start[0] = solid[0]
     picked = _least(h, of, _WINDOW)
     if has_bare:
-        bare = np.fromiter((bool(_HAS_BARE.match(t)) for t in tokens), bool, n)
+        alone = bare[starts]
         # Only places whose whole window is bare: words beside them are no part of it.
-        picked |= _least(h, np.where(bare, of, -1 - np.arange(n)), _BARE_WINDOW)
-        spaced = np.fromiter((t[-1].isspace() for t in tokens), bool, n)
+        picked |= _least(h, np.where(alone, of, -1 - np.arange(len(starts))), _BARE_WINDOW)
         start[1:] = spaced[:-1] | (cut | picked)[:-1]
     cut |= picked
     cut[-1] = True
@@ -90,15 +121,16 @@ def sentences(text: str) -> list[int]:
     return _split(text)[0].tolist() if text else []
 
 
-_powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64)] * 2 for _ in _BASES]
+_up = np.ones(1, np.uint64)
+_down = np.ones(1, np.uint64)
 
 
 def _reach(n: int) -> None:
-    """Makes powers of the bases and of their inverses up to n at hand."""
-    size = len(_powers[0][0])
-    if size <= n:
-        for i, base in enumerate(_BASES):
-            _powers[i] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(2 * size, n + 1), b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64))]
+    """Makes powers of the base and of its inverse up to n at hand."""
+    global _up, _down
+    if len(_up) <= n:
+        size = max(2 * len(_up), n + 1)
+        _up, _down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def runs(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -121,13 +153,12 @@ def runs(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     hi = np.concatenate([past[past <= n], here[first >= 0]])
     both = np.unique(lo * (n + 1) + hi)
     lo, hi = both // (n + 1), both % (n + 1)
-    names = []
-    for up, down in _powers:
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])[edge]
-        value = (total[hi] - total[lo]) * down[edge[lo]]
-        value ^= value >> np.uint64(29)
-        names.append(value * np.uint64(0xBF58476D1CE4E5B9) + (hi - lo).astype(np.uint64))
-    return names[0].view(np.int64), (names[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), lo.astype(np.int32), hi.astype(np.int32)
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])[edge] for x in (h * _up[: len(h)], h)]
+    value, check = (x[hi] - x[lo] for x in sums)
+    value *= _down[edge[lo]]
+    value ^= value >> np.uint64(29)
+    value = value * np.uint64(0xBF58476D1CE4E5B9) + (hi - lo).astype(np.uint64)
+    return value.view(np.int64), (check >> np.uint64(32)).astype(np.uint32).view(np.int32), lo.astype(np.int32), hi.astype(np.int32)
 
 
 #: Null doc_ids stand behind all others.
