@@ -61,8 +61,11 @@ def test_feed(spark, tmp_path):
 
 def test_services(spark):
     service = [{"arxiv_id": f"p{i % 7}"} for i in range(12)]
-    assert [e["arxiv_id"] for e in files.fetch_pages(lambda at, n: service[at : at + n], 100, 5)] == [f"p{i}" for i in range(7)]
-    assert len(files.fetch_pages(lambda at, n: service[at : at + n], 3, 5)) == 3
+    page = lambda at, n: service[at : at + n]
+    assert [(e.pos, e.arxiv_id) for e in files.paged(spark, page, 100, 5).orderBy("pos").collect()] == [(i, f"p{i}") for i in range(7)]
+    assert files.paged(spark, page, 3, 5).count() == 3 and files.paged(spark, page, 0).count() == 0
+    dated = [{"arxiv_id": str(i), "published": p} for i, p in enumerate(["2020-01-01T00:00:00Z", "2024-05-01T00:00:00Z", "soon", None])]
+    assert sorted(e.arxiv_id for e in files.paged(spark, lambda at, n: dated[at : at + n], 4, 3, cutoff="2022-01-01").collect()) == ["1", "2", "3"]
 
     def post(ids):
         return None if "bad" in ids else [None if i == "miss" else {"citationCount": len(i)} for i in ids]
