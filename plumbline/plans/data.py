@@ -65,14 +65,16 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_gold(q: DataFrame, c: DataFrame) -> DataFrame:
-    """Passages meet chunks by their first three words, then in full."""
-    q = q.withColumn("head", F.substring_index("passage", " ", 3))
+    """Passages meet chunks by a hash of their first three words (of the first one, if any passage is shorter), then in
+    full."""
+    q = q.withColumn("words", F.split("passage", " "))
+    wide = 3 if q.where(F.size("words") < 3).isEmpty() else 1
+    head = lambda words, i: F.xxhash64(*[F.get(words, i + n) for n in range(wide)])
     c = c.select("chunk_id", F.lower("text").alias("low"))
-    words = F.split("low", " ")
-    heads = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, 3), " ")))
-    asked_for = q.select("qid", "item_id", "passage", "head")
+    c = c.withColumn("words", F.split("low", " ")).withColumn("head", F.explode(F.array_distinct(F.transform("words", lambda w, i: head(F.col("words"), i)))))
+    asked_for = q.select("qid", "item_id", "passage", head(F.col("words"), F.lit(0)).alias("head"))
     asked_for = F.broadcast(asked_for) if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked_for
-    found = c.withColumn("head", F.explode(heads)).join(asked_for, "head").where(F.concat(F.lit(" "), "low", F.lit(" ")).contains(F.concat(F.lit(" "), "passage", F.lit(" "))))
+    found = c.select("chunk_id", "low", "head").join(asked_for, "head").where(F.concat(F.lit(" "), "low", F.lit(" ")).contains(F.concat(F.lit(" "), "passage", F.lit(" "))))
     one = found.select("qid", "item_id", "chunk_id").distinct()
     first = F.col("item_id") - F.col("item_id") % 2
     pair = F.struct(F.concat(F.lit("m"), F.lpad(first.cast("string"), 5, "0")).alias("qid"), F.lit("all_required").alias("semantics"), (F.col("item_id") % 2).cast("int").alias("group_idx"))
