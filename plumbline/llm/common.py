@@ -179,6 +179,42 @@ class WordHashes(dict):
         return h
 
 
+#: Runs of bytes, characters or words are named by polynomials at this point, modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+_up = np.ones(1, np.uint64)
+_down = np.ones(1, np.uint64)
+_space = np.zeros(256, bool)
+_space[[9, 10, 11, 12, 13, 32]] = True
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, at least."""
+    global _up, _down
+    if len(_up) <= n:
+        size = max(2 * len(_up), n + 1)
+        _up, _down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 1 << 64)))
+    return _up, _down
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of small numbers: of a polynomial over each, mixed."""
+    up, down = powers(len(values))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)])])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    return h ^ h >> np.uint64(32)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of words(text), in order, without a step in Python for each."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    solid = np.concatenate([[False], ~_space[data], [False]])
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    return run_hashes(data, edges[::2], edges[1::2])
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cases A-Z and splits at ASCII white space, in UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

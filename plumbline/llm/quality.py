@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, WordHashes, held, leanly, small, table, tune, unit, words
+from .common import WORD, Scratch, leanly, release, small, table, tune, unit, word_hashes
 from .langid import held_out
 
 #: No probability comes nearer to 0 or 1 than this.
@@ -42,9 +42,9 @@ def features(text: Column) -> list[Column]:
     ]
 
 
-def _word_buckets(text: str | None, known: WordHashes) -> np.ndarray:
+def _word_buckets(text: str | None) -> np.ndarray:
     """The buckets of a text's distinct words, by hash."""
-    return np.unique(np.fromiter((known[w] & BUCKETS - 1 for w in set(words(text))), np.int64))
+    return np.unique(word_hashes(text) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def _mean_ratio(ratios: np.ndarray, at: np.ndarray) -> float:
@@ -66,8 +66,8 @@ class Model:
 
         @F.pandas_udf("double")
         def lexical(texts: pd.Series) -> pd.Series:
-            known = held("quality-words", WordHashes)
-            return pd.Series([_mean_ratio(ratios, _word_buckets(t, known)) for t in texts], dtype=float)
+            release()
+            return pd.Series([_mean_ratio(ratios, _word_buckets(t)) for t in texts], dtype=float)
 
         z = F.lit(float(self.weights[0]))
         for f, m, s, w in zip([*features(text), lexical(text)], self.mean, self.scale, self.weights[1:], strict=True):
@@ -85,10 +85,10 @@ def _word_counts(rows: DataFrame) -> np.ndarray:
     there are. A row a fold, label and bucket reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros((2, 2, BUCKETS + 1), np.int64), WordHashes()
+        total = np.zeros((2, 2, BUCKETS + 1), np.int64)
         for b in batches:
             for fold, y, t in zip(b.column("fold").to_pylist(), b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True):
-                total[fold, y, _word_buckets(t, known)] += 1
+                total[fold, y, _word_buckets(t)] += 1
                 total[fold, y, BUCKETS] += 1
         at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in at] + [pa.array(total[at])], names=["fold", "y", "bucket", "n"])
@@ -118,8 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 24_000, ridge: float = 1
 
     @F.pandas_udf("double")
     def lexical(folds: pd.Series, texts: pd.Series) -> pd.Series:
-        known = held("quality-words", WordHashes)
-        return pd.Series([_mean_ratio(halves[f], _word_buckets(t, known)) for f, t in zip(folds, texts, strict=True)], dtype=float)
+        release()
+        return pd.Series([_mean_ratio(halves[f], _word_buckets(t)) for f, t in zip(folds, texts, strict=True)], dtype=float)
 
     rows = some.select("y", "x", lexical("fold", "text").alias("words")).collect()  # about `most` short rows
     scratch.close()

@@ -186,3 +186,11 @@ def test_rows_without_a_number_are_not_held_out(spark):
 
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     assert rows[0].h is False
+
+
+def test_word_hashes():
+    text = "The the  THE\tx\n\x0bé É日本 \x85\u00a0 a\x1cb" + " lo" * 40
+    for t in (text, "", None, "   ", "one"):
+        names = common.words(t)
+        got = common.word_hashes(t)
+        assert len(got) == len(names) and len({*zip(names, got.tolist(), strict=True)}) == len(set(names)) == len(set(got.tolist()))
