@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, leanly, release, small, table, tune
+from .common import BROADCAST_BYTES, Scratch, leanly, powers, release, run_hashes, small, table, tune
 
 #: A sentence ends at a line's end or at a full stop, question or exclamation mark before white space; quotes and
 #: brackets may close after the mark.
@@ -23,11 +23,6 @@ _BARE = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF),
 #: alike from their first such word to their last. Characters of scripts without spaces: of so many.
 _WINDOW, _BARE_WINDOW = 8, 2
 
-#: A run is named by 64 bits of a polynomial over its words' hashes at this point, and by 32 of their sum; a word's hash
-#: is such a polynomial over its characters, mixed.
-_BASE = 0x9E3779B97F4A7C15
-
-
 @functools.cache
 def _kinds() -> np.ndarray:
     """Of every code point: 1 white space, 2 mark, 4 closer, 8 bare."""
@@ -75,7 +70,6 @@ def _split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     A token is a word, or a bare character, with the white space after it; white space before the first word is one."""
     points = _points(text)
     n = len(points)
-    _reach(n)
     kind = _kinds()[points]
     solid = kind & 1 == 0
     begins = solid.copy()
@@ -90,12 +84,7 @@ def _split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     past = np.append(starts[1:], n)
     letters = np.concatenate([[0], np.cumsum(solid)])
     ends = starts + letters[past] - letters[starts]  # of the words
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_points(_lower(text)).astype(np.uint64) + np.uint64(1)) * _up[:n])])
-    h = (sums[ends] - sums[starts]) * _down[starts]
-    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
-        h ^= h >> np.uint64(shift)
-        h *= np.uint64(factor)
-    h ^= h >> np.uint64(32)
+    h = run_hashes(_points(_lower(text)), starts, ends)
     spaced = past > ends
     lines = np.concatenate([[0], np.cumsum(points == 10)])
     cut = lines[past] > lines[ends]
@@ -121,27 +110,15 @@ def sentences(text: str) -> list[int]:
     return _split(text)[0].tolist() if text else []
 
 
-_up = np.ones(1, np.uint64)
-_down = np.ones(1, np.uint64)
-
-
-def _reach(n: int) -> None:
-    """Makes powers of the base and of its inverse up to n at hand."""
-    global _up, _down
-    if len(_up) <= n:
-        size = max(2 * len(_up), n + 1)
-        _up, _down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-
-
 def runs(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(64 bits, 32 bits, first, past) of runs of consecutive sentences: from each sentence the shortest of two or more
+    """(64 bits of a polynomial over words' hashes, 32 of their sum, first, past) of runs of consecutive sentences: from each sentence the shortest of two or more
     that has least_words words, and to each sentence likewise. Longer repeated runs are covered by these, which repeat
     with them. The bits name the words of a run and its number of sentences; white space and letter case don't count."""
     ends, tokens, h, start = _split(text) if text else (np.empty(0, np.int64),) * 4
     n = len(ends)
     if n < 2:
         return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
-    _reach(len(h))
+    up, down = powers(len(h))
     lead = int(text[0].isspace())
     h = h[lead:]  # no white space before the first word
     edge = np.concatenate([[0], tokens - lead])
@@ -153,9 +130,9 @@ def runs(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     hi = np.concatenate([past[past <= n], here[first >= 0]])
     both = np.unique(lo * (n + 1) + hi)
     lo, hi = both // (n + 1), both % (n + 1)
-    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])[edge] for x in (h * _up[: len(h)], h)]
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])[edge] for x in (h * up[: len(h)], h)]
     value, check = (x[hi] - x[lo] for x in sums)
-    value *= _down[edge[lo]]
+    value *= down[edge[lo]]
     value ^= value >> np.uint64(29)
     value = value * np.uint64(0xBF58476D1CE4E5B9) + (hi - lo).astype(np.uint64)
     return value.view(np.int64), (check >> np.uint64(32)).astype(np.uint32).view(np.int32), lo.astype(np.int32), hi.astype(np.int32)
@@ -177,23 +154,28 @@ def _names(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, bool]:
     return None if twice.isEmpty() else twice, each.groupBy("key").count().where("count > 1").isEmpty()
 
 
-def repeated_spans(keyed: DataFrame, scratch: Scratch, least_words: int = 25, equal: DataFrame | None = None) -> DataFrame:
-    """keyed (key, th, text) -> key, th, later, spans: array of (first, past) sentence numbers.
+#: A span as one number: first sentence, then the one past its last.
+_SPAN = 32
+
+
+def repeated_spans(keyed: DataFrame, scratch: Scratch, by: list[str], least_words: int = 25, equal: DataFrame | None = None) -> DataFrame:
+    """keyed (the columns `by` that tell and order documents, text) -> by, later, spans: array of numbers, see _SPAN.
 
-    A run is repeated if it occurs more than once in all documents; every occurrence but the first, by key, th, then
-    place, is a span. Only documents that have spans get a row. equal (key, th): documents that are several rows. One
-    of these counts as the first; `later` says whether spans are of the others, where every occurrence is one."""
+    A run is repeated if it occurs more than once in all documents; every occurrence but the first, by document, then
+    place, is a span. Only documents that have spans get a row. equal (by): documents that are several rows. One of
+    these counts as the first; `later` says whether spans are of the others, where every occurrence is one."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [runs(t or "", least_words) for t in b.column("text").to_pylist()]
+            if not found:
+                continue
             each = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            cols = [np.concatenate(c) if found else np.empty(0) for c in zip(*found)]
-            kinds = (np.int64, np.int32, np.int32, np.int32)
-            run, check, first, past = (pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True))
-            yield pa.RecordBatch.from_arrays([run, check, b.column("key").take(each), b.column("th").take(each), first, past], names=["run", "check", "key", "th", "first", "past"])
+            run, check, first, past = (np.concatenate(c) for c in zip(*found, strict=True))
+            at = first.astype(np.int64) << _SPAN | past
+            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(check.astype(np.int32)), *(b.column(c).take(each) for c in by), pa.array(at)], names=["run", "check", *by, "at"])
 
-    every = scratch.save(keyed.select("key", "th", "text").mapInArrow(leanly(emit), "run long, check int, key long, th long, first int, past int"))
+    every = scratch.save(keyed.select(*by, "text").mapInArrow(leanly(emit), f"run long, check int, {', '.join(f'{c} long' for c in by)}, at long"))
     scratch.rows = every.count()
     named = ["run", "check"]
     twice = scratch.save(every.groupBy(*named).agg(F.count("*").alias("n"), F.min("key").alias("home")).where("n > 1").select(*named, "home"), narrow=True)
@@ -201,12 +183,13 @@ def repeated_spans(keyed: DataFrame, scratch: Scratch, least_words: int = 25, eq
     scratch.drop(every, twice)
     # No window over a run or document: many rows may share both.
     at_home = again.where("key = home")
-    start = at_home.groupBy(*named).agg(F.min(F.struct("th", "first")).alias("at"))
-    inside = at_home.join(start, named).where(F.struct("th", "first") > F.col("at"))
-    covered = again.where("key > home").select("key", "th", "first", "past").unionByName(inside.select("key", "th", "first", "past")).withColumn("later", F.lit(False))
+    place = F.struct(*by, "at")
+    start = at_home.groupBy(*named).agg(F.min(place).alias("start"))
+    inside = at_home.join(start, named).where(place > F.col("start"))
+    covered = again.where("key > home").select(*by, "at").unionByName(inside.select(*by, "at")).withColumn("later", F.lit(False))
     if equal is not None:
-        covered = covered.unionByName(again.join(small(equal, 24), ["key", "th"], "left_semi").select("key", "th", "first", "past", F.lit(True).alias("later")))
-    found = scratch.save(covered.groupBy("key", "th", "later").agg(F.collect_set(F.struct("first", "past")).alias("spans")), narrow=True)
+        covered = covered.unionByName(again.join(small(equal, 24), by, "left_semi").select(*by, "at", F.lit(True).alias("later")))
+    found = scratch.save(covered.groupBy(*by, "later").agg(F.collect_set("at").alias("spans")), narrow=True)
     scratch.drop(again)
     return found
 
@@ -216,8 +199,8 @@ def _clean(text: str, spans) -> tuple[str, list[tuple[int, int]], int]:
     starts = [0, *ends]
     drop = np.zeros(len(ends) + 1, np.int64)
     for s in spans:
-        drop[s["first"]] += 1
-        drop[s["past"]] -= 1
+        drop[s >> _SPAN] += 1
+        drop[s & (1 << _SPAN) - 1] -= 1
     gone = np.cumsum(drop)[:-1] > 0
     cuts: list[list[int]] = []
     for i in np.flatnonzero(gone):
@@ -251,10 +234,8 @@ def remove_repeats(docs: DataFrame, least_words: int = 25) -> DataFrame:
     names = [c for c in docs.columns if c not in ("removed", "n_removed")]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     equal, told_apart = _names(docs, scratch)
-    keyed = _keyed(docs)
-    if told_apart:
-        keyed = keyed.withColumn("th", F.lit(0).cast("long"))  # nothing to carry along
-    found = repeated_spans(keyed, scratch, least_words, equal)
+    keyed, by = _keyed(docs), ["key"] if told_apart else ["key", "th"]
+    found = repeated_spans(keyed, scratch, by, least_words, equal)
     size = found.agg(F.sum(F.size("spans") * 8 + 48)).first()[0] or 0
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found
 
@@ -264,16 +245,16 @@ def remove_repeats(docs: DataFrame, least_words: int = 25) -> DataFrame:
         out = [(None, None, 0) if t is None else _clean(t, s) for t, s in zip(texts, spans, strict=True)]
         return pd.DataFrame(out, columns=["text", "removed", "n_removed"])
 
-    keyed = keyed.select("row", "key", "th")
+    keyed = keyed.select("row", *by)
     if equal is None:
         keyed = keyed.withColumn("later", F.lit(False))
     else:
         both = small(equal, 24)
-        rows = scratch.save(keyed.join(both, ["key", "th"], "left_semi").withColumn("number", F.monotonically_increasing_id()))  # kept, so that numbers stay
-        one = rows.groupBy("key", "th").agg(F.min("number").alias("one"))
-        rows = rows.join(small(scratch.save(one, narrow=True), 32), ["key", "th"]).withColumn("later", F.col("number") > F.col("one"))
-        keyed = keyed.join(both, ["key", "th"], "left_anti").withColumn("later", F.lit(False)).unionByName(rows.select("row", "key", "th", "later"))
-    x = keyed.join(found, ["key", "th", "later"], "left")
+        rows = scratch.save(keyed.join(both, by, "left_semi").withColumn("number", F.monotonically_increasing_id()))  # kept, so that numbers stay
+        one = rows.groupBy(*by).agg(F.min("number").alias("one"))
+        rows = rows.join(small(scratch.save(one, narrow=True), 32), by).withColumn("later", F.col("number") > F.col("one"))
+        keyed = keyed.join(both, by, "left_anti").withColumn("later", F.lit(False)).unionByName(rows.select("row", *by, "later"))
+    x = keyed.join(found, [*by, "later"], "left")
     hit = F.col("spans").isNotNull()
     x = x.select("row", hit.alias("hit"), cut(F.when(hit, F.col("row.text")), "spans").alias("cut"))
     empty = F.expr("cast(array() as array<struct<start:int,past:int>>)")
