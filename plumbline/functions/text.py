@@ -152,6 +152,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
+def fixed(x: Column, digits: int, signed: bool = False) -> Column:
+    """A double with so many digits (four at most) after the point, as C and Python print it: its exact value is rounded,
+    ties to even. format_string rounds its shortest decimal form, ties up, and so gives 0.63 for 0.625."""
+    if not 0 < digits <= 4:
+        raise ValueError("from one to four digits")
+    size, unit = F.abs(x), 10**digits
+    scaled = size * F.lit(float(1 << 26))  # exact, and so are both parts and their products with 2 * unit
+    low = (scaled - F.floor(scaled).cast("double")) * F.lit(float(2 * unit))
+    whole, rest = F.floor(scaled) * F.lit(2 * unit) + F.floor(low), low - F.floor(low).cast("double")  # of 2^-27 / unit
+    down, over = F.shiftright(whole, 27), whole.bitwiseAND(F.lit((1 << 27) - 1))
+    up = (over > 1 << 26) | ((over == 1 << 26) & ((rest > 0) | (down % 2 == 1)))
+    n = down + up.cast("long")
+    sign = F.when(x < 0, "-").otherwise("+" if signed else "")
+    exact = F.concat(sign, F.floor(n / unit).cast("string"), F.lit("."), F.lpad((n % unit).cast("string"), digits, "0"))
+    return F.when(size < 1e6, exact).otherwise(F.format_string(f"%{'+' if signed else ''}.{digits}f", x))
+
+
 def chunk_quality(text: Column, least_chars: int = 700) -> Column:
     """struct<usable, reason>: a lexical screen; the first rule that matches gives the reason."""
     n = F.char_length(text)
@@ -166,8 +183,8 @@ def chunk_quality(text: Column, least_chars: int = 700) -> Column:
         .when((years >= 5) & (venues >= 1), say("bibliography (%d years, %d venue phrases)", years, venues))
         .when((arxiv >= 2) & (years >= 4), say("bibliography (%d arXiv ids, %d years)", arxiv, years))
         .when((brackets >= 4) & (venues >= 1), say("bibliography (%d bracketed refs)", brackets))
-        .when(alpha < 0.68, say("table/numeric (alpha_ratio %.2f)", alpha))
-        .when((digits > 0.07) & (sentences <= 3), say("table (digit_ratio %.2f, %d sentences)", digits, sentences))
+        .when(alpha < 0.68, say("table/numeric (alpha_ratio %s)", fixed(alpha, 2)))
+        .when((digits > 0.07) & (sentences <= 3), say("table (digit_ratio %s, %d sentences)", fixed(digits, 2), sentences))
         .when(sentences <= 1, F.lit("no sentence structure"))
         .otherwise(F.lit("ok"))
     )

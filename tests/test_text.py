@@ -94,3 +94,16 @@ def test_messages(spark):
     assert one(spark, T.is_daily_quota(F.lit("Limit of TOKENS PER DAY"))) and not one(spark, T.is_daily_quota(F.lit("slow down")))
     assert one(spark, T.preview(F.lit(" a  b\n" + "c" * 400))) == "a b " + "c" * 316 + "..."
     assert one(spark, T.join_key(F.lit(""), F.lit("t"))).startswith("text:")
+
+
+def test_fixed_prints_as_python_does(spark):
+    ties = [0.625, 0.575, 0.145, 0.03125, 0.59375, 0.00005, 0.00015, 1.00005, 2.5e-5, 0.99995, 0.999949999, 0.0, -0.03125, -0.125, 1234.56785, 4e6, 1 / 3]
+    xs = ties + [i / 3200 for i in range(1, 3300, 7)] + [i / 100000 + 5e-6 for i in range(1, 2000, 11)]
+    x = F.col("x")
+    got = spark.createDataFrame([(v,) for v in xs], "x double").select("x", T.fixed(x, 2).alias("two"), T.fixed(x, 3).alias("three"), T.fixed(x, 4).alias("four"), T.fixed(x, 4, signed=True).alias("signed")).collect()
+    assert [tuple(r) for r in got] == [(v, f"{v:.2f}", f"{v:.3f}", f"{v:.4f}", f"{v:+.4f}") for v in xs]
+
+
+def test_screen_rounds_ratios_as_its_sql(spark):
+    row = spark.createDataFrame([("a" * 500 + "!" * 300,), ("a" * 460 + "!" * 340,)], "t string").select(T.chunk_quality(F.col("t"))["reason"]).collect()
+    assert [r[0] for r in row] == ["table/numeric (alpha_ratio 0.62)", "table/numeric (alpha_ratio 0.57)"]
