@@ -318,3 +318,11 @@ def test_windows_of_a_vocabulary(spark):
                 break
             want[f"p{i}.pdf", pos] = text[at[lo][0] : at[min(lo + 40, len(at)) - 1][1]]
     assert got == want and len(want) > 20
+
+
+def test_report_lines_round_ties_as_their_sql(spark):
+    names = [*evaluate.metrics.REPORTED, "mrr_mean_groups", "mrr_first", *[f"{m}_at_{k}" for m in ("recall", "sufficiency", "ndcg") for k in metrics.KS]]
+    strata = spark.createDataFrame([("all", 32, *[0.03125] * len(set(names)))], ["stratum", "n", *dict.fromkeys(names)])
+    lines = [r.line for r in report.strata_lines(strata).orderBy("place").collect()]
+    assert lines[0] == "all n=32 MRR=0.0312" and lines[1] == "R@3=0.0312  R@5=0.0312  R@10=0.0312" and lines[-1] == "MRR_mean_groups=0.0312 MRR_first_group=0.0312"
+    assert report.log_row(strata.withColumn("mrr", F.lit(0.0625)), "v", "n").first().line == "| v | 0.062 | 0.031 | 0.031 | n |"
