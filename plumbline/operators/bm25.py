@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,13 +21,22 @@ VARIANTS = ("lucene", "okapi")
 DIGITS = 7
 #: Questions of at most so many terms in all are broadcast to the postings.
 BROADCAST_TERMS = 200_000
+#: So many pairs of question and document are broadcast to be explained.
+BROADCAST_PAIRS = 20_000
+#: Up to so many matches of a question's term and a document are joined as rows.
+JOINED_MATCHES = 5_000_000
+#: Scores that a task holds at a time, documents times questions.
+SCORES_AT_ONCE = 2_000_000
+#: A term of so many questions is summed by a matrix product.
+DENSE_TERM = 5
 #: Saved postings lie in so many folders by hash of the term; a search reads those of the terms asked for.
 BUCKETS = 16
 
 
 @dataclass
 class Index:
-    """postings (bucket, term, chunk_id, tf, dl), docs (chunk_id, dl), counts (term, df), stats (n_docs, avgdl; one row).
+    """postings (bucket, term, chunk_id, tf, dl), docs (chunk_id, dl), counts (term, df), stats (n_docs, avgdl; one row),
+    texts (chunk_id, dl, terms, tfs): the postings again, by document.
 
     Built over a corpus, these are plans that tokenise it at each use; saved, tables that any variant can read."""
 
@@ -31,11 +44,11 @@ class Index:
     docs: DataFrame
     counts: DataFrame
     stats: DataFrame
+    texts: DataFrame
     k1: float = K1
     b: float = B
     variant: str = "lucene"
     epsilon: float = EPSILON
-    tokens: DataFrame | None = None
 
     @property
     def terms(self) -> DataFrame:
@@ -49,28 +62,25 @@ class Index:
         return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(self.epsilon) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
     def save(self, path: str) -> Index:
-        """The same index read from tables under path. The corpus is tokenised once; its tokens go when postings stand."""
-        spark, source = self.stats.sparkSession, self
-        if self.tokens is not None:
-            self.tokens.write.mode("overwrite").parquet(f"{path}/tokens")
-            source = _over(spark.read.parquet(f"{path}/tokens"))
+        """The same index read from tables under path. The corpus is tokenised once."""
+        spark = self.stats.sparkSession
+        self.texts.write.mode("overwrite").parquet(f"{path}/texts")
+        source = _over(spark.read.schema(TEXTS).parquet(f"{path}/texts"))
         source.docs.write.mode("overwrite").parquet(f"{path}/docs")
         source.postings.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         _counts(spark.read.schema(POSTINGS).parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
         _stats(spark.read.schema(DOCS).parquet(f"{path}/docs")).write.mode("overwrite").parquet(f"{path}/stats")
-        if self.tokens is not None:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/tokens")
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         return Index.load(spark, path, self.k1, self.b, self.variant, self.epsilon)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, k1: float | None = None, b: float = B, variant: str = "lucene", epsilon: float = EPSILON) -> Index:
         read = lambda schema, name: spark.read.schema(schema).parquet(f"{path}/{name}")
-        return cls(read(POSTINGS, "postings"), read(DOCS, "docs"), read("term string, df long", "terms"), read("n_docs long, avgdl double", "stats"), _k1(k1, variant), b, variant, epsilon)
+        return cls(read(POSTINGS, "postings"), read(DOCS, "docs"), read("term string, df long", "terms"), read("n_docs long, avgdl double", "stats"), read(TEXTS, "texts"), _k1(k1, variant), b, variant, epsilon)
 
 
 POSTINGS = "term string, chunk_id string, tf long, dl long, bucket int"
 DOCS = "chunk_id string, dl long"
+TEXTS = "chunk_id string, dl long, terms array<string>, tfs array<long>"
 
 
 def _k1(k1: float | None, variant: str) -> float:
@@ -91,13 +101,30 @@ def _stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def _over(tokens: DataFrame, **options) -> Index:
-    """tokens (chunk_id, dl, tokens) -> Index."""
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk_id, dl, tokens -> chunk_id, dl, distinct terms and how often each occurs."""
+    for b in batches:
+        tokens = b.column("tokens")
+        coded = pc.list_flatten(tokens).dictionary_encode()
+        many = max(1, len(coded.dictionary))
+        rows = np.repeat(np.arange(b.num_rows), _lengths(tokens))
+        pair, tf = np.unique(rows * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        ends = pa.array(np.searchsorted(pair // many, np.arange(b.num_rows + 1)), pa.int32())
+        terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(pair % many)).cast(pa.string()))
+        yield pa.RecordBatch.from_arrays([b.column("chunk_id"), b.column("dl"), terms, pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))], names=["chunk_id", "dl", "terms", "tfs"])
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _over(texts: DataFrame, **options) -> Index:
+    """texts (chunk_id, dl, terms, tfs) -> Index."""
     one = F.count(F.lit(1)).over(Window.partitionBy("chunk_id"))
-    docs = chunks_once(tokens.select("chunk_id", "dl", one.alias("_n")))
-    postings = tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    postings = postings.select("term", "chunk_id", "tf", "dl", _bucket(F.col("term")).alias("bucket"))
-    return Index(postings, docs, _counts(postings), _stats(docs), tokens=tokens, **options)
+    docs = chunks_once(texts.select("chunk_id", "dl", one.alias("_n")))
+    postings = texts.select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    postings = postings.select("p.terms", "chunk_id", F.col("p.tfs").alias("tf"), "dl").withColumnRenamed("terms", "term").withColumn("bucket", _bucket(F.col("term")))
+    return Index(postings, docs, _counts(postings), _stats(docs), texts, **options)
 
 
 def build(chunks: DataFrame, k1: float | None = None, b: float = B, variant: str = "lucene", epsilon: float = EPSILON, tokens: Column | None = None) -> Index:
@@ -106,7 +133,8 @@ def build(chunks: DataFrame, k1: float | None = None, b: float = B, variant: str
     Documents without terms count in n_docs and avgdl. A repeated chunk_id is an error when the index is used or saved."""
     k1 = _k1(k1, variant)
     each = chunks.select("chunk_id", (T.tokenize(F.col("text")) if tokens is None else tokens).alias("tokens"))
-    return _over(each.select("chunk_id", F.size("tokens").cast("long").alias("dl"), "tokens"), k1=k1, b=b, variant=variant, epsilon=epsilon)
+    each = each.select("chunk_id", F.size("tokens").cast("long").alias("dl"), "tokens")
+    return _over(each.mapInArrow(_count_terms, TEXTS), k1=k1, b=b, variant=variant, epsilon=epsilon)
 
 
 def chunks_once(docs: DataFrame) -> DataFrame:
@@ -120,19 +148,27 @@ def index_stats(index: Index) -> DataFrame:
     )
 
 
+def _asked(questions: DataFrame) -> DataFrame:
+    """qid, term, qtf."""
+    return questions.select("qid", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
+def _term_value(index: Index) -> Column:
+    tf, norm = F.col("tf").cast("double"), 1 - index.b + index.b * F.col("dl") / F.col("avgdl")
+    return F.col("qtf") * F.col("idf") * tf * (index.k1 + 1) / (tf + index.k1 * norm)
+
+
 def contributions(index: Index, questions: DataFrame) -> DataFrame:
     """questions (qid, text) -> qid, chunk_id, term, value: what each term adds to each document that holds it.
 
     A term that a question repeats counts as often; it is joined once, with its number. Terms that the index lacks add
     nothing. Saved postings are read from the buckets of the terms asked for alone."""
-    asked = questions.select("qid", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    asked = asked.withColumn("bucket", _bucket(F.col("term")))
+    asked = _asked(questions).withColumn("bucket", _bucket(F.col("term")))
     n, buckets = asked.agg(F.count("*"), F.collect_set("bucket")).first()  # BUCKETS numbers at most
     held = F.broadcast if n <= BROADCAST_TERMS else lambda df: df
     asked = index.terms.select("term", "idf").join(held(asked), "term")  # no more rows than asked
     x = index.postings.where(F.col("bucket").isin(buckets)).join(held(asked), ["bucket", "term"]).crossJoin(F.broadcast(index.stats.select("avgdl")))
-    tf, norm = F.col("tf").cast("double"), 1 - index.b + index.b * F.col("dl") / F.col("avgdl")
-    return x.select("qid", "chunk_id", "term", (F.col("qtf") * F.col("idf") * tf * (index.k1 + 1) / (tf + index.k1 * norm)).alias("value"))
+    return x.select("qid", "chunk_id", "term", _term_value(index).alias("value"))
 
 
 def score_all(index: Index, questions: DataFrame) -> DataFrame:
@@ -141,9 +177,110 @@ def score_all(index: Index, questions: DataFrame) -> DataFrame:
 
 
 def search(index: Index, questions: DataFrame, k: int) -> DataFrame:
-    """qid, rank (from 1), chunk_id, score: the k best, ties by chunk_id."""
+    """qid, rank (from 1), chunk_id, score: the k best, ties by chunk_id.
+
+    Few matches come from a join of the postings. Where frequent terms make many, a row for each would be shuffled; the
+    questions travel to the documents instead, and of each task only every question's k best go on."""
+    scores = _best_of_texts(index, questions, k)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "chunk_id")
-    return score_all(index, questions).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
+    return (score_all(index, questions) if scores is None else scores).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
+
+
+def _best_of_texts(index: Index, questions: DataFrame, k: int) -> DataFrame | None:
+    """qid, chunk_id, score of at least every question's k best documents; None if a join serves better: for few matches,
+    or for more terms than a task may hold."""
+    asked = _asked(questions)
+    if asked.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
+        return None
+    held = index.terms.join(F.broadcast(asked), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "df").toArrow()  # no more rows than asked
+    if (pc.sum(held.column("df")).as_py() or 0) <= JOINED_MATCHES:
+        return None
+    asking, avgdl, k1, b = _Questions(held), index.stats.first()["avgdl"], index.k1, index.b
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(asking, k)
+        for batch in batches:
+            step = max(1, SCORES_AT_ONCE // len(asking.qids))
+            for at in range(0, batch.num_rows, step):
+                best.meet(batch.slice(at, step), avgdl, k1, b)
+        yield from best.table()
+
+    kind = {f.name: f.dataType.simpleString() for f in (questions.schema["qid"], index.texts.schema["chunk_id"])}
+    return index.texts.mapInArrow(meet, f"qid {kind['qid']}, chunk_id {kind['chunk_id']}, score double")
+
+
+class _Questions:
+    """Questions as weights of their terms: those of many questions as rows of a matrix, the others as lists."""
+
+    def __init__(self, held: pa.Table):
+        qids, terms = (held.column(c).combine_chunks().dictionary_encode() for c in ("qid", "term"))
+        self.qids, self.terms = qids.dictionary, terms.dictionary
+        q, t = qids.indices.to_numpy(zero_copy_only=False), terms.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(t, kind="stable")
+        self.q, self.weight = q[order].astype(np.int64), held.column("weight").to_numpy()[order]
+        self.starts = np.searchsorted(t[order], np.arange(len(self.terms) + 1))
+        shared = np.flatnonzero(np.diff(self.starts) >= DENSE_TERM)[: max(1, SCORES_AT_ONCE // len(self.qids))]
+        self.row = np.full(len(self.terms), -1)
+        self.row[shared] = np.arange(len(shared))
+        self.matrix = np.zeros((len(shared), len(self.qids)))
+        for i, term in enumerate(shared):
+            at = slice(self.starts[term], self.starts[term + 1])
+            self.matrix[i, self.q[at]] = self.weight[at]
+        self.asks = np.zeros_like(self.matrix)
+        for i, term in enumerate(shared):
+            self.asks[i, self.q[self.starts[term] : self.starts[term + 1]]] = 1.0
+
+    def totals(self, n: int, rows: np.ndarray, terms: np.ndarray, value: np.ndarray, weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        """(n documents, questions): sums of value times weight over the terms that each holds."""
+        row = self.row[terms]
+        dense = np.zeros((n, len(matrix)))
+        dense[rows[row >= 0], row[row >= 0]] = value[row >= 0]
+        rows, terms, value = rows[row < 0], terms[row < 0], value[row < 0]
+        many = self.starts[terms + 1] - self.starts[terms]
+        each = np.repeat(np.arange(len(terms)), many)
+        at = np.arange(len(each)) + np.repeat(self.starts[terms] - (np.cumsum(many) - many), many)
+        size = len(self.qids)
+        return dense @ matrix + np.bincount(rows[each] * size + self.q[at], value[each] * weight[at], n * size).reshape(n, size)
+
+
+class _Best:
+    """The k best documents of each question so far, ties by id."""
+
+    def __init__(self, asking: _Questions, k: int):
+        self.asking, self.k = asking, k
+        self.bar = np.full(len(asking.qids), -np.inf)
+        self.found: pa.Table | None = None
+
+    def meet(self, texts: pa.RecordBatch, avgdl: float, k1: float, b: float) -> None:
+        ask, n = self.asking, texts.num_rows
+        term = pc.fill_null(pc.index_in(pc.list_flatten(texts.column("terms")), value_set=ask.terms), -1).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(n), _lengths(texts.column("terms")))[term >= 0]
+        tf = pc.list_flatten(texts.column("tfs")).to_numpy(zero_copy_only=False)[term >= 0].astype(float)
+        term = term[term >= 0]
+        dl = texts.column("dl").to_numpy(zero_copy_only=False)[rows]
+        value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+        score = ask.totals(n, rows, term, value, ask.weight, ask.matrix)
+        # A weight may be 0 or less (okapi); then a score doesn't tell whether a document holds a term.
+        holds = score > 0 if (ask.weight > 0).all() else ask.totals(n, rows, term, np.ones(len(term)), np.ones(len(ask.weight)), ask.asks) > 0.5
+        score = np.where(holds, np.round(score, DIGITS) + 0.0, -np.inf)
+        if n > self.k:
+            self.bar = np.maximum(self.bar, np.partition(score, n - self.k, axis=0)[n - self.k])
+        which, question = np.nonzero(holds & (score >= self.bar))
+        if not len(which):
+            return
+        new = pa.table({"q": question, "score": score[which, question], "chunk_id": texts.column("chunk_id").take(pa.array(which))})
+        found = new if self.found is None else pa.concat_tables([self.found, new])
+        found = found.take(pc.sort_indices(found, sort_keys=[("q", "ascending"), ("score", "descending"), ("chunk_id", "ascending")]))
+        q = found.column("q").to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.bar[q[last]] = np.maximum(self.bar[q[last]], found.column("score").to_numpy()[last])
+        self.found = found.filter(pa.array(place < self.k)).combine_chunks()
+
+    def table(self) -> Iterator[pa.RecordBatch]:
+        if self.found is not None:
+            out = pa.table({"qid": self.asking.qids.take(self.found.column("q").combine_chunks()), "chunk_id": self.found.column("chunk_id"), "score": self.found.column("score")})
+            yield from out.to_batches()
 
 
 def search_one(index: Index, spark: SparkSession, text: str, k: int) -> DataFrame:
@@ -154,7 +291,19 @@ def search_one(index: Index, spark: SparkSession, text: str, k: int) -> DataFram
 
 def explain(index: Index, questions: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (qid, chunk_id) -> qid, chunk_id, term, value, largest first; values sum to the score. A chunk_id that the
-    index lacks is an error."""
-    known = pairs.join(index.docs.select("chunk_id", F.lit(True).alias("_known")), "chunk_id", "left")
+    index lacks is an error.
+
+    Up to BROADCAST_PAIRS pairs meet their documents' terms alone; more meet all contributions in a join."""
+    few = pairs.select("qid", "chunk_id").limit(BROADCAST_PAIRS + 1).toArrow()
+    small = few.num_rows <= BROADCAST_PAIRS
+    pairs = index.stats.sparkSession.createDataFrame(few, pairs.select("qid", "chunk_id").schema) if small else pairs
+    docs = index.docs.join(F.broadcast(pairs.select("chunk_id").distinct()), "chunk_id", "left_semi") if small else index.docs
+    known = pairs.join(docs.select("chunk_id", F.lit(True).alias("_known")), "chunk_id", "left")
     known = known.where(F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("unknown chunk_id: "), F.col("chunk_id"))).cast("boolean")).otherwise(True)).select("qid", "chunk_id")
-    return contributions(index, questions).where("value <> 0").join(known, ["qid", "chunk_id"]).orderBy("qid", "chunk_id", F.col("value").desc(), "term")
+    if small:
+        held = index.texts.join(F.broadcast(known), "chunk_id").select("qid", "chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("qid", "chunk_id", "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
+        x = held.join(_asked(questions), ["qid", "term"]).join(index.terms.select("term", "idf"), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+        x = x.select("qid", "chunk_id", "term", _term_value(index).alias("value")).where("value <> 0")
+    else:
+        x = contributions(index, questions).where("value <> 0").join(known, ["qid", "chunk_id"])
+    return x.orderBy("qid", "chunk_id", F.col("value").desc(), "term")

@@ -27,9 +27,10 @@ WHERE rank <= {TOP}"""
 
 
 def bm25_variant_overlap(spark, sf_dir):
-    a, b = bm25_top10(spark, sf_dir), bm25_okapi_top10(spark, sf_dir)
-    shared = a.select("qid", "chunk_id").join(b.select("qid", "chunk_id"), ["qid", "chunk_id"]).groupBy("qid").agg(F.count("*").alias("shared"))
-    return a.select("qid").distinct().join(shared, "qid", "left").agg(F.count("*").alias("n_questions"), F.round(F.avg(F.coalesce("shared", F.lit(0))), 6).alias("mean_shared"))
+    mark = lambda hits, i: hits.select("qid", "chunk_id", F.lit(i).alias("arm"))
+    both = mark(bm25_top10(spark, sf_dir), 1).unionByName(mark(bm25_okapi_top10(spark, sf_dir), 2)).groupBy("qid", "chunk_id").agg(F.sum("arm").alias("arms"))
+    each = both.groupBy("qid").agg(F.count_if(F.col("arms") == 3).alias("shared"), F.count_if(F.col("arms") != 2).alias("n")).where("n > 0")
+    return each.agg(F.count("*").alias("n_questions"), F.round(F.avg("shared"), 6).alias("mean_shared"))
 
 
 BM25_OVERLAP = f"""WITH a AS ({_ranked()}), b AS ({_ranked('okapi', 1.5)})

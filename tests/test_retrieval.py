@@ -184,3 +184,30 @@ def test_fingerprint():
     a = chunking.fingerprint([("b", "2"), ("a", None)])
     assert a == chunking.fingerprint([("a", ""), ("b", "2")]) and a.startswith("sha256:")
     assert a != chunking.fingerprint([("a", ""), ("b", "2")], size=400)
+
+
+@pytest.mark.parametrize("variant", ["lucene", "okapi"])
+def test_search_by_documents_equals_the_join(spark, tmp_path, monkeypatch, variant):
+    """Frequent words, copies that tie, terms of weight 0 or less, a question of no known word, tiny blocks."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(r.choice(words[: r.randint(1, 40)]) for _ in range(r.randint(0, 30))) for _ in range(150)]
+    corpus = spark.createDataFrame([(f"c{i}", texts[i % 120 if i % 3 else 7]) for i in range(300)], "chunk_id string, text string")
+    index = bm25.build(corpus, variant=variant).save(str(tmp_path))
+    q = spark.createDataFrame([(f"q{i}", " ".join(r.choice(words) for _ in range(1 + i % 9)) + " w0 w0") for i in range(30)] + [("none", "zebra")], "qid string, text string")
+    rows = lambda k: sorted(tuple(x) for x in bm25.search(index, q, k).collect())
+    wanted = {k: rows(k) for k in (1, 7, 1000)}
+    assert bm25._best_of_texts(index, q, 7) is None
+    monkeypatch.setattr(bm25, "JOINED_MATCHES", 0)
+    monkeypatch.setattr(bm25, "SCORES_AT_ONCE", 400)
+    assert bm25._best_of_texts(index, q, 7) is not None
+    assert {k: rows(k) for k in wanted} == wanted
+    assert len([x for x in rows(7) if x[0] == "q1"]) == 7
+
+
+def test_explain_small_equals_the_join(spark, index, monkeypatch):
+    q = spark.createDataFrame([("q0", "granite blocks blocks zebra"), ("q1", "tidal night")], "qid string, text string")
+    pairs = bm25.search(index, q, 2).select("qid", "chunk_id")
+    few = [tuple(r) for r in bm25.explain(index, q, pairs).collect()]
+    monkeypatch.setattr(bm25, "BROADCAST_PAIRS", 0)
+    assert few and [tuple(r) for r in bm25.explain(index, q, pairs).collect()] == few
