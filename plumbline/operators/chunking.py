@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,8 @@ from plumbline.functions import text as T
 
 CHUNKING_VERSION = "v1"
 SIZE, OVERLAP = 500, 50
+#: Texts of so many characters in all are given to a tokenizer at once.
+GROUP_CHARS = 500_000
 
 
 def windows(tokens: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
@@ -57,7 +59,7 @@ def _tokenizer(path: str):
 
 def split_by_offsets(pages: DataFrame, offsets: Callable[[list[str]], list[list[tuple[int, int]]]], size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Like split_pages() with the tokens of a model's own vocabulary: each window is the text from its first token to its
-    last, as it stands there. offsets: texts to the (start, end) of their tokens, a batch at a time. Only spans of
+    last, as it stands there. offsets: texts to the (start, end) of their tokens, a group of bounded size at a time. Only spans of
     characters come back from Python; texts are cut in the JVM."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must lie between 0 and size")
@@ -66,7 +68,7 @@ def split_by_offsets(pages: DataFrame, offsets: Callable[[list[str]], list[list[
     @F.pandas_udf("array<struct<start:int,past:int>>")
     def spans(texts: pd.Series) -> pd.Series:
         out = []
-        for tokens in offsets([t or "" for t in texts]):
+        for tokens in (found for group in _groups([t or "" for t in texts]) for found in offsets(group)):
             starts = range(0, max(0, -(-(len(tokens) - size) // step)) * step + 1, step) if tokens else ()
             out.append([{"start": tokens[i][0], "past": max(e for _, e in tokens[i : i + size])} for i in starts])
         return pd.Series(out, dtype=object)
@@ -76,6 +78,19 @@ def split_by_offsets(pages: DataFrame, offsets: Callable[[list[str]], list[list[
     return x.select(*keep, F.substring("page_content", F.col("w.start") + 1, F.col("w.past") - F.col("w.start")).alias("page_content"), "pos")
 
 
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """texts in groups of GROUP_CHARS, or of one longer text: a tokenizer holds some hundred bytes a token."""
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
+
+
 def assign_ids(chunks: DataFrame) -> DataFrame:
     """chunks (source, page, page_content, pos, ...) -> also chunk_id, arxiv_id, ordinal and text_sha8.
 
