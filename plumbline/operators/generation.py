@@ -19,6 +19,8 @@ ASK = 'Write one question that this passage alone answers and that names a metho
 CHECK = 'Does the passage answer the question? Reply with a JSON object: answers (true or false), reason.\n\nQUESTION: {question}\n\nPASSAGE:\n{text}'
 TRIED = "paper string, place int, chunk_id string, outcome string, question string, answer string, entity string, turn int"
 ACCEPTED = "accepted"
+#: So many rows of a round are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 20_000
 
 
 @dataclass
@@ -55,16 +57,23 @@ def generate(pool: DataFrame, quotas: DataFrame, chunks: DataFrame, model: Calla
         df.write.parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
+    def held(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
     texts = chunks.select("chunk_id", "text")
+    # Every round reads the pool and the quotas, so they are computed once; texts are met by the few rows of a round.
     fresh = pool if used is None else pool.join(used.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    fresh, quotas = keep(fresh.select("paper", "place", "chunk_id"), "fresh"), keep(quotas.select("paper", "quota"), "quotas")
+    papers = quotas.count()
     tried, turn, stopped = [spark.createDataFrame([], TRIED)], 0, False
     while not stopped:
         turn += 1
         so_far = reduce(DataFrame.union, tried)
         ahead = so_far.groupBy("paper").agg(F.max("place").alias("cursor"), F.count_if(F.col("outcome") == ACCEPTED).alias("have"))
         open_ = quotas.join(ahead, "paper", "left").where(F.coalesce("have", F.lit(0)) < F.col("quota")).select("paper", F.coalesce("cursor", F.lit(0)).alias("cursor"))
+        open_ = F.broadcast(open_) if papers <= BROADCAST_ROWS else open_
         next_ = fresh.join(open_, "paper").where("place > cursor").groupBy("paper").agg(F.min(F.struct("place", "chunk_id")).alias("n")).select("paper", "n.place", "n.chunk_id")
-        drawn = keep(next_.join(texts, "chunk_id"), f"drawn-{turn}")
+        drawn = keep(texts.join(held(keep(next_, f"next-{turn}")), "chunk_id"), f"drawn-{turn}")
         if drawn.isEmpty():
             break
         replies = keep(calls.ask(drawn.select(F.col("chunk_id").alias("key"), _prompt(ASK, text=F.col("text")).alias("prompt")), model, tries, sleep), f"replies-{turn}")
@@ -93,7 +102,8 @@ def generate(pool: DataFrame, quotas: DataFrame, chunks: DataFrame, model: Calla
     accepted = done.where(F.col("outcome") == ACCEPTED)
     groups = accepted.select("chunk_id", F.col("chunk_id").alias("member"))
     if with_neighbours and not stopped:
-        beside = accepted.select("chunk_id", "question").join(chunking.neighbours(chunks), "chunk_id").join(texts.withColumnRenamed("chunk_id", "neighbour_id"), "neighbour_id")
+        beside = keep(chunking.neighbours(chunks).join(held(accepted.select("chunk_id", "question")), "chunk_id"), "pairs")
+        beside = texts.withColumnRenamed("chunk_id", "neighbour_id").join(held(beside), "neighbour_id")
         beside = keep(beside.withColumn("key", F.concat_ws(" ", "chunk_id", "neighbour_id")), "beside")
         also = keep(calls.ask(beside.select("key", _prompt(CHECK, question=F.col("question"), text=F.col("text")).alias("prompt")), model, tries, sleep), "also")
         stopped = calls.any_quota(also)  # what its own passage answers stays
@@ -101,7 +111,7 @@ def generate(pool: DataFrame, quotas: DataFrame, chunks: DataFrame, model: Calla
         groups = groups.union(beside.join(yes.select("key"), "key").select("chunk_id", F.col("neighbour_id").alias("member")))
     shas = chunks.select(F.col("chunk_id").alias("member"), "text_sha8")
     gold = groups.join(shas, "member").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("member", "text_sha8"))).alias("g"))  # a chunk and two neighbours at most
-    leaks = golden.leakage(accepted.select(F.col("chunk_id").alias("qid"), "question", "chunk_id"), chunks).select("chunk_id", "jaccard", "flagged")
+    leaks = golden.leakage(accepted.select(F.col("chunk_id").alias("qid"), "question", "chunk_id"), chunks.join(held(accepted.select("chunk_id")), "chunk_id", "left_semi")).select("chunk_id", "jaccard", "flagged")
     numbered = ranks.numbered(accepted, [F.col("turn"), F.col("paper")], "n").join(gold, "chunk_id").join(leaks, "chunk_id")
     members = F.transform("g", lambda m: m["member"])
     questions = numbered.select(
