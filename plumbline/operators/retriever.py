@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import bm25, dense, fusion
-from plumbline.sources.saved import delete
+from plumbline.sources.saved import delete, kept
 from plumbline.sources.store import Store
 
 #: Indexes of a store's older snapshots that stay on disk, for readers that still use them.
 KEPT = 2
+#: The ids of so many hits are broadcast, so that of the payload only their rows are shuffled.
+BROADCAST_HITS = 100_000
 
 
 @dataclass
@@ -50,15 +52,19 @@ class Retriever:
         """questions (qid, text, embedding) -> qid, rank, chunk_id and the payload's columns; with details the dense mode
         adds l2_distance, the hybrid one rrf_score, dense_rank, sparse_rank, l2_distance, bm25_score and found_by.
 
-        mode: hybrid unless said otherwise; an unknown one is an error. A hit without a chunk_id is an error."""
+        mode: hybrid unless said otherwise; an unknown one is an error. A hit without a chunk_id is an error. The search runs
+        now and its hits are kept, as scores and details read them several times."""
         if fusion.resolve_mode(mode) == "dense" or self.index is None:
             hits = dense.search(self.vectors, questions, k)
         else:
             hits = fusion.hybrid(self.index, self.vectors, questions, k, self.rrf_k, self.weights)
         named = F.col("chunk_id").isNotNull() & (F.col("chunk_id") != "")
         hits = hits.where(F.when(named, True).otherwise(F.raise_error(F.lit("a hit lacks its chunk_id: ingest the collection again")).cast("boolean")))
+        hits = kept(hits, "hits")
+        asked_for = hits.select("chunk_id").distinct()
+        asked_for = F.broadcast(asked_for) if hits.count() <= BROADCAST_HITS else asked_for
         shown = [c for c in self.payload.columns if c != "chunk_id" and c not in hits.columns]
-        x = hits.join(self.payload.select("chunk_id", *shown), "chunk_id", "left")
+        x = hits.join(self.payload.select("chunk_id", *shown).join(asked_for, "chunk_id", "left_semi"), "chunk_id", "left")
         return x.select("qid", "rank", "chunk_id", *([c for c in hits.columns if c not in ("qid", "rank", "chunk_id")] if details else []), *shown)
 
     def deterministic(self, questions: DataFrame, k: int = 10) -> bool:

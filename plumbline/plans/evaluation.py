@@ -125,7 +125,7 @@ MISSES = f"{BASE} SELECT qid, semantics, n_groups FROM base WHERE rr = 0 ORDER B
 
 def arm_attribution(spark, sf_dir):
     hits = fusion.hybrid(data.index(spark, sf_dir), data.vectors(spark, sf_dir), data.asked(spark, sf_dir), fusion.POOL)
-    x = metrics.attribution(metrics.gold_hits(data.gold(spark, sf_dir), hits))
+    x = metrics.attribution(saved.kept(metrics.gold_hits(data.gold(spark, sf_dir), hits), "gold-hits"))
     return x.withColumn("share", F.round("share", 9))
 
 
@@ -143,7 +143,7 @@ def rrf_sweep(spark, sf_dir):
     g = data.gold(spark, sf_dir).crossJoin(F.broadcast(_configs(spark).select("config")))
     key = lambda df: df.withColumn("qid", F.concat_ws("|", "config", "qid"))
     scored = metrics.score_questions(metrics.coverage(key(g), key(ranked).select("qid", F.col("rank").alias("pos"), "chunk_id")))
-    x = scored.groupBy(F.substring_index("qid", "|", 1).alias("config")).agg(F.avg("rr").alias("mrr"), F.avg("ndcg_at_10").alias("ndcg_at_10"))
+    x = saved.kept(scored.groupBy(F.substring_index("qid", "|", 1).alias("config")).agg(F.avg("rr").alias("mrr"), F.avg("ndcg_at_10").alias("ndcg_at_10")), "sweep")
     spread = metrics.spread(x.where(~F.col("config").contains("_")))
     return x.crossJoin(F.broadcast(spread)).select("config", *[F.round(c, 9).alias(c) for c in ("mrr", "ndcg_at_10", "spread")])
 

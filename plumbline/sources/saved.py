@@ -68,6 +68,13 @@ def table(spark: SparkSession, name: str, inputs: list[str], make: Callable[[],
     return spark.read.parquet(place(spark, name, inputs, lambda path: make().write.parquet(path)))
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df's rows, computed now and once, for a result that several parts of a plan read."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forget(spark: SparkSession) -> None:
     """Makes all anew at their next use."""
     for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:

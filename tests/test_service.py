@@ -326,3 +326,47 @@ def test_report_lines_round_ties_as_their_sql(spark):
     lines = [r.line for r in report.strata_lines(strata).orderBy("place").collect()]
     assert lines[0] == "all n=32 MRR=0.0312" and lines[1] == "R@3=0.0312  R@5=0.0312  R@10=0.0312" and lines[-1] == "MRR_mean_groups=0.0312 MRR_first_group=0.0312"
     assert report.log_row(strata.withColumn("mrr", F.lit(0.0625)), "v", "n").first().line == "| v | 0.062 | 0.031 | 0.031 | n |"
+
+
+def test_generation_reads_its_pool_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(c):
+        read.add(1)
+        return c
+
+    chunks = spark.createDataFrame([(f"p{i % 2}::p0::c{i}", f"p{i % 2}", 0, i, f"passage {i} tells of thing{i}", "s") for i in range(12)], "chunk_id string, arxiv_id string, page int, ordinal int, text string, text_sha8 string")
+    pool = chunks.select(F.col("arxiv_id").alias("paper"), seen("chunk_id").alias("chunk_id"), (F.col("ordinal") + 1).alias("place"))
+    quotas = spark.createDataFrame([("p0", 3), ("p1", 3)], "paper string, quota long")
+
+    def model(prompt):
+        word = prompt.split("PASSAGE:\n")[1].split()[-1]
+        return '{"answers": true}' if "QUESTION: " in prompt else f'{{"question": "{word} {word[5:]}abc?", "answer": "a", "entity": "{word}"}}'
+
+    made = generation.generate(pool, quotas, chunks, model, with_neighbours=False, sleep=lambda _: None)
+    assert made.questions.count() == 6 and read.value == 12
+
+
+def test_search_keeps_its_hits(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(c):
+        ran.add(1)
+        return c
+
+    v = spark.createDataFrame([(f"c{i}", [float(i)]) for i in range(5)], "chunk_id string, embedding array<double>").withColumn("chunk_id", seen("chunk_id"))
+    r = Retriever(None, v, spark.createDataFrame([(f"c{i}", "t") for i in range(5)], "chunk_id string, page_content string"))
+    hits = r.search(spark.createDataFrame([("q", "t", [1.0])], "qid string, text string, embedding array<double>"), 3)
+    after = ran.value
+    assert hits.count() == 3 and [x.page_content for x in hits.collect()] == ["t"] * 3 and ran.value == after
+
+
+def test_tokenizers_get_bounded_groups(spark, monkeypatch):
+    from plumbline.operators import chunking
+
+    monkeypatch.setattr(chunking, "GROUP_CHARS", 10)
+    texts = ["", "abcdef", "ghij", "k", "x" * 30, "", "yz"]
+    groups = list(chunking._groups(texts))
+    assert sum(groups, []) == texts and all(len(g) == 1 or sum(map(len, g)) <= 10 for g in groups) and list(chunking._groups([])) == []
