@@ -49,6 +49,7 @@ class Index:
     b: float = B
     variant: str = "lucene"
     epsilon: float = EPSILON
+    bucketed: bool = True
 
     @property
     def terms(self) -> DataFrame:
@@ -61,21 +62,24 @@ class Index:
         mean = raw.agg(F.avg("raw").alias("mean_idf"))
         return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(self.epsilon) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
-    def save(self, path: str) -> Index:
-        """The same index read from tables under path. The corpus is tokenised once."""
+    def save(self, path: str, bucketed: bool = True) -> Index:
+        """The same index read from tables under path. The corpus is tokenised once. Unless bucketed, postings are read from
+        texts, which saves their sort and a second copy; searches then go through all texts."""
         spark = self.stats.sparkSession
         self.texts.write.mode("overwrite").parquet(f"{path}/texts")
         source = _over(spark.read.schema(TEXTS).parquet(f"{path}/texts"))
         source.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        source.postings.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        _counts(spark.read.schema(POSTINGS).parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+        if bucketed:
+            source.postings.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        _counts(spark.read.schema(POSTINGS).parquet(f"{path}/postings") if bucketed else source.postings).write.mode("overwrite").parquet(f"{path}/terms")
         _stats(spark.read.schema(DOCS).parquet(f"{path}/docs")).write.mode("overwrite").parquet(f"{path}/stats")
-        return Index.load(spark, path, self.k1, self.b, self.variant, self.epsilon)
+        return Index.load(spark, path, self.k1, self.b, self.variant, self.epsilon, bucketed)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, k1: float | None = None, b: float = B, variant: str = "lucene", epsilon: float = EPSILON) -> Index:
+    def load(cls, spark: SparkSession, path: str, k1: float | None = None, b: float = B, variant: str = "lucene", epsilon: float = EPSILON, bucketed: bool = True) -> Index:
         read = lambda schema, name: spark.read.schema(schema).parquet(f"{path}/{name}")
-        return cls(read(POSTINGS, "postings"), read(DOCS, "docs"), read("term string, df long", "terms"), read("n_docs long, avgdl double", "stats"), read(TEXTS, "texts"), _k1(k1, variant), b, variant, epsilon)
+        postings = read(POSTINGS, "postings") if bucketed else _postings(read(TEXTS, "texts"))
+        return cls(postings, read(DOCS, "docs"), read("term string, df long", "terms"), read("n_docs long, avgdl double", "stats"), read(TEXTS, "texts"), _k1(k1, variant), b, variant, epsilon, bucketed)
 
 
 POSTINGS = "term string, chunk_id string, tf long, dl long, bucket int"
@@ -102,7 +106,8 @@ def _stats(docs: DataFrame) -> DataFrame:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """chunk_id, dl, tokens -> chunk_id, dl, distinct terms and how often each occurs."""
+    """chunk_id, tokens -> chunk_id, dl, distinct terms and how often each occurs. Counted here, as a size beside the tokens
+    would have the JVM tokenise twice."""
     for b in batches:
         tokens = b.column("tokens")
         coded = pc.list_flatten(tokens).dictionary_encode()
@@ -111,19 +116,23 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, tf = np.unique(rows * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
         ends = pa.array(np.searchsorted(pair // many, np.arange(b.num_rows + 1)), pa.int32())
         terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(pair % many)).cast(pa.string()))
-        yield pa.RecordBatch.from_arrays([b.column("chunk_id"), b.column("dl"), terms, pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))], names=["chunk_id", "dl", "terms", "tfs"])
+        yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pc.list_value_length(tokens).cast(pa.int64()), terms, pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))], names=["chunk_id", "dl", "terms", "tfs"])
 
 
 def _lengths(lists: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _postings(texts: DataFrame) -> DataFrame:
+    each = texts.select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    return each.select(F.col("p.terms").alias("term"), "chunk_id", F.col("p.tfs").alias("tf"), "dl", _bucket(F.col("p.terms")).alias("bucket"))
+
+
 def _over(texts: DataFrame, **options) -> Index:
     """texts (chunk_id, dl, terms, tfs) -> Index."""
     one = F.count(F.lit(1)).over(Window.partitionBy("chunk_id"))
     docs = chunks_once(texts.select("chunk_id", "dl", one.alias("_n")))
-    postings = texts.select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-    postings = postings.select("p.terms", "chunk_id", F.col("p.tfs").alias("tf"), "dl").withColumnRenamed("terms", "term").withColumn("bucket", _bucket(F.col("term")))
+    postings = _postings(texts)
     return Index(postings, docs, _counts(postings), _stats(docs), texts, **options)
 
 
@@ -133,7 +142,6 @@ def build(chunks: DataFrame, k1: float | None = None, b: float = B, variant: str
     Documents without terms count in n_docs and avgdl. A repeated chunk_id is an error when the index is used or saved."""
     k1 = _k1(k1, variant)
     each = chunks.select("chunk_id", (T.tokenize(F.col("text")) if tokens is None else tokens).alias("tokens"))
-    each = each.select("chunk_id", F.size("tokens").cast("long").alias("dl"), "tokens")
     return _over(each.mapInArrow(_count_terms, TEXTS), k1=k1, b=b, variant=variant, epsilon=epsilon)
 
 
@@ -193,7 +201,7 @@ def _best_of_texts(index: Index, questions: DataFrame, k: int) -> DataFrame | No
     if asked.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
         return None
     held = index.terms.join(F.broadcast(asked), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "df").toArrow()  # no more rows than asked
-    if (pc.sum(held.column("df")).as_py() or 0) <= JOINED_MATCHES:
+    if not held.num_rows or index.bucketed and pc.sum(held.column("df")).as_py() <= JOINED_MATCHES:
         return None
     asking, avgdl, k1, b = _Questions(held), index.stats.first()["avgdl"], index.k1, index.b
 

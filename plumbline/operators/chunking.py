@@ -25,9 +25,14 @@ def windows(tokens: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     if not 0 <= overlap < size:
         raise ValueError("overlap must lie between 0 and size")
     step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.size(tokens) - size) / step)).cast("int")
-    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), last)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda i: F.slice(tokens, i * step + 1, size))
+
+    def cut(t: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(t) - size) / step)).cast("int")
+        starts = F.when(F.size(t) > 0, F.sequence(F.lit(0), last)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(starts, lambda i: F.slice(t, i * step + 1, size))
+
+    # Bound to a name, as each window would split the whole text anew.
+    return F.transform(F.array(tokens), cut)[0]
 
 
 def split_pages(pages: DataFrame, tokens: Column | None = None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -211,3 +211,11 @@ def test_explain_small_equals_the_join(spark, index, monkeypatch):
     few = [tuple(r) for r in bm25.explain(index, q, pairs).collect()]
     monkeypatch.setattr(bm25, "BROADCAST_PAIRS", 0)
     assert few and [tuple(r) for r in bm25.explain(index, q, pairs).collect()] == few
+
+
+def test_index_without_buckets_searches_alike(spark, index, tmp_path):
+    plain_index = bm25.build(spark.createDataFrame(CORPUS, "chunk_id string, text string")).save(str(tmp_path), bucketed=False)
+    q = ["granite blocks", "tow-boat scale", "zebra", "blocks blocks"]
+    assert ask(spark, plain_index, *q) == ask(spark, index, *q) and not (tmp_path / "postings").exists()
+    rows = lambda i: sorted(tuple(r) for r in i.postings.select("term", "chunk_id", "tf", "dl", "bucket").collect())
+    assert rows(plain_index) == rows(index) and plain_index.terms.count() == index.terms.count()
