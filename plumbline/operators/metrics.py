@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,10 @@ REPORTED = {"mrr": "rr", "recall_at_5": "recall_at_5", "sufficiency_at_5": "suff
 PRIMARY = "ndcg_at_10"
 EPS = 1e-9
 FIRES, STAYS, UNUSABLE = "fires", "stays", "unusable"
+#: Draws that bootstrap() holds at a time.
+DRAWS_AT_ONCE = 2_000_000
+#: Iterations of the hashed bootstrap that go to a task together.
+TURNS = 100
 
 
 def check_groups(gold: DataFrame) -> DataFrame:
@@ -94,9 +101,34 @@ def bootstrap(values: Sequence[float], iters: int = 10_000, seed: int = 0, alpha
     n = len(values)
     if not n:
         return 0.0, 0.0, 0.0
-    rng = random.Random(seed)
-    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(iters))
-    return sum(values) / n, means[int(alpha / 2 * iters)], means[min(int((1 - alpha / 2) * iters), iters - 1)]
+    v = np.array(values, float)
+    means = np.sort(np.concatenate([_sums(v[drawn.T]) / n for drawn in _draws(n, iters, seed)]))
+    return sum(values) / n, float(means[int(alpha / 2 * iters)]), float(means[min(int((1 - alpha / 2) * iters), iters - 1)])
+
+
+def _draws(n: int, iters: int, seed: int) -> Iterator[np.ndarray]:
+    """What random.Random(seed).randrange(n) gives n times an iteration, as blocks of (iterations, n)."""
+    state = random.Random(seed).getstate()[1]
+    source = np.random.MT19937()
+    source.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    shift, drawn = np.uint64(32 - n.bit_length()), np.empty(0, np.int64)
+    while iters:
+        rows = min(iters, max(1, DRAWS_AT_ONCE // n))
+        while len(drawn) < rows * n:
+            more = source.random_raw(2 * (rows * n - len(drawn)) + 64) >> shift
+            drawn = np.concatenate([drawn, more[more < n].astype(np.int64)])
+        yield drawn[: rows * n].reshape(rows, n)
+        drawn, iters = drawn[rows * n :], iters - rows
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of columns, compensated as Python's sum() of floats is, so to the same bits."""
+    total, lost = x[0] + 0.0, np.zeros(x.shape[1])
+    for y in x[1:]:
+        t = total + y
+        lost += np.where(np.abs(total) >= np.abs(y), (total - t) + y, (y - t) + total)
+        total = t
+    return np.where(np.isfinite(lost), total + lost, total)
 
 
 def bootstrap_ci_hashed(values: DataFrame, keys: Sequence[str], value: str, order: str, iters: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -143,3 +144,35 @@ def test_attribution(spark):
     assert all(r.questions_rescued == 1 for r in rows.values())
     assert M.spread(spark.createDataFrame([(0.5,), (0.75,)], "ndcg_at_10 double")).first()[0] == 0.25
     assert M.gold_hits(spark.createDataFrame([("q1", "a")], "qid string, chunk_id string"), hits.withColumn("rank", F.lit(1)).withColumn("dense_rank", F.lit(1)).withColumn("sparse_rank", F.lit(1))).count() == 1
+
+
+@pytest.mark.parametrize("most", [50, 2_000_000])
+def test_draws_are_those_of_the_mersenne_twister(monkeypatch, most):
+    monkeypatch.setattr(M, "DRAWS_AT_ONCE", most)
+    r = random.Random(3)
+    for n in (1, 2, 7, 33, 64):
+        values = [r.choice([0.0, 0.1, -0.1, 1 / 3, r.uniform(-1, 1)]) for _ in range(n)]
+        rng = random.Random(9)
+        means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(120))
+        assert M.bootstrap(values, 120, 9) == (sum(values) / n, means[3], means[117])
+
+
+def test_bootstrap_draws_a_block_at_a_time(monkeypatch):
+    def never(*_):
+        raise AssertionError("a call for each draw")
+
+    monkeypatch.setattr(random.Random, "randrange", never)
+    assert M.bootstrap([0.5, 1.0], 50)[0] == 0.75
+
+
+def test_hashed_means(spark):
+    r = random.Random(4)
+    groups = {(k, m): [r.uniform(-1, 1) for _ in range(n)] for k, m, n in (("a", "x", 5), ("a", "y", 5), ("b", "x", 130), (None, "x", 1))}
+    rows = [(k, m, f"q{i:03}", v) for (k, m), vs in groups.items() for i, v in enumerate(vs)] + [("a", "x", "q9", None), ("c", "x", "q0", None)]
+    r.shuffle(rows)
+    got = M.hashed_means(spark.createDataFrame(rows, "k string, m string, qid string, v double"), ["k", "m"], "v", "qid", 250, 7)
+    assert got.rdd.getNumPartitions() > 1  # few bytes, but much work
+    draw = lambda t, j, n: int(hashlib.md5(f"7:{t}:{j}".encode()).hexdigest()[:8], 16) % n
+    means = {(*g, t): sum(vs[draw(t, j, len(vs))] for j in range(len(vs))) / len(vs) for g, vs in groups.items() for t in range(250)}
+    found = {(x.k, x.m, x._t): x._m for x in got.collect()}
+    assert found.keys() == means.keys() and all(abs(found[x] - means[x]) < 2e-12 for x in means)
