@@ -132,23 +132,44 @@ def _sums(x: np.ndarray) -> np.ndarray:
 
 
 def bootstrap_ci_hashed(values: DataFrame, keys: Sequence[str], value: str, order: str, iters: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """Like bootstrap_ci, with draws from MD5 instead of the Mersenne Twister: plain SQL, other numbers of the same law.
+    """Like bootstrap_ci, with draws from MD5 instead of the Mersenne Twister: SQL can repeat them, other numbers of the
+    same law.
 
-    Draw j of iteration i takes row md5(seed:i:j) mod n. Groups of one size share their draws, which are first counted
-    by row, so each group meets a number for each iteration and row; iterations spread over tasks."""
+    Draw j of iteration i takes row md5(seed:i:j) mod n. All groups share the digests; iterations spread over tasks."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = values.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w) - 1).cast("long").alias("_i"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
-    turns = rows.select("_n").distinct().select("_n", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("_t")).repartition("_n", "_t")
-    draws = turns.select("_n", "_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_j"))
-    seeded = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_t").cast("string"), F.col("_j").cast("string")).cast("binary"))
-    drawn = draws.groupBy("_n", "_t", (F.conv(F.substring(seeded, 1, 8), 16, 10).cast("long") % F.col("_n")).alias("_i")).agg(F.count("*").alias("_times"))
-    means = drawn.join(rows, ["_n", "_i"]).groupBy(*keys, "_t").agg(F.round(F.sum(F.col("_times") * F.col(value)) / F.first("_n"), 12).alias("_m"))
+    means = hashed_means(values, keys, value, order, iters, seed)
     sorted_means = means.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("_m", "_t")) - 1)
     lo, hi = int(alpha / 2 * iters), min(int((1 - alpha / 2) * iters), iters - 1)
     bounds = sorted_means.groupBy(*keys).agg(F.max(F.when(F.col("_at") == lo, F.col("_m"))).alias("lo"), F.max(F.when(F.col("_at") == hi, F.col("_m"))).alias("hi"))
-    return rows.groupBy(*keys).agg(F.avg(value).alias("mean")).join(bounds, list(keys))
+    return values.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("mean")).join(bounds, list(keys))
+
+
+def hashed_means(values: DataFrame, keys: Sequence[str], value: str, order: str, iters: int, seed: int) -> DataFrame:
+    """keys, _t (iteration), _m: means of bootstrap_ci_hashed, to 12 digits. Each block of iterations meets all groups'
+    values; like bootstrap_ci, a task holds a run's questions."""
+
+    def resample(block: pa.Table) -> pa.Table:
+        groups = [np.array(v, float) for v in block.column("_v").to_pylist()]
+        first = block.column("_first")[0].as_py()
+        turns = np.arange(first, min(first + TURNS, iters))
+        means = np.empty((len(groups), len(turns)))
+        for at, t in enumerate(turns.tolist()):
+            head = f"{seed}:{t}:".encode()
+            digests = b"".join([md5(head + b"%d" % j, usedforsecurity=False).digest() for j in range(max(map(len, groups)))])
+            drawn = np.frombuffer(digests, ">u4")[::4].astype(np.int64)
+            for g, v in enumerate(groups):
+                means[g, at] = v[drawn[: len(v)] % len(v)].sum() / len(v)
+        each = pa.array(np.repeat(np.arange(len(groups)), len(turns)))
+        return pa.table({k: block.column(k).take(each) for k in keys} | {"_t": np.tile(turns, len(groups)), "_m": means.ravel()})
+
+    kinds = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in keys)
+    row = F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
+    groups = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(row))["v"].alias("_v"))
+    blocks = groups.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(iters - 1), F.lit(TURNS))))
+    # A number of parts is given, as few bytes would else make one task.
+    dealt = blocks.repartition(min(-(-iters // TURNS), 4 * values.sparkSession.sparkContext.defaultParallelism), "_first")
+    return dealt.groupBy("_first").applyInArrow(resample, f"{kinds}, _t long, _m double").withColumn("_m", F.round("_m", 12))
 
 
 def paired(base: DataFrame, candidate: DataFrame, metrics: dict[str, str] = REPORTED) -> DataFrame:
