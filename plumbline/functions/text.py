@@ -6,6 +6,7 @@ import functools
 import re
 import sys
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -78,7 +79,13 @@ def _fold_exact(text: pd.Series) -> pd.Series:
 
 
 def fold_python(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text).casefold() if not unicodedata.combining(c))
+    if text.isascii():
+        return text.lower()
+    folded = unicodedata.normalize("NFKD", text).casefold()
+    for c in set(folded):  # few of a text's distinct characters are marks
+        if unicodedata.combining(c):
+            folded = folded.replace(c, "")
+    return folded
 
 
 def tokens_of_folded(folded: Column) -> Column:
@@ -105,6 +112,18 @@ def tokenize_python(text: str) -> list[str]:
     return out
 
 
+_TOKEN, _JOINER = re.compile(TOKEN), re.compile(JOINER)
+
+
+def term_counts(text: str) -> Counter[str]:
+    """How often each of tokenize_python()'s terms occurs."""
+    found = Counter(_TOKEN.findall(fold_python(text)))
+    for t in [t for t in found if not t.isalnum()]:
+        for part in _JOINER.split(t):
+            found[part] += found[t]
+    return found
+
+
 def sha8(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 8)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ SCORES_AT_ONCE = 2_000_000
 DENSE_TERM = 5
 #: Saved postings lie in so many folders by hash of the term; a search reads those of the terms asked for.
 BUCKETS = 16
+#: Texts whose terms a task counts at a time.
+TEXTS_AT_ONCE = 512
 
 
 @dataclass
@@ -71,7 +74,7 @@ class Index:
         source.docs.write.mode("overwrite").parquet(f"{path}/docs")
         if bucketed:
             source.postings.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        _counts(spark.read.schema(POSTINGS).parquet(f"{path}/postings") if bucketed else source.postings).write.mode("overwrite").parquet(f"{path}/terms")
+        source.counts.write.mode("overwrite").parquet(f"{path}/terms")
         _stats(spark.read.schema(DOCS).parquet(f"{path}/docs")).write.mode("overwrite").parquet(f"{path}/stats")
         return Index.load(spark, path, self.k1, self.b, self.variant, self.epsilon, bucketed)
 
@@ -97,8 +100,8 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _counts(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+def _counts(texts: DataFrame) -> DataFrame:
+    return texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def _stats(docs: DataFrame) -> DataFrame:
@@ -119,6 +122,20 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pc.list_value_length(tokens).cast(pa.int64()), terms, pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))], names=["chunk_id", "dl", "terms", "tfs"])
 
 
+def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk_id, text -> chunk_id, dl, distinct terms and how often each occurs."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            b = batch.slice(at, TEXTS_AT_ONCE)
+            texts = b.column("text").to_pylist()
+            found = [T.term_counts(t or "") for t in texts]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32())
+            dl = pa.array([None if t is None else f.total() for t, f in zip(texts, found, strict=True)], pa.int64())
+            terms = pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(found)), pa.string()))
+            tfs = pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(f.values() for f in found)), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), dl, terms, tfs], names=["chunk_id", "dl", "terms", "tfs"])
+
+
 def _lengths(lists: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -133,7 +150,7 @@ def _over(texts: DataFrame, **options) -> Index:
     one = F.count(F.lit(1)).over(Window.partitionBy("chunk_id"))
     docs = chunks_once(texts.select("chunk_id", "dl", one.alias("_n")))
     postings = _postings(texts)
-    return Index(postings, docs, _counts(postings), _stats(docs), texts, **options)
+    return Index(postings, docs, _counts(texts), _stats(docs), texts, **options)
 
 
 def build(chunks: DataFrame, k1: float | None = None, b: float = B, variant: str = "lucene", epsilon: float = EPSILON, tokens: Column | None = None) -> Index:
@@ -141,8 +158,11 @@ def build(chunks: DataFrame, k1: float | None = None, b: float = B, variant: str
 
     Documents without terms count in n_docs and avgdl. A repeated chunk_id is an error when the index is used or saved."""
     k1 = _k1(k1, variant)
-    each = chunks.select("chunk_id", (T.tokenize(F.col("text")) if tokens is None else tokens).alias("tokens"))
-    return _over(each.mapInArrow(_count_terms, TEXTS), k1=k1, b=b, variant=variant, epsilon=epsilon)
+    if tokens is None:  # counted where it is tokenised: the JVM's regular expressions take several times as long
+        texts = chunks.select("chunk_id", "text").mapInArrow(_count_texts, TEXTS)
+    else:
+        texts = chunks.select("chunk_id", tokens.alias("tokens")).mapInArrow(_count_terms, TEXTS)
+    return _over(texts, k1=k1, b=b, variant=variant, epsilon=epsilon)
 
 
 def chunks_once(docs: DataFrame) -> DataFrame:

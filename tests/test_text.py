@@ -1,4 +1,6 @@
+import random
 import unicodedata
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -107,3 +109,12 @@ def test_fixed_prints_as_python_does(spark):
 def test_screen_rounds_ratios_as_its_sql(spark):
     row = spark.createDataFrame([("a" * 500 + "!" * 300,), ("a" * 460 + "!" * 340,)], "t string").select(T.chunk_quality(F.col("t"))["reason"]).collect()
     assert [r[0] for r in row] == ["table/numeric (alpha_ratio 0.62)", "table/numeric (alpha_ratio 0.57)"]
+
+
+def test_term_counts():
+    r = random.Random(8)
+    letters = "aB9 .-_/\u00e9\u00df\u0301\ufb01\u0130\u4e2d\u212a\u0327\n"
+    texts = [*CASES, *("".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(400))]
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t).casefold() if not unicodedata.combining(c))
+    for t in texts:
+        assert T.fold_python(t) == plain(t) and T.term_counts(t) == Counter(T.tokenize_python(t))
