@@ -219,3 +219,29 @@ def test_index_without_buckets_searches_alike(spark, index, tmp_path):
     assert ask(spark, plain_index, *q) == ask(spark, index, *q) and not (tmp_path / "postings").exists()
     rows = lambda i: sorted(tuple(r) for r in i.postings.select("term", "chunk_id", "tf", "dl", "bucket").collect())
     assert rows(plain_index) == rows(index) and plain_index.terms.count() == index.terms.count()
+
+
+def _never(*_):
+    raise AssertionError("words as rows or arrays of the JVM")
+
+
+def test_index_counts_terms_in_batches(spark, monkeypatch):
+    rows = [("a", "Tow-boat tow boat \u00c9t\u00e9"), ("b", ""), ("c", "ete_2 ete"), ("d", None)]
+    docs = spark.createDataFrame(rows, "chunk_id string, text string")
+    by_tokens = bm25.build(docs, tokens=T.tokenize(F.col("text")))
+    monkeypatch.setattr(T, "tokenize", _never)
+    monkeypatch.setattr(bm25, "TEXTS_AT_ONCE", 1)
+    index = bm25.build(docs)
+    for name in ("postings", "docs", "counts", "stats"):
+        assert sorted(map(repr, getattr(index, name).collect())) == sorted(map(repr, getattr(by_tokens, name).collect()))
+
+
+@pytest.mark.parametrize("size,overlap", [(5, 2), (3, 0), (500, 50)])
+def test_white_windows_equal_those_of_words(spark, monkeypatch, size, overlap):
+    r = random.Random(2)
+    words = lambda n: "".join(r.choice(["a", "\u00e9\u4e2d", "x\u00a0y", "\x1c"]) + r.choice([" ", "\n", " \t", "\x0b\f\r"]) for _ in range(n))
+    texts = [None, "", " \n", *(r.choice(["", " "]) + words(n) for n in (*range(1, 14), 499, 500, 501, 951))]
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page int, page_content string")
+    want = chunking.split_pages(pages, T.white_tokens(F.col("page_content")), size, overlap).collect()
+    monkeypatch.setattr(T, "white_tokens", _never)
+    assert sorted(chunking.split_pages(pages, None, size, overlap).collect()) == sorted(want)
