@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import itertools
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -77,6 +79,14 @@ class Scratch:
         for t in tables:
             self._delete(t._scratch_path)
 
+    def sweep(self) -> None:
+        """Has Spark delete the shuffle files of finished jobs: it does once the driver's garbage collector finds that no
+        plan holds them, which a driver with free memory may put off until they have piled up on the executors' disks."""
+        gc.collect()
+        for _ in range(2):  # what Python let go of reaches the JVM a moment later
+            time.sleep(0.5)
+            self.spark.sparkContext._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

@@ -179,8 +179,10 @@ def repeated_spans(keyed: DataFrame, scratch: Scratch, by: list[str], least_word
     scratch.rows = every.count()
     named = ["run", "check"]
     twice = scratch.save(every.groupBy(*named).agg(F.count("*").alias("n"), F.min("key").alias("home")).where("n > 1").select(*named, "home"), narrow=True)
+    scratch.sweep()
     again = scratch.save(every.join(twice, named), narrow=True)  # read back, so that a hot run's rows can be split
     scratch.drop(every, twice)
+    scratch.sweep()
     # No window over a run or document: many rows may share both.
     at_home = again.where("key = home")
     place = F.struct(*by, "at")
